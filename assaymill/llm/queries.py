@@ -6,16 +6,34 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from assaymill.llm.imatch import op10_imatch_fingerprints
+from assaymill.llm.language import op6_language_id
+from assaymill.llm.licences import OP5_SQL, op5_license_scan
+from assaymill.llm.mixing import OP7_SQL, op7_mix_sources
 from assaymill.llm.packing import op8_pack_sequences
 from assaymill.llm.quality import op2_quality_rules
+from assaymill.llm.secrets import op1_secret_scan
 from assaymill.llm.simhash import op3_simhash_near_dedup
 from assaymill.llm.sstable import op9_sstable_roundtrip
+from assaymill.llm.urls import OP4_SQL, op4_url_filter
+
+QUERIES = [
+    op1_secret_scan,
+    op2_quality_rules,
+    op3_simhash_near_dedup,
+    op4_url_filter,
+    op5_license_scan,
+    op6_language_id,
+    op7_mix_sources,
+    op8_pack_sequences,
+    op9_sstable_roundtrip,
+    op10_imatch_fingerprints,
+]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op2_quality_rules, op3_simhash_near_dedup, op8_pack_sequences, op9_sstable_roundtrip]
-    return {f.__name__: f for f in found}
+    return {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_url_filter": OP4_SQL, "op5_license_scan": OP5_SQL, "op7_mix_sources": OP7_SQL}
