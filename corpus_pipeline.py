@@ -2,13 +2,56 @@
 
 from __future__ import annotations
 
-STAGES = []
+from pyspark.sql import DataFrame, SparkSession
 
-#: Two stages hash with functions that SQL lacks.
+from assaymill.llm import mixing, packing, quality, secrets, simhash
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+#: Near copies: shingles of five words. Texts of similarity 0.9 (Jaccard, as sets) have fingerprints
+#: that differ in 6.6 of 64 bits on average; unrelated ones in 32.
+COPY_WORDS, COPY_BITS = 5, 7
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that fail the base rules or score low are dropped."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return quality.quality_rules(docs, labels, carry=tuple(COLUMNS)).where("kept").select(*COLUMNS)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies the document with the smallest doc_id stays."""
+    return simhash.keep_one_of_each(docs, words=COPY_WORDS, radius=COPY_BITS).select(*COLUMNS)
+
+
+def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents stay; secrets in their texts are masked."""
+    return secrets.redact_documents(docs, COLUMNS)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in the shares that their sources weigh: some not at all, some twice, shard by shard."""
+    return mixing.deal_documents(docs, COLUMNS)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of packed sequences, with their token ids."""
+    return packing.pack_documents(docs)
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("SimHash near-dedup", near_dedup),
+    ("secret scans", secret_scans),
+    ("mixing sources to target weights", mix_sources),
+    ("packing", pack),
+]
+
+#: The first stages hash words with functions that SQL lacks.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
