@@ -1,0 +1 @@
+"""Screening, evidence scoring and cohort analytics over Spark DataFrames."""
