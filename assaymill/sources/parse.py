@@ -112,4 +112,4 @@ def front_matter(text: Column) -> Column:
 def fenced_domains(text: Column) -> Column:
     """The lines of the first fenced block."""
     block = F.regexp_extract(text, r"(?s)```[a-z]*\n(.*?)\n```", 1)
-    return F.filter(F.transform(F.split(block, r"\n"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(block, r"\n"), lambda x: F.trim(x)), lambda x: x != "")

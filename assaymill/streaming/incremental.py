@@ -55,32 +55,36 @@ def append_session(records: DataFrame, path: str) -> None:
     records.write.mode("append").parquet(path)
 
 
-def tumbling(events: DataFrame, width: str, late: str = "1 hour") -> DataFrame:
+def timed(events: DataFrame, late: str | None) -> DataFrame:
+    """A stream's events with a watermark on ts, which must be a timestamp with a zone; a batch stays as it is.
+
+    late: None where the events have a watermark already.
+    """
+    if not events.isStreaming or late is None:
+        return events
+    return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
+
+
+def tumbling(events: DataFrame, width: str, late: str | None = "1 hour") -> DataFrame:
     """Events and value by window and type. On a stream, rows later than ``late`` are left out."""
-    if events.isStreaming:
-        events = events.withWatermark("ts", late)
-    rows = events.groupBy(F.window("ts", width).alias("w"), "event_type").agg(
+    rows = timed(events, late).groupBy(F.window("ts", width).alias("w"), "event_type").agg(
         F.count("*").alias("n"), F.sum(F.col("value").cast("decimal(18,4)")).alias("total")
     )
     return rows.select(F.col("w.start").alias("start"), "event_type", "n", F.col("total").cast("double").alias("total"))
 
 
-def sliding(events: DataFrame, width: str, step: str, late: str = "1 hour") -> DataFrame:
-    if events.isStreaming:
-        events = events.withWatermark("ts", late)
-    rows = events.groupBy(F.window("ts", width, step).alias("w")).agg(F.count("*").alias("n"))
+def sliding(events: DataFrame, width: str, step: str, late: str | None = "1 hour") -> DataFrame:
+    rows = timed(events, late).groupBy(F.window("ts", width, step).alias("w")).agg(F.count("*").alias("n"))
     return rows.select(F.col("w.start").alias("start"), "n")
 
 
-def sessions(events: DataFrame, gap: str, late: str = "1 hour") -> DataFrame:
+def sessions(events: DataFrame, gap: str, late: str | None = "1 hour") -> DataFrame:
     """Sessions of each user: events no further apart than ``gap``."""
-    if events.isStreaming:
-        events = events.withWatermark("ts", late)
-    rows = events.groupBy(F.session_window("ts", gap).alias("w"), "user_id").agg(F.count("*").alias("n"), F.max("ts").alias("last"))
+    rows = timed(events, late).groupBy(F.session_window("ts", gap).alias("w"), "user_id").agg(F.count("*").alias("n"), F.max("ts").alias("last"))
     return rows.select("user_id", F.col("w.start").alias("start"), "last", "n")
 
 
-def distinct_events(events: DataFrame, late: str = "1 hour") -> DataFrame:
+def distinct_events(events: DataFrame, late: str | None = "1 hour") -> DataFrame:
     if events.isStreaming:
-        return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"])
+        return timed(events, late).dropDuplicatesWithinWatermark(["event_id"])
     return events.dropDuplicates(["event_id"])
