@@ -33,7 +33,7 @@ CANDIDATE = re.compile(r"[A-Za-z0-9+/_=~$%^&*!@#-]{16,}")
 
 #: What code around keys is made of: primes the compressor.
 IDENTIFIERS = " ".join(
-    f"{a}{b}" for a in ("", "client_", "access_", "private_", "public_", "my", "get", "set", "user", "db_", "aws_", "auth")
+    f"{a}{b} {a.title()}{b.title()}" for a in ("", "client_", "access_", "private_", "public_", "my", "get", "set", "user", "db_", "aws_", "auth")
     for b in ("password", "passwd", "secret", "token", "api_key", "apikey", "key", "credential", "config", "value", "string",
               "name", "username", "host", "port", "url", "return", "self", "const", "import", "export", "environ", "bearer")
 ) + " abcdefghijklmnopqrstuvwxyz ABCDEFGHIJKLMNOPQRSTUVWXYZ 0123456789 xxxxxxxxxxxxxxxx ****************"
@@ -48,7 +48,7 @@ SPAN = "array<struct<kind:string,start:int,end:int,novelty:double>>"
 class Novelty:
     """Marginal compressed bytes for each byte of a candidate, given what surrounds it."""
 
-    def __init__(self, identifiers: str = IDENTIFIERS, level: int = 3):
+    def __init__(self, identifiers: str = IDENTIFIERS, level: int = 19):
         import zstandard
 
         primed = zstandard.ZstdCompressionDict(identifiers.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
@@ -75,8 +75,12 @@ def base_spans(text: str) -> list[tuple[str, int, int, float | None]]:
 
 
 def mixed(run: str) -> bool:
-    """Whether a run has a digit and a letter, as names seldom and keys mostly do."""
-    return any(c.isdigit() for c in run) and any(c.isalpha() for c in run)
+    """Whether a stretch of 16 characters or more, free of what joins words in paths and names, has both
+    digits and letters, as keys mostly do and names seldom."""
+    return any(
+        len(part) >= 16 and any(c.isdigit() for c in part) and any(c.isalpha() for c in part)
+        for part in re.split("[/_-]", run)
+    )
 
 
 def find_spans(text: str, novelty: Novelty, threshold: float = NOVELTY) -> list[tuple[str, int, int, float | None]]:

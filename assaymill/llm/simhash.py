@@ -213,19 +213,22 @@ def simhash_components(docs: DataFrame, words: int = SHINGLE_WORDS, radius: int
     )
 
 
-def keep_one_of_each(docs: DataFrame, words: int = SHINGLE_WORDS, radius: int = RADIUS) -> DataFrame:
-    """The rows of ``docs`` that stay: of each component the one with the smallest doc_id.
+def keep_one_of_each(
+    docs: DataFrame, columns: list[str], words: int = SHINGLE_WORDS, radius: int = RADIUS
+) -> DataFrame:
+    """``columns`` (doc_id among them) of the rows that stay: of each component the one with the smallest doc_id.
 
     Of rows with the same doc_id in a component one stays. A row without a doc_id stays only if
     nothing else of its component has one.
     """
-    found = cut(simhash_components(docs, words, radius))
-    stay = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("stays"))
-    once = stay.groupBy("stays").count()
-    repeats = not once.where("count > 1").isEmpty()
-    key = pick(docs, doc_id="long").columns[0]
-    kept = docs.join(once.select("stays").hint("shuffle_hash"), docs[key].eqNullSafe(F.col("stays")), "left_semi")
-    return kept.dropDuplicates([key]) if repeats else kept
+    found = simhash_components(docs, words, radius)
+    stay = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").count()
+    stay = cut(stay.withColumnRenamed("doc_id", "stays"))
+    types = dict(docs.dtypes)
+    rows = pick(docs, **{c: types[c] for c in columns})
+    # The texts are dealt by doc_id once and not sorted: the side that is held in memory is bare identifiers.
+    kept = rows.join(stay.select("stays").hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("stays")), "left_semi")
+    return kept if stay.where("count > 1").isEmpty() else kept.dropDuplicates(["doc_id"])
 
 
 def op3_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:

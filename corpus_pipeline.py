@@ -21,7 +21,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the document with the smallest doc_id stays."""
-    return simhash.keep_one_of_each(docs, words=COPY_WORDS, radius=COPY_BITS).select(*COLUMNS)
+    return simhash.keep_one_of_each(docs, COLUMNS, words=COPY_WORDS, radius=COPY_BITS)
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

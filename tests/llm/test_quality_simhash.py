@@ -125,7 +125,8 @@ def naive_components(prints, radius=3):
 
 
 def test_simhash_equals_brute_force(spark, sf_dir):
-    for docs in (edge_docs(spark).select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")):
+    edges = spark.createDataFrame([r[:2] for r in edge_rows()], "doc_id long, text string")
+    for docs in (edges, spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")):
         rows = [tuple(r) for r in docs.collect()]
         prints = [(d, naive_fingerprint(t)) for d, t in rows]
         want = sorted(((d, f"{p:016x}", c) for (d, p), c in zip(prints, naive_components(prints), strict=True)), key=str)
@@ -174,12 +175,12 @@ def test_components_of_a_chain_a_star_and_loops(spark):
 
 
 def test_one_of_each_group_stays(spark):
-    kept = simhash.keep_one_of_each(edge_docs(spark)).select("doc_id").collect()
+    kept = simhash.keep_one_of_each(edge_docs(spark), ["doc_id", "text"]).collect()
     ids = sorted(r.doc_id for r in kept if r.doc_id is not None)
     assert -5 in ids and not {0, 1} & set(ids)
     assert len(ids) == len(set(ids))
     assert simhash.simhash_components(empty_docs(spark)).collect() == []
-    assert simhash.keep_one_of_each(empty_docs(spark)).collect() == []
+    assert simhash.keep_one_of_each(empty_docs(spark), ["doc_id", "text"]).collect() == []
 
 
 def test_near_copies_meet_and_others_do_not(spark):
@@ -187,5 +188,5 @@ def test_near_copies_meet_and_others_do_not(spark):
     base = words(rng, 600).split()
     near = [*base[:300], "changed", *base[301:]]
     docs = spark.createDataFrame([(1, " ".join(base)), (2, " ".join(near)), (3, words(rng, 600))], "doc_id long, text string")
-    kept = simhash.keep_one_of_each(docs, words=5, radius=7).select("doc_id").collect()
+    kept = simhash.keep_one_of_each(docs, docs.columns, words=5, radius=7).select("doc_id").collect()
     assert sorted(r.doc_id for r in kept) == [1, 3]

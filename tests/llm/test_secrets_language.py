@@ -6,7 +6,7 @@ import string
 from assaymill.llm import language, secrets
 from tests.llm.fixtures import edge_docs, edge_rows, empty_docs, words
 
-KEY = "".join(random.Random(4).choice(string.ascii_letters + string.digits) for _ in range(40))
+KEY = "".join(random.Random(4).choices(string.ascii_letters + string.digits, k=40))
 
 
 def naive_base(text):
