@@ -124,3 +124,14 @@ MATERIAL_SINGLE, MATERIAL_TOTAL = 10.0, 15.0
 
 #: Characters around a word that names a metric in which its number is looked for.
 NEAR_CHARS = 140
+
+# Patterns by which a page announces an exhibit of a metric that was not recovered.
+EXHIBIT_HINTS = {
+    "grr_pct": [r"gross\s+revenue\s+retention", r"gross\s+retention"],
+    "nrr_pct": [r"net\s+revenue\s+retention", r"net\s+retention"],
+    "top1_customer_pct": [r"largest\s+customer", r"top\s+customer"],
+    "top5_customer_pct": [r"top\s+(five|5)\s+customers"],
+}
+EXHIBIT_WORDS = r"chart|graph|figure|exhibit|axis"
+READ_KINDS = ["prose", "table", "label", "axis"]
+MOST_PAGE_RECORDS = 40

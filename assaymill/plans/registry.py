@@ -7,9 +7,9 @@ from functools import wraps
 
 from pyspark.sql import functions as F
 
-from assaymill.plans import analytics, evidence, screening, star
+from assaymill.plans import analytics, evidence, handover, screening, star
 
-MODULES = (screening, evidence, analytics, star)
+MODULES = (screening, evidence, analytics, handover, star)
 
 #: Columns of small integers, which both sides give as 64-bit ones.
 INTEGERS = {
