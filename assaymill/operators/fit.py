@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from assaymill.config import DEFAULT, Rubric
 from assaymill.functions.numbers import band_points, cap_points, floor_points
-from assaymill.operators.rules import findings
+from assaymill.operators.rules import SEVERITY, conditions
 
 
 def component_columns(rubric: Rubric) -> list[tuple[str, float, Column]]:
@@ -48,17 +48,16 @@ def fit(wide: DataFrame, rubric: Rubric = DEFAULT) -> DataFrame:
     parts = component_columns(rubric)
     total = sum(w for _, w, _ in parts)
     raw = 100.0 * sum((e.cast("decimal(12,2)") for _, _, e in parts), F.lit(0).cast("decimal(12,2)")).cast("double") / total
-    blockers = findings(wide, rubric).where("severity = 'blocker'").groupBy("target_id")
-    blockers = blockers.agg(F.array_sort(F.collect_list(F.struct("rule_seq", "rule_id"))).alias("b"))
-    scored = wide.select("target_id", raw.alias("raw")).join(blockers, "target_id", "left")
-    names = F.array_join(F.transform(F.coalesce("b", F.array().cast("array<struct<rule_seq:int,rule_id:string>>")), lambda x: x["rule_id"]), ",")
+    # Which rules block is decided in the same row: nothing is joined or read twice.
+    fired = [F.when(when, F.lit(rule)) for rule, (when, _, _) in conditions(rubric).items() if SEVERITY[rule] == "blocker"]
+    scored = wide.select("target_id", raw.alias("raw"), F.array_join(F.array_compact(F.array(*fired)), ",").alias("blocked_by"))
     tier = (
-        F.when(F.col("b").isNotNull(), "pass")
+        F.when(F.col("blocked_by") != "", "pass")
         .when(F.col("raw") >= rubric.tier_1, "tier_1")
         .when(F.col("raw") >= rubric.tier_2, "tier_2")
         .otherwise("pass")
     )
-    return scored.select("target_id", F.round("raw", 1).alias("score"), tier.alias("tier"), names.alias("blocked_by"))
+    return scored.select("target_id", F.round("raw", 1).alias("score"), tier.alias("tier"), "blocked_by")
 
 
 def inbox(scored: DataFrame) -> DataFrame:
