@@ -40,24 +40,32 @@ def base_rates(
         .when(outside, "out of range")
     )
     mine = mine.withColumn("refusal", refusal)
-    deals = sized(book)
-    # One equi-join for each rung on the keys it uses; a target's open keys are its refusal's absence.
+    # Every record and every target once for each rung, with a star for a key that the rung leaves open:
+    # one aggregation and one equi-join serve all rungs.
+    keys = ["rung", "on_vertical", "on_size", "on_retention"]
+
+    def on_rungs(df: DataFrame) -> DataFrame:
+        star = lambda c, used: F.col(c) if used else F.lit("*")
+        rows = F.array(
+            *[
+                F.struct(
+                    F.lit(i).alias("rung"), star("vertical", v).alias("on_vertical"), star("size", s).alias("on_size"),
+                    star("retention", r).alias("on_retention"),
+                )
+                for i, (v, s, r) in enumerate(RUNGS)
+            ]
+        )
+        return df.select("*", F.inline(rows)).dropna(subset=keys)
+
+    stats = on_rungs(sized(book)).groupBy(*keys).agg(
+        F.count("*").alias("n"),
+        F.percentile("outcome", F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9))).alias("p"),
+        F.round(100.0 * F.avg((F.col("outcome") < 0).cast("int")), 1).alias("shrank_pct"),
+        F.round(100.0 * F.avg((F.col("underwritten") > F.col("outcome")).cast("int")), 1).alias("optimistic_pct"),
+        F.array_join(F.sort_array(F.collect_list("deal_id")), ",").alias("deal_ids"),
+    ).where(F.col("n") >= least)
     open_ = mine.where("refusal is null").select("target_id", "vertical", "size", "retention")
-    parts = []
-    for i, (vertical, size, retention) in enumerate(RUNGS):
-        keys = [k for k, used in (("vertical", vertical), ("size", size), ("retention", retention)) if used]
-        stats = deals.groupBy(*keys).agg(
-            F.count("*").alias("n"),
-            F.percentile("outcome", F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9))).alias("p"),
-            F.round(100.0 * F.avg((F.col("outcome") < 0).cast("int")), 1).alias("shrank_pct"),
-            F.round(100.0 * F.avg((F.col("underwritten") > F.col("outcome")).cast("int")), 1).alias("optimistic_pct"),
-            F.array_join(F.sort_array(F.collect_list("deal_id")), ",").alias("deal_ids"),
-        ).where(F.col("n") >= least)
-        joined = open_.join(stats, keys) if keys else open_.join(F.broadcast(stats))
-        parts.append(joined.select("target_id", F.lit(i).alias("rung"), "n", "p", "shrank_pct", "optimistic_pct", "deal_ids"))
-    rungs = parts[0]
-    for part in parts[1:]:
-        rungs = rungs.unionByName(part)
+    rungs = on_rungs(open_).join(stats, keys)
     best = rungs.groupBy("target_id").agg(
         F.min_by(F.struct("rung", "n", "p", "shrank_pct", "optimistic_pct", "deal_ids"), "rung").alias("b")
     )
