@@ -312,8 +312,8 @@ def mix_sources(docs: DataFrame, **settings) -> DataFrame:
 
 
 def deal_documents(docs: DataFrame, columns: list[str], **settings) -> DataFrame:
-    """``columns`` of the mixed rows themselves: each as often as it is drawn, those of a shard together
-    and in an order of their own."""
+    """``columns`` of the mixed rows themselves: each as often as it is drawn, dealt to 16 slices of its
+    shard, each of which stands together in an order of its own."""
     mix = Mix(cut(sized_documents(docs)), **settings)
     types = dict(docs.dtypes)
     rows = pick(docs, **{c: types[c] for c in columns})
