@@ -205,9 +205,12 @@ def simhash_components(docs: DataFrame, words: int = SHINGLE_WORDS, radius: int
     classes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
     links = cut(near_links(classes.select("fp"), radius))
     roots = connected_components(links).withColumnRenamed("node", "fp")
-    classes = classes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = classes.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = classes.join(least, "root").select("fp", "component_id")
+    # Only classes that a link reaches need their component's smallest doc_id. It is written first: a join
+    # of two shuffled sides is one that Spark can split where a component has very many classes.
+    linked = cut(classes.join(roots, "fp"))
+    least = cut(linked.groupBy("root").agg(F.min("least").alias("component_id")))
+    linked = linked.join(least, "root").select("fp", "component_id")
+    classes = classes.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
     return prints.join(classes, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
