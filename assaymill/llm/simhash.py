@@ -211,6 +211,7 @@ def simhash_components(docs: DataFrame, words: int = SHINGLE_WORDS, radius: int
     least = cut(linked.groupBy("root").agg(F.min("least").alias("component_id")))
     linked = linked.join(least, "root").select("fp", "component_id")
     classes = classes.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
+    classes = cut(classes)  # likewise, for a fingerprint that very many rows have
     return prints.join(classes, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
