@@ -190,3 +190,23 @@ def test_near_copies_meet_and_others_do_not(spark):
     docs = spark.createDataFrame([(1, " ".join(base)), (2, " ".join(near)), (3, words(rng, 600))], "doc_id long, text string")
     kept = simhash.keep_one_of_each(docs, docs.columns, words=5, radius=7).select("doc_id").collect()
     assert sorted(r.doc_id for r in kept) == [1, 3]
+
+
+def test_similar_texts_are_linked_and_others_are_not(spark):
+    rng = random.Random(31)
+    rows, kept, dropped = [], set(), set()
+    for i in range(60):
+        base = words(rng, 300).split()
+        edits = (5, 6, 12)[i % 3]
+        other = base.copy()
+        for at in rng.sample(range(5, 295), edits):
+            other[at] = f"edit{i}x{at}"
+        sets = [set(zip(*[t[k:] for k in range(5)], strict=False)) for t in (base, other)]
+        alike = len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+        rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(other))]
+        (dropped if alike >= 0.8 else kept).add(2 * i + 1)
+        kept.add(2 * i)
+    assert len(dropped) > 15 and len(kept) > 75
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id for r in simhash.keep_one_of_each(docs, docs.columns, words=5, radius=7).collect()}
+    assert got == kept
