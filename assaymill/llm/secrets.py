@@ -1,8 +1,8 @@
 """Secret scans: patterns of known kinds, and zstandard novelty in sensitive places.
 
-A run of key characters near a word such as ``secret`` is a candidate. Its novelty is what it adds to
-the compressed size of the text around it, with a dictionary of identifiers primed into the compressor:
-names and words are cheap there, random keys cost nearly all their bytes. Incompressible candidates are
+A run of key characters near a word such as ``secret``, before or after it, is a candidate. Its novelty is what it adds to
+the compressed size of the text around it, with a dictionary of identifiers and words primed into the compressor:
+names, paths and long words are cheap there, random keys cost nearly all their bytes. Incompressible candidates are
 reported beside the matches of the patterns.
 """
 
@@ -38,6 +38,38 @@ IDENTIFIERS = " ".join(
               "name", "username", "host", "port", "url", "return", "self", "const", "import", "export", "environ", "bearer")
 ) + " abcdefghijklmnopqrstuvwxyz ABCDEFGHIJKLMNOPQRSTUVWXYZ 0123456789 xxxxxxxxxxxxxxxx ****************"
 
+#: What stands between two = of a run, with the padding after it.
+PART = re.compile(r"[^=]+=*")
+
+#: Long words of prose, paths and code, and parts of such words: primes the compressor, too.
+WORDS = """
+authentication authorization authorize administrator administration application applications service services server
+client customer account accounts configuration configurations settings setting environment environments production
+development deployment deployments component components container kubernetes infrastructure organization organizations
+international internationalization localization information management manager department documentation document
+documents reference references database databases repository repositories project projects packages package modules
+module source sources scripts script resources resource assets static public private internal external security secure
+encryption decryption encrypted certificate certificates signature verification validation registration notification
+notifications communication communications transaction transactions transport connection connections controller
+controllers handler handlers manager provider providers factory interface implementation abstract exception runtime
+response request requests session sessions storage bucket endpoint endpoints function functions variable variables
+template templates example examples tutorial testing integration performance responsibility responsibilities
+relationship understanding characteristic characteristics representative representation recommendation recommendations
+government environmental professional educational traditional additional conditional national regional institution
+university community technology technologies development successful successfully immediately particularly
+approximately significant significantly unfortunately nevertheless straightforward self-contained well-known
+state-of-the-art step-by-step end-to-end up-to-date long-term short-term user-friendly open-source
+home/user/ usr/local/bin/ usr/share/ etc/ var/log/ opt/ src/main/java/com/ src/components/ lib/ node_modules/ path/to/ org/ com/ net/
+en/ de/ fr/ es/ index login Login Form Page View Model Controller Service Manager Handler Factory Provider Repository
+secret_file_name file_name file-name keys key-vault private-keys access-keys secret-manager password-reset reset-password
+Geschwindigkeit Begrenzung begrenzung Verwaltung verwaltung Versicherung versicherung Gesellschaft gesellschaft schaften
+keit heit ung ungen lich lichkeit Entwicklung entwicklung Verantwortung Bundes Regierung regierung Arbeit arbeits
+Wissenschaft wissenschaftlich Sicherheit sicherheits Geheimnis Schlüssel Passwort Benutzer benutzer Zugang zugangs
+anticonstitutionnellement gouvernement développement établissement administration malheureusement particulièrement
+responsabilité responsabilidad desarrollo administración organización información aproximadamente particularmente
+tion tions ment ments ness able ible ally ization isation ological ography ically ences ances
+"""
+
 REACH = 64
 AROUND = 256
 NOVELTY = 0.75
@@ -48,7 +80,7 @@ SPAN = "array<struct<kind:string,start:int,end:int,novelty:double>>"
 class Novelty:
     """Marginal compressed bytes for each byte of a candidate, given what surrounds it."""
 
-    def __init__(self, identifiers: str = IDENTIFIERS, level: int = 19):
+    def __init__(self, identifiers: str = WORDS + IDENTIFIERS, level: int = 19):
         import zstandard
 
         primed = zstandard.ZstdCompressionDict(identifiers.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
@@ -74,13 +106,25 @@ def base_spans(text: str) -> list[tuple[str, int, int, float | None]]:
     return found + [("hex", *m.span(), None) for m in HEX.finditer(text)]
 
 
-def mixed(run: str) -> bool:
-    """Whether a stretch of 16 characters or more, free of what joins words in paths and names, has both
-    digits and letters, as keys mostly do and names seldom."""
-    return any(
-        len(part) >= 16 and any(c.isdigit() for c in part) and any(c.isalpha() for c in part)
-        for part in re.split("[/_-]", run)
-    )
+def candidates(text: str) -> Iterator[tuple[int, int]]:
+    """Runs of key characters at most REACH from a sensitive word, before it or after. What stands before
+    an inner = and what stands after it are two."""
+    places = [m.span() for m in PLACE.finditer(text)]
+    at = 0
+    for m in CANDIDATE.finditer(text):
+        while at < len(places) and places[at][1] + REACH < m.start():
+            at += 1
+        for part in PART.finditer(m[0]):
+            start, end = m.start() + part.start(), m.start() + part.end()
+            if end - start >= 16 and any(a - REACH <= end and start <= b + REACH for a, b in near(places, at, end)):
+                yield start, end
+
+
+def near(places: list[tuple[int, int]], at: int, end: int) -> Iterator[tuple[int, int]]:
+    """Places from number ``at`` on that begin at most REACH after ``end``."""
+    while at < len(places) and places[at][0] - REACH <= end:
+        yield places[at]
+        at += 1
 
 
 def find_spans(text: str, novelty: Novelty, threshold: float = NOVELTY) -> list[tuple[str, int, int, float | None]]:
@@ -90,20 +134,12 @@ def find_spans(text: str, novelty: Novelty, threshold: float = NOVELTY) -> list[
     found = base_spans(text) if sensitive or "AKIA" in text else [("hex", *m.span(), None) for m in HEX.finditer(text)]
     if sensitive:
         taken = sorted((s, e) for _, s, e, _ in found)
-        last = 0
-        for place in PLACE.finditer(text):
-            for m in CANDIDATE.finditer(text, max(last, place.end()), place.end() + REACH + 512):
-                start, end = m.span()
-                if start > place.end() + REACH:
-                    break
-                while end < len(text) and CANDIDATE.fullmatch(text, start, end + 1):
-                    end += 1
-                if any(s < end and start < e for s, e in taken) or not mixed(text[start:end]):
-                    continue
-                value = novelty(text, start, end)
-                if value >= threshold:
-                    found.append(("novel", start, end, round(value, 4)))
-                    last = end
+        for start, end in candidates(text):
+            if any(s < end and start < e for s, e in taken):
+                continue
+            value = novelty(text, start, end)
+            if value >= threshold:
+                found.append(("novel", start, end, round(value, 4)))
     return sorted(found, key=lambda f: (f[1], KINDS.index(f[0])))
 
 

@@ -131,3 +131,28 @@ def test_language_of_edge_cases(spark):
     assert language.learn(empty_docs(spark)) == {}
     assert {r.lang_pred for r in language.identify_languages(docs, {}).collect()} == {"und"}
     assert {r.lang_pred for r in language.identify_languages(docs, {"en": b"the text"}).collect()} == {"und", "en"}
+
+
+def novel_of(text):
+    return [text[s:e] for k, s, e, _ in secrets.find_spans(text, secrets.Novelty()) if k == "novel"]
+
+
+def test_keys_of_any_make_are_novel_on_both_sides_of_the_word():
+    rng = random.Random(21)
+    hexes = "".join(rng.choices("0123456789abcdef", k=32))
+    keys = ["wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY", "-".join(hexes[a:b] for a, b in ((0, 8), (8, 12), (12, 16), (16, 20), (20, 32)))]
+    keys += ["".join(rng.choices(string.ascii_letters, k=32)) for _ in range(20)]
+    keys += ["".join(rng.choices(string.ascii_letters + string.digits + "-_", k=n)) for n in (32, 43) for _ in range(40)]
+    for key in keys:
+        assert novel_of(f"aws_secret_access_key = {key} and so on") == [key]
+        assert novel_of(f"we have <{key}> which is the api_key of it") == [key]
+    assert novel_of(f"aws_secret_access_key={keys[0]}") == [keys[0]]
+    far = " and a word" * 8
+    assert novel_of(f"{KEY}{far} secret{far} {KEY}") == []
+
+
+def test_paths_and_long_words_are_not_novel():
+    for name in ("src/components/authentication/LoginForm", "internationalization", "authentication-service-account", "Geschwindigkeitsbegrenzung", "path/to/secret_file_name"):
+        assert novel_of(f"the secret of {name} and so on") == []
+
+
