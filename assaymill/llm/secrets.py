@@ -135,7 +135,7 @@ def find_spans(text: str, novelty: Novelty, threshold: float = NOVELTY) -> list[
     if sensitive:
         taken = sorted((s, e) for _, s, e, _ in found)
         for start, end in candidates(text):
-            if any(s < end and start < e for s, e in taken):
+            if any(s <= start and end <= e for s, e in taken):
                 continue
             value = novelty(text, start, end)
             if value >= threshold:

@@ -156,3 +156,8 @@ def test_paths_and_long_words_are_not_novel():
         assert novel_of(f"the secret of {name} and so on") == []
 
 
+def test_a_candidate_that_reaches_beyond_a_base_span_is_masked_whole():
+    text = 'password = "hunter2A$9fKq83LmZx71Qw"'
+    assert novel_of(text) == ["hunter2A$9fKq83LmZx71Qw"]
+    assert secrets.redact(text, secrets.Novelty()) == '[SECRET]"'
+    assert novel_of(f'token = "{KEY}"') == []
