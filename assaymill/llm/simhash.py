@@ -345,20 +345,24 @@ def keep_one_of_each(
 ) -> DataFrame:
     """``columns`` (doc_id among them) of the rows that stay: of each component the one with the smallest doc_id.
 
-    Components are those of :func:`similar_components`. Of rows with the same doc_id in a component one
-    stays. A row without a doc_id stays only if nothing else of its component has one.
+    Components are those of :func:`similar_components`. One row of each stays, whatever rows of other
+    components have its doc_id or also have none: rows with a doc_id before those without, then by a digest
+    of ``columns`` and text.
     """
+    names = [*columns, *[c for c in ("doc_id", "text") if c not in columns]]
     types = dict(docs.dtypes)
-    rows = pick(docs, **{c: types[c] for c in columns})
-    texts = pick(docs, doc_id="long", text="string").withColumn("digest", F.xxhash64("doc_id", "text"))
+    rows = pick(docs, **{c: types.get(c, "string") for c in names})
+    rows = rows.withColumn("digest", F.xxhash64(*names, *[F.col(c).isNull() for c in names]))
+    texts = rows.select(F.col("doc_id").cast("long").alias("doc_id"), "digest", F.col("text").cast("string").alias("text"))
     found = similar_components(texts, words, radius, similar)
-    least = cut(found.groupBy("root").agg(F.min("doc_id").alias("component_id")))
-    found = found.join(least, "root")
-    stay = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").count()
-    stay = cut(stay.withColumnRenamed("doc_id", "stays"))
-    # The texts are dealt by doc_id once and not sorted: the side that is held in memory is bare identifiers.
-    kept = rows.join(stay.select("stays").hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("stays")), "left_semi")
-    return kept if stay.where("count > 1").isEmpty() else kept.dropDuplicates(["doc_id"])
+    copies = found.groupBy("root", "doc_id", "digest").agg(F.count("*").alias("copies"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest", "copies"))
+    stay = cut(copies.groupBy("root").agg(first.alias("row")).select("row.digest", "row.copies"))
+    # The texts are dealt by digest once and not sorted: the side that is held in memory is bare digests.
+    kept = rows.join(stay.select("digest").hint("shuffle_hash"), "digest", "left_semi")
+    if not stay.where("copies > 1").isEmpty():
+        kept = kept.dropDuplicates(["digest"])
+    return kept.select(*columns)
 
 
 def op3_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:

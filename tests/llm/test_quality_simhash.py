@@ -210,3 +210,12 @@ def test_similar_texts_are_linked_and_others_are_not(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r.doc_id for r in simhash.keep_one_of_each(docs, docs.columns, words=5, radius=7).collect()}
     assert got == kept
+
+
+def test_one_row_of_each_component_stays_under_shared_and_null_ids(spark):
+    rng = random.Random(12)
+    a, b, c, d, e = (words(rng, 80) for _ in range(5))
+    rows = [(None, a), (None, b), (None, a), (7, c), (7, d), (7, c), (None, c), (8, d), (9, e), (None, e)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = [(r.doc_id, r.text) for r in simhash.keep_one_of_each(docs, docs.columns, words=5, radius=7).collect()]
+    assert sorted(kept, key=str) == sorted([(None, a), (None, b), (7, c), (7, d), (9, e)], key=str)
