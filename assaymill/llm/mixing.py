@@ -238,9 +238,11 @@ class Mix:
         # Blocks that hold documents, in the order of their hash; words before each in its source.
         held = self.place(sized.select("doc_id", "source", "size")).groupBy("skey", "block").agg(F.sum("size").alias("words"))
         order = W.partitionBy("skey").orderBy("block")
+        # Blocks without words come last: a round that stops early takes the first ones with words.
+        wordless_last = W.partitionBy("skey").orderBy(F.col("words") == 0, "block")
         held = held.withColumns(
             {
-                "at": F.row_number().over(order) - 1,
+                "at": F.row_number().over(wordless_last) - 1,
                 "before": F.sum("words").over(order.rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("words"),
                 "n": F.count("*").over(W.partitionBy("skey")),
             }

@@ -189,3 +189,10 @@ def test_dealt_documents_are_those_drawn(spark):
     assert dealt.columns == docs.columns
     got = Counter(r.doc_id for r in dealt.collect())
     assert got == Counter({k: n for k, n in drawn.items() if n})
+
+
+def test_mixing_with_many_empty_texts_equals_sql(spark):
+    texts = [(i, None if i % 6 == 0 else "" if i % 3 == 0 else "word " * (1 + i % 7)) for i in range(400)]
+    docs = spark.createDataFrame([(i, f"s{i % 2}", t) for i, t in texts], "doc_id long, source string, text string")
+    got = mixing.mix_sources(docs).select("doc_id", "size", "source_size", "target", "taken")
+    same_as_sql(got, mixing.OP7_SQL, documents=docs.toPandas())
