@@ -1,18 +1,24 @@
 """License scans by sentence rules.
 
-A text is cut into sentences, each is normalised and looked up among known licence sentences, and the
-sequence of identifiers found is matched against ordered licence rules.
+A text is cut at sentence ends and line breaks, each piece is normalised, lines that follow one another are
+looked up among known licence sentences, and the sequence of identifiers found is matched against ordered licence rules.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assaymill.llm.common import pick, table, text_or_empty
 from assaymill.llm.urls import LOWER, UPPER
 
-CUT = r"[.!?;:]+[\x20\x09-\x0D]+|[\x0A\x0D]+"
+END, BREAK = r"[.!?;:]+[\x20\x09-\x0D]+", r"[\x0A\x0D]+"
+CUT = f"{END}|{BREAK}"
+
+#: What starts a line of comment and is left of it in a normal sentence.
+COMMENT = r"^(?:-+|rem|dnl)(?: |$)"
 
 # Sentences of public licences and of notices that name them, normalised.
 SENTENCES = {
@@ -48,6 +54,17 @@ SENTENCES = {
     "all rights reserved": "rights-reserved",
 }
 
+#: Sentences as they stand in the licences' own notices, where they differ; with all identifiers they hold.
+#: The SQL knows only those above, line by line.
+NOTICES = {
+    "licensed under the apache license version 2.0 the license": "apache-2.0-name",
+    "the above copyright notice and this permission notice including the next paragraph shall be included in all copies or substantial portions of the software": "mit-notice",
+    "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement": "mit-warranty",
+    "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version": "gpl-terms,gpl-3.0-later",
+    "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation version 3 of the license": "gpl-terms,gpl-3.0-name",
+    "you can redistribute it and or modify it under the terms of the gnu general public license version 3 as published by the free software foundation": "gpl-terms,gpl-3.0-name",
+}
+
 #: In order: the sentences that must follow one another, the licence, its kind. The first that fits decides.
 RULES = [
     (("gpl-free", "gpl-terms", "gpl-3.0-later"), "GPL-3.0-or-later", "copyleft"),
@@ -83,27 +100,43 @@ def anchors(sentences: dict[str, str]) -> str:
     return "(?i)" + "|".join(sorted(words))
 
 
+def sentence_pattern(sentences: dict[str, str]) -> str:
+    """Matches a known sentence among lines with `` | `` and sentences with `` || `` between them, over any
+    number of lines, but never over the end of a sentence."""
+    words = [r"(?: \|)? ".join(map(re.escape, s.split())) for s in sorted(sentences, key=len, reverse=True)]
+    return r"(?<=\| )(?:" + "|".join(words) + r")(?= \|)"
+
+
 def scan_licences(
     docs: DataFrame, sentences: dict[str, str] | None = None, rules: list | None = None
 ) -> DataFrame:
     """doc_id, n_sentences, sentence_ids, rule, license, category and all_licenses of every row of ``docs``.
 
-    sentence_ids: identifiers of known sentences in the order of the text, joined by commas. rule
-    (its number from 1), license and category: of the first rule whose identifiers follow one another
-    in that sequence; null if none does. all_licenses: of all rules that fit, each once, in order.
+    sentence_ids: identifiers of known sentences in the order of the text, joined by commas. A sentence
+    may be wrapped over any number of lines, each with or without a prefix of comments. rule (its number
+    from 1), license and category: of the first rule whose identifiers follow one another in that
+    sequence; null if none does. all_licenses: of all rules that fit, each once, in order.
 
     A null or empty text has no sentence: n_sentences 0, empty strings, nulls. Rows that repeat are all
     scanned. An empty table gives no rows. Other columns are ignored. The scan is local to a row, so
     nothing is shuffled; texts without any of the sentences' rarest words aren't cut up.
     """
-    sentences = SENTENCES if sentences is None else sentences
+    sentences = SENTENCES | NOTICES if sentences is None else sentences
     rules = RULES if rules is None else rules
     known = F.create_map(*[F.lit(x) for pair in sentences.items() for x in pair])
     rows = pick(docs, doc_id="long", text="string").select("doc_id", text_or_empty().alias("whole"))
-    parts = F.when(F.col("whole").rlike(anchors(sentences)), F.split("whole", CUT)).otherwise(
+    parts = F.when(F.col("whole").rlike(anchors(sentences)), F.split("whole", END)).otherwise(
         F.array().cast("array<string>")
     )
-    ids = F.array_compact(F.transform(parts, lambda s: F.element_at(known, normal(s))))
+
+    def lines(part: Column) -> Column:
+        pieces = F.transform(F.split(part, BREAK), lambda s: F.regexp_replace(normal(s), COMMENT, ""))
+        return F.array_join(F.filter(pieces, lambda s: s != ""), " | ")
+
+    cut_up = F.array_join(F.filter(F.transform(parts, lines), lambda s: s != ""), " || ")
+    rows = rows.select("doc_id", F.concat(F.lit("| "), cut_up, F.lit(" |")).alias("line"))
+    found = F.regexp_extract_all("line", F.lit(sentence_pattern(sentences)), F.lit(0))
+    ids = F.flatten(F.transform(found, lambda s: F.split(F.element_at(known, F.replace(s, F.lit(" | "), F.lit(" "))), ",")))
     rows = rows.select("doc_id", ids.alias("ids"))
     rows = rows.select(
         "doc_id",

@@ -196,3 +196,40 @@ def test_mixing_with_many_empty_texts_equals_sql(spark):
     docs = spark.createDataFrame([(i, f"s{i % 2}", t) for i, t in texts], "doc_id long, source string, text string")
     got = mixing.mix_sources(docs).select("doc_id", "size", "source_size", "target", "taken")
     same_as_sql(got, mixing.OP7_SQL, documents=docs.toPandas())
+
+
+NOTICE_TEXTS = {
+    "Apache-2.0": """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0""",
+    "GPL-3.0-or-later": """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.""",
+    "MIT": """The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.""",
+    "BSD-3-Clause": """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice.
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.""",
+}
+
+
+def test_notices_as_they_stand_wrapped_in_comments_or_on_one_line(spark):
+    rows = []
+    for name, text in NOTICE_TEXTS.items():
+        shapes = [text, " ".join(text.split()), "\n".join(text.split())]
+        shapes += ["\n".join(prefix + line for line in text.split("\n")) for prefix in ("# ", "// ", " * ", "-- ", "REM ", "dnl ")]
+        rows += [(f"{name} {i}", name, t) for i, t in enumerate(shapes)]
+    docs = spark.createDataFrame([(i, t) for i, (_, _, t) in enumerate(rows)], "doc_id long, text string")
+    got = {rows[r.doc_id][0]: r.license for r in licences.scan_licences(docs).collect()}
+    assert got == {key: name for key, name, _ in rows}
