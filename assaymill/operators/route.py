@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -30,6 +33,20 @@ def similarities(queries: DataFrame, pages: DataFrame, most_queries: int = 4096)
     return right.join(left).select("query_id", "page_id", F.round(dot(F.col("q"), F.col("p")), 6).alias("score"))
 
 
+def similarities_in_blocks(queries: DataFrame, pages: DataFrame, most_queries: int = 4096) -> DataFrame:
+    """As :func:`similarities`, for any number of queries: by blocks of ``most_queries`` at most, by a hash of query_id."""
+    n = queries.count()
+    blocks = max(1, math.ceil(n / most_queries))
+    while True:
+        keyed = queries.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
+        largest = keyed.groupBy("block").count().agg(F.max("count")).head()[0] or 0
+        if largest <= most_queries or blocks > 64 * n:
+            break
+        blocks *= 2
+    of_block = [similarities(keyed.where(F.col("block") == k), pages, most_queries) for k in range(blocks)]
+    return reduce(DataFrame.unionByName, of_block)
+
+
 def ranked(scores: DataFrame, k: int | None = None) -> DataFrame:
     """The pages of each query by score, ties by page."""
     order = W.partitionBy("query_id").orderBy(F.desc("score"), "page_id")

@@ -100,7 +100,7 @@ def _vectors(spark, sf_dir):
 
 def _ranked(spark, sf_dir, k=4):
     queries, pages = _vectors(spark, sf_dir)
-    scores = route.similarities(queries, pages).where("query_id <> page_id")
+    scores = route.similarities_in_blocks(queries, pages).where("query_id <> page_id")
     return route.ranked(scores, k)
 
 

@@ -155,6 +155,13 @@ def test_routing(spark):
         route.similarities(q.union(q), p, most_queries=1)
 
 
+def test_routing_of_more_queries_than_a_block(spark):
+    pages = spark.createDataFrame([(i, [float(i % 7), float(i % 5 + 1)]) for i in range(30)], "page_id int, embedding array<float>")
+    queries = pages.withColumnRenamed("page_id", "query_id")
+    got = route.ranked(route.similarities_in_blocks(queries, pages, most_queries=12), 3).collect()
+    assert sorted(got) == sorted(route.ranked(route.similarities(queries, pages), 3).collect()) and len(got) == 90
+
+
 def test_classifier_matches_ai_as_a_word(spark):
     rows = spark.createDataFrame([("Will AI win?", "clean_gem"), ("retain the available", "clean_gem"), ("founder leaves", "clean_gem")], "text string, archetype string")
     assert [(r.bucket, r.tag) for r in classify.classify(rows).collect()] == [("novel-real", "ai_displacement"), ("noise", "unmapped"), ("noise", "founder_dependency")]
