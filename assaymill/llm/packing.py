@@ -65,25 +65,19 @@ def first_fit_decreasing(sizes: list[int], capacity: int) -> list[tuple[int, int
 
 
 def encode_documents(docs: DataFrame, vocabulary_path: str, end_id: int) -> DataFrame:
-    """doc_id and ids (little-endian unsigned 16-bit where they fit, else 32-bit) of each row."""
+    """doc_id, n_ids and ids (little-endian unsigned, 16-bit where all fit, else 32-bit) of each row."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make = encoder(vocabulary_path)
-        narrow = max(make.size, end_id + 1) <= 1 << 16
-        end = np.array([end_id], dtype="<u4").tobytes()
+        end = make.pack([end_id])
         for batch in batches:
-            keys, ids, counts = [], [], []
-            for key, text in rows_of(batch, "doc_id", "text"):
-                coded = make(text) + end
-                counts.append(len(coded) // 4)
-                keys.append(key)
-                ids.append(np.frombuffer(coded, "<u4").astype("<u2").tobytes() if narrow else coded)
+            ids = [make.coded(text) + end for (text,) in rows_of(batch, "text")]
+            counts = np.fromiter(map(len, ids), "i8", len(ids)) // make.width
             yield pa.RecordBatch.from_arrays(
-                [pa.array(keys, pa.int64()), pa.array(counts, pa.int64()), pa.array(ids, pa.binary())],
-                names=["doc_id", "n_ids", "ids"],
+                [batch.column(0), pa.array(counts), pa.array(ids, pa.binary())], names=["doc_id", "n_ids", "ids"]
             )
 
-    return docs.mapInArrow(encode, "doc_id long, n_ids long, ids binary")
+    return docs.select("doc_id", "text").mapInArrow(encode, "doc_id long, n_ids long, ids binary")
 
 
 def pack_group(
@@ -124,15 +118,17 @@ def pack_documents(
 
     A null or empty text is the end id alone. Rows that repeat (the same doc_id, the same text) are
     packed once for each time they occur. A null doc_id stays null. An empty table gives no rows.
-    Other columns are ignored. Equal sizes keep the order of doc_id. A group that many equal
-    doc_ids make large is packed in runs of at most four times ``group_docs`` documents, and a run
-    ends early once it holds 64 million ids, so memory is bounded by that and the longest document.
+    Other columns are ignored. Equal sizes keep the order of doc_id. Rows are dealt to groups by a hash
+    of their doc_id and their place in the input, so many rows of one doc_id make no large group; other
+    files or splits of the same rows give other groups. A group is packed in runs of at most four times
+    ``group_docs`` documents, and a run ends early once it holds 16 million ids, so memory is bounded
+    by that and the longest document.
     """
     path = vocabulary_path or vocabulary(VOCABULARY)
     rows = pick(docs, doc_id="long", text="string")
     groups = max(1, math.ceil(rows.count() / group_docs))
     coded = encode_documents(rows, path, end_id).withColumn(
-        "grp", F.pmod(F.xxhash64("doc_id", F.lit("packing")), F.lit(groups)).cast("long")
+        "grp", F.pmod(F.xxhash64("doc_id", F.monotonically_increasing_id()), F.lit(groups)).cast("long")
     )
     dealt = coded.repartition("grp").sortWithinPartitions("grp", "doc_id", "n_ids", "ids")
 
@@ -141,7 +137,7 @@ def pack_documents(
             group, run, held, part = None, [], 0, 0
             for batch in batches:
                 for g, doc_id, n, ids in rows_of(batch, "grp", "doc_id", "n_ids", "ids"):
-                    if run and (g != group or len(run) >= 4 * group_docs or held >= 1 << 26):
+                    if run and (g != group or len(run) >= 4 * group_docs or held >= 1 << 24):
                         yield group, part, run
                         part = part + 1 if g == group else 0
                         run, held = [], 0

@@ -260,8 +260,7 @@ def write_shards(
 
     def write(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make = encoder(path)
-        narrow = max(make.size, end_id + 1) <= 1 << 16
-        end = np.array([end_id], dtype="<u4").tobytes()
+        end = make.pack([end_id])
         fs, folder = file_system(place)
         done, seq, open_ = [], 0, None
 
@@ -282,9 +281,8 @@ def write_shards(
                     fs.create_dir(folder, recursive=True)
                     trial = f"{folder}/_trial-{uuid.uuid4().hex}"
                     stream = fs.open_output_stream(trial)
-                    open_ = (Writer(stream, 2 if narrow else 4), stream, part, trial)
-                ids = make(text) + end
-                open_[0].add(key_of(doc_id), np.frombuffer(ids, "<u4").astype("<u2").tobytes() if narrow else ids)
+                    open_ = (Writer(stream, make.width), stream, part, trial)
+                open_[0].add(key_of(doc_id), make.coded(text) + end)
                 if open_[0].at >= shard_bytes:
                     close()
         if open_ is not None:
