@@ -23,6 +23,7 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterable, Iterator
+from urllib.parse import urlsplit
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +40,9 @@ FOOTER = struct.Struct("<QQQQQQQ8s")
 BLOCK_BYTES = 32_768
 SHARD_DOCS = 4096
 SHARD_BYTES = 128 << 20
+#: Ranges of doc_id at most: range partitioning samples on the driver in proportion to them. Larger ranges
+#: give several shards each.
+MOST_PARTS = 20_000
 BITS_PER_KEY = 10
 END_ID = 2
 VOCABULARY = "word_bpe_49k.json"
@@ -227,10 +231,18 @@ class Reader:
 
 
 def file_system(place: str):
-    """The file system of a folder and its path there; place may be a path or a URI."""
+    """The file system of a folder and its path there; place: a URI, or a path of this machine."""
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(place) if "://" in place or place.startswith("file:") else (fs.LocalFileSystem(), place)
+    if place.startswith("file:"):
+        return fs.LocalFileSystem(), urlsplit(place).path
+    return fs.FileSystem.from_uri(place.replace("s3a://", "s3://", 1)) if "://" in place else (fs.LocalFileSystem(), place)
+
+
+def qualified(spark, place: str) -> str:
+    """The folder as a URI of the file system that Spark itself would take for it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(place)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
 
 
 def write_shards(
@@ -245,18 +257,19 @@ def write_shards(
 
     One manifest row per shard: part and seq (their order is that of doc_id), path, n_docs, n_ids.
     A shard is written under a name of its own attempt and then renamed, so a task that runs twice
-    leaves one whole file; the manifest names no other. A null or empty text is the end id alone,
-    a null doc_id comes first, rows that repeat are all kept (ties in doc_id go by the text's hash,
-    then the text), an empty table gives no shard, other columns are ignored. ``place`` must be a
-    folder that all executors reach.
+    leaves one whole file; the manifest names no other. A shard ends after ``shard_docs`` documents or
+    ``shard_bytes``. A null or empty text is the end id alone, a null doc_id comes first, rows that
+    repeat are all kept (ties in doc_id go by the text's hash, then the place in the input), an empty
+    table gives no shard, other columns are ignored. Ranges part rows of one doc_id, and equal rows,
+    too, so many of these are no hot range. ``place`` must be a folder that all executors reach.
     """
     path = vocabulary_path or vocabulary(VOCABULARY)
-    rows = pick(docs, doc_id="long", text="string").withColumn("tie", F.xxhash64("text"))
-    parts = max(1, math.ceil(rows.count() / shard_docs))
-    ordered = rows.repartitionByRange(parts, F.asc_nulls_first("doc_id"), "tie").sortWithinPartitions(
-        F.asc_nulls_first("doc_id"), "tie", "text"
-    )
-    ordered = ordered.withColumn("part", F.spark_partition_id().cast("long"))
+    rows = pick(docs, doc_id="long", text="string")
+    rows = rows.withColumns({"tie": F.xxhash64("text"), "row": F.monotonically_increasing_id()})
+    parts = max(1, min(MOST_PARTS, math.ceil(rows.count() / shard_docs)))
+    order = [F.asc_nulls_first("doc_id"), "tie", "row"]
+    ordered = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    ordered = ordered.select("doc_id", "text", F.spark_partition_id().cast("long").alias("part"))
 
     def write(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make = encoder(path)
@@ -283,7 +296,7 @@ def write_shards(
                     stream = fs.open_output_stream(trial)
                     open_ = (Writer(stream, make.width), stream, part, trial)
                 open_[0].add(key_of(doc_id), make.coded(text) + end)
-                if open_[0].at >= shard_bytes:
+                if open_[0].at >= shard_bytes or open_[0].entries >= 2 * shard_docs:
                     close()
         if open_ is not None:
             close()
@@ -300,8 +313,15 @@ def write_shards(
 def read_shards(manifest: DataFrame, place: str) -> DataFrame:
     """Every document of the shards: doc_id, start (ids of all documents before it), ids (binary,
     little-endian unsigned 32-bit)."""
-    before = F.sum("n_ids").over(W.orderBy("part", "seq").rowsBetween(W.unboundedPreceding, -1))
-    shards = manifest.select("path", F.coalesce(before, F.lit(0)).alias("before"))
+    # Parts have a bound, so one task can number them; the shards of a part are few.
+    sums = manifest.groupBy("part").agg(F.sum("n_ids").alias("ids"), F.count("*").alias("shards"))
+    before = F.sum("ids").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1))
+    sums = cut(sums.select("part", F.coalesce(before, F.lit(0)).alias("first"), "shards"))
+    inside = F.sum("n_ids").over(W.partitionBy("part").orderBy("seq").rowsBetween(W.unboundedPreceding, -1))
+    shards = manifest.join(F.broadcast(sums.select("part", "first")), "part")
+    shards = shards.select("path", (F.col("first") + F.coalesce(inside, F.lit(0))).alias("before"))
+    # A stated number of tasks: Spark would join partitions as small as these into one.
+    tasks = max(1, min(MOST_PARTS, sums.agg(F.sum("shards")).head()[0] or 0))
 
     def read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, _ = file_system(place)
@@ -326,12 +346,12 @@ def read_shards(manifest: DataFrame, place: str) -> DataFrame:
                 if out:
                     yield batch_of(out)
 
-    return shards.repartition("path").mapInArrow(read, "doc_id long, start long, ids binary")
+    return shards.repartition(tasks, "path").mapInArrow(read, "doc_id long, start long, ids binary")
 
 
 def new_place(spark, name: str) -> str:
-    """A folder of its own under the shared one."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A folder of its own under the shared one, as a URI."""
+    return qualified(spark, f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}")
 
 
 def op9_sstable_roundtrip(spark, sf_dir: str) -> DataFrame:
