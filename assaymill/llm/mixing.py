@@ -23,6 +23,12 @@ MOST = 2
 BLOCK_WORDS = 1_000_000
 LEAST_BLOCKS = 1024
 SHARD_WORDS = 16_000_000
+#: Shards at least, however few the words.
+LEAST_SHARDS = 16
+#: Levels of the splitting tree between two that are dealt anew and written: its nodes spread over tasks as
+#: they grow in number, and the plan stays short.
+LEVELS_DEALT = 6
+MOST_PARTS = 2000
 SEED = "mix-1"
 #: Rows up to which the tables of sources and of blocks are broadcast; beyond it Spark shuffles them.
 BROADCAST_ROWS = 200_000
@@ -188,14 +194,17 @@ def shard_quotas(quotas: DataFrame, shards: int, seed: str = SEED) -> DataFrame:
     """quotas: rank, quota (blocks). Returns shard, rank, blocks: every shard's blocks of every source.
 
     The tree halves a range of shards until each stands alone; a half's blocks are in proportion to
-    its shards, which sources they come from is drawn.
+    its shards, which sources they come from is drawn. A node holds a number for each source, so a task holds
+    a few rows of that size; draws hang on a node's range alone, wherever it is computed.
     """
     nodes = quotas.agg(F.sort_array(F.collect_list(F.struct("rank", "quota"))).alias("q")).select(
         F.lit(0).cast("long").alias("low"),
         F.lit(shards).cast("long").alias("high"),
         F.transform("q", lambda x: x["quota"]).alias("quota"),
     )
-    for _ in range(max(0, math.ceil(math.log2(shards)))):
+    for level in range(max(0, math.ceil(math.log2(shards)))):
+        if level and level % LEVELS_DEALT == 0:
+            nodes = cut(nodes.repartition(min(MOST_PARTS, 1 << level), "low"))
         middle = F.expr("(low + high) div 2")
         nodes = nodes.withColumns(
             {"mid": middle, "blocks": F.aggregate("quota", F.lit(0).cast("long"), lambda a, b: a + b)}
@@ -228,6 +237,7 @@ class Mix:
         block_words: int = BLOCK_WORDS,
         least_blocks: int = LEAST_BLOCKS,
         shard_words: int = SHARD_WORDS,
+        least_shards: int = LEAST_SHARDS,
         seed: str = SEED,
     ):
         self.seed = seed
@@ -256,7 +266,7 @@ class Mix:
         quotas = self.held.groupBy("skey", "rank", "n", "whole").agg(F.count_if("more").alias("more"))
         quotas = quotas.withColumn("quota", F.col("n") * F.col("whole") + F.col("more"))
         words = self.sources.agg(F.sum("target")).head()[0] or 0
-        self.shards = max(1, math.ceil(words / shard_words))
+        self.shards = max(1, least_shards, math.ceil(words / shard_words))
         dealt = shard_quotas(quotas, self.shards, seed)
         # Shards take runs of a source's blocks: first once through all of them, then again.
         runs = W.partitionBy("rank").orderBy("shard").rowsBetween(W.unboundedPreceding, W.currentRow)
@@ -315,7 +325,12 @@ def mix_sources(docs: DataFrame, **settings) -> DataFrame:
 
 def deal_documents(docs: DataFrame, columns: list[str], **settings) -> DataFrame:
     """``columns`` of the mixed rows themselves: each as often as it is drawn, dealt to 16 slices of its
-    shard, each of which stands together in an order of its own."""
+    shard, each of which stands together in an order of its own.
+
+    A null or empty text has size 0, and its row is drawn as its block is; null sources and identifiers,
+    repeated rows and empty tables are as in :func:`mix_sources`. Columns of ``docs`` that aren't named, or
+    whose names clash with a named one, are left out.
+    """
     mix = Mix(cut(sized_documents(docs)), **settings)
     types = dict(docs.dtypes)
     rows = pick(docs, **{c: types[c] for c in columns})
@@ -334,8 +349,10 @@ def deal_documents(docs: DataFrame, columns: list[str], **settings) -> DataFrame
 
 
 def op7_mix_sources(spark, sf_dir: str) -> DataFrame:
-    """The contract's columns over all of ``documents``."""
-    return mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    """The contract's columns over all of ``documents``, and n_draws: how often the mix takes a row, by the
+    draws that the tree dealt to shards."""
+    found = mix_sources(table(spark, sf_dir, "documents")).withColumn("n_draws", F.size("draws").cast("long"))
+    return found.select("doc_id", "size", "source_size", "target", "taken", "n_draws")
 
 
 OP7_SQL = f"""
@@ -381,6 +398,7 @@ with sized as (
          whole + (case when before + words / 2.0 <= target - whole * source_size and words > 0 then 1 else 0 end) as times
   from cumulated
 )
-select p.doc_id, p.size, p.source_size, p.target, cast(p.size * d.times as bigint) as taken
+select p.doc_id, p.size, p.source_size, p.target, cast(p.size * d.times as bigint) as taken,
+       cast(d.times as bigint) as n_draws
 from placed p join drawn d on p.rank = d.rank and p.block = d.block
 """

@@ -4,12 +4,13 @@ Two fingerprints that differ in at most ``radius`` bits agree in at least one of
 of bits, so each distinct fingerprint is dealt once for each block value it has, and those that share
 a value are compared all with all, tile by tile: numpy's exclusive-or and bit counts, where tiles are
 cut from fingerprints ordered by population count and a pair of tiles whose population counts differ
-by more than the radius is skipped. No link is lost. A block value that more than ``tile_rows``
-fingerprints share is split into chunks, and each pair of chunks is a task of its own.
+by more than the radius is skipped. No link is lost. A block value that more than ``chunk_rows``
+fingerprints share is parted by blocks of its remaining bits in the same way; where even those values are
+shared by more, they are split into chunks, and each pair of chunks is compared on its own.
 
-Where links must mean similarity (:func:`similar_components`), the fingerprints only propose pairs. So do
-bands of minimum hashes, since 64 bits can't part 0.8 from 0.7, and each pair is confirmed by the exact
-Jaccard similarity of its sets of shingles.
+Where links must mean similarity (:func:`similar_components`), fingerprints are dealt by bands of minimum
+hashes instead, since no 64 bits part 0.8 from 0.7, tiles are compared within a wide radius, and each pair
+found is confirmed by the exact Jaccard similarity of its sets of shingles.
 """
 
 from __future__ import annotations
@@ -31,9 +32,14 @@ CHUNK_ROWS = 8192
 TILE = 512
 #: Jaccard similarity of the sets of shingles from which texts are near copies.
 SIMILAR = 0.8
-#: Minimum hashes: a pair of similarity 0.8 shares none of the bands in 1 of 9,800 cases, one of 0.85 in 1 of 8 million.
-BANDS, BAND_ROWS = 50, 8
-MULTIPLIERS = np.random.default_rng(SEED).integers(0, 1 << 64, BANDS * BAND_ROWS, "u8") | np.uint64(1)
+#: Minimum hashes: a pair of similarity 0.8 shares none of the bands in 1 of 9,000 cases, one of 0.85 in 1 of 10 million.
+BANDS, BAND_ROWS = 30, 6
+MULTIPLIERS = np.random.default_rng(SEED).integers(0, 1 << 32, (BANDS * BAND_ROWS, 1), "u4") | np.uint32(1)
+#: Fingerprints of sets of similarity 0.8 differ in 9.7 bits on average, with a deviation of 2.9: in over 20 bits
+#: in 1 of 5,000 cases.
+SIMILAR_BITS = 20
+#: Shingles of a chunk of sets that are compared in one go.
+CHUNK_SHINGLES = 1 << 20
 
 
 def shingle_hashes(text: str | None, words: int, seed: int = SEED) -> np.ndarray:
@@ -61,7 +67,7 @@ def fingerprint(hashes: np.ndarray) -> int:
     counts = np.zeros(64, "i8")
     for at in range(0, n, 1 << 14):
         part = hashes[at : at + (1 << 14)]
-        counts += np.unpackbits(part.view("u1").reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype="i8")
+        counts += np.unpackbits(part.view("u1").reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype="u2")
     return int(np.packbits(2 * counts > n, bitorder="little").view("<u8")[0])
 
 
@@ -92,34 +98,34 @@ class Forest:
             self.up = higher
         return self.up
 
+    def top(self, x: int) -> int:
+        up = self.up
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    def join(self, x: int, y: int) -> None:
+        x, y = self.top(x), self.top(y)
+        if x != y:
+            self.up[max(x, y)] = min(x, y)
+
     def link(self, a: np.ndarray, b: np.ndarray) -> None:
         root = self.flatten()
         a, b = root[a], root[b]
         pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)])[:, a != b], axis=1)
-        up = self.up
-
-        def top(x: int) -> int:
-            while up[x] != x:
-                up[x] = up[up[x]]
-                x = up[x]
-            return x
-
         for x, y in pairs.T.tolist():
-            x, y = top(x), top(y)
-            if x != y:
-                up[max(x, y)] = min(x, y)
+            self.join(x, y)
 
 
-def link_tiles(prints: np.ndarray, side: np.ndarray | None, radius: int, tile: int = TILE) -> Iterator[tuple[int, int]]:
-    """A spanning forest of the links among ``prints`` (distinct, unsigned 64-bit).
+def near_tiles(prints: np.ndarray, side: np.ndarray | None, radius: int, tile: int = TILE) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Pairs of tiles of ``prints`` (unsigned 64-bit, ordered by population count) with a table of which
+    pairs of theirs differ in at most ``radius`` bits.
 
     side: None to compare all with all, else only those of side 0 with those of side 1.
     """
-    order = np.argsort(np.bitwise_count(prints), kind="stable")
-    prints = prints[order]
     ones = np.bitwise_count(prints).astype(int)
-    forest = Forest(len(prints))
-    groups = [np.arange(len(prints))] * 2 if side is None else [np.flatnonzero(side[order] == k) for k in (0, 1)]
+    groups = [np.arange(len(prints))] * 2 if side is None else [np.flatnonzero(side == k) for k in (0, 1)]
     for i in range(0, len(groups[0]), tile):
         left = groups[0][i : i + tile]
         for j in range(i if side is None else 0, len(groups[1]), tile):
@@ -128,61 +134,98 @@ def link_tiles(prints: np.ndarray, side: np.ndarray | None, radius: int, tile: i
                 break
             if ones[left[0]] - ones[right[-1]] > radius:
                 continue
-            near = np.bitwise_count(prints[left][:, None] ^ prints[right][None, :]) <= radius
-            some = np.flatnonzero(near.any(1))
-            forest.link(left[some], right[near[some].argmax(1)])
-            root = forest.flatten()
-            near &= root[left][:, None] != root[right][None, :]
-            a, b = np.nonzero(near)
-            if len(a):
-                forest.link(left[a], right[b])
+            yield left, right, np.bitwise_count(prints[left][:, None] ^ prints[right][None, :]) <= radius
+
+
+def link_tiles(prints: np.ndarray, side: np.ndarray | None, radius: int, tile: int = TILE) -> Iterator[tuple[int, int]]:
+    """A spanning forest of the links among ``prints`` (distinct, unsigned 64-bit). side: as above."""
+    order = np.argsort(np.bitwise_count(prints), kind="stable")
+    prints = prints[order]
+    forest = Forest(len(prints))
+    for left, right, near in near_tiles(prints, None if side is None else side[order], radius, tile):
+        some = np.flatnonzero(near.any(1))
+        forest.link(left[some], right[near[some].argmax(1)])
+        root = forest.flatten()
+        near &= root[left][:, None] != root[right][None, :]
+        a, b = np.nonzero(near)
+        if len(a):
+            forest.link(left[a], right[b])
     root = forest.flatten()
     for i in np.flatnonzero(root != np.arange(len(root))):
         yield int(prints[i]), int(prints[root[i]])
 
 
+def bit_blocks(bits: list[int], blocks: int) -> list[int]:
+    """Masks of as many blocks, about equally wide, of the given bits."""
+    edges = [len(bits) * i // blocks for i in range(blocks + 1)]
+    return [sum(1 << b for b in bits[low:high]) for low, high in zip(edges, edges[1:], strict=False)]
+
+
+def signed(mask: int) -> int:
+    return mask - (1 << 64) if mask >> 63 else mask
+
+
+def runs_of(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """The rows of each combination of ``keys`` (long) of batches that are sorted by them."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        now = np.stack([batch.column(k).to_numpy(zero_copy_only=False) for k in keys])
+        cuts = [0, *(np.flatnonzero((now[:, 1:] != now[:, :-1]).any(0)) + 1).tolist(), batch.num_rows]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            if b > a:
+                if held and any(held[-1].column(k)[-1].as_py() != batch.column(k)[a].as_py() for k in keys):
+                    yield pa.Table.from_batches(held)
+                    held = []
+                held.append(batch.slice(a, b - a))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def chunk_pairs(rows: DataFrame, by: str) -> DataFrame:
+    """``rows`` with ``chunks``, dealt to pairs of chunks: adds low, high and own. by: a column whose hash gives
+    a row's own chunk. Each two rows of a group meet in one pair of chunks."""
+    rows = rows.withColumn("own", F.pmod(F.xxhash64(by), F.col("chunks")).cast("long"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks").cast("long") - 1)))
+    return rows.withColumns({"low": F.least("own", "other"), "high": F.greatest("own", "other")}).drop("other", "chunks")
+
+
 def near_links(distinct: DataFrame, radius: int = RADIUS, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """distinct: fp (long, each once). Returns a, b: links of at most ``radius`` bits, enough of them
-    to connect all that any such links connect."""
-    edges = [64 * i // (radius + 1) for i in range(radius + 2)]
-    blocks = F.array(
-        *[
-            F.struct(
-                F.lit(i).alias("block"),
-                F.shiftrightunsigned("fp", low).bitwiseAND((1 << (high - low)) - 1).alias("value"),
-            )
-            for i, (low, high) in enumerate(zip(edges, edges[1:], strict=False))
-        ]
-    )
-    dealt = distinct.select("fp", F.explode(blocks).alias("of")).select("fp", "of.block", "of.value")
+    to connect all that any such links connect.
+
+    A fingerprint is dealt ``radius + 1`` times, or ``(radius + 1) ** 2`` times where it shares a block value
+    with more than ``chunk_rows``: two that agree there differ in at most ``radius`` of the other bits, and
+    so agree in a block of these. With radius 3 a second value stands for 28 bits, so 2 * 10^12 evenly
+    spread fingerprints come to a group of ``chunk_rows``; comparing is quadratic beyond that.
+    """
+    n = radius + 1
+    masks = bit_blocks(list(range(64)), n)
+    rest = [bit_blocks([b for b in range(64) if not mask >> b & 1], n) for mask in masks]
+
+    def dealt_by(masks_: list[int], block: str) -> Column:
+        return F.array(*[F.struct(F.lit(i).cast("long").alias(block), F.col("fp").bitwiseAND(signed(m)).alias(f"{block}_value")) for i, m in enumerate(masks_)])
+
+    dealt = distinct.select("fp", F.inline(dealt_by(masks, "block")))
     # At most (radius + 1) * 2^(64 / (radius + 1)) rows whatever the input: 262,144 for radius 3.
-    large = dealt.groupBy("block", "value").count().where(F.col("count") > chunk_rows)
-    large = large.select("block", "value", F.ceil(F.col("count") / chunk_rows).cast("int").alias("chunks"))
-    if sum(1 << (b - a) for a, b in zip(edges, edges[1:], strict=False)) <= 1 << 20:
-        large = F.broadcast(large)
-    dealt = dealt.join(large, ["block", "value"], "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
-    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    dealt = dealt.select(
-        "block", "value", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "fp"
-    )
-    keys = ["block", "value", "low", "high"]
+    large = dealt.groupBy("block", "block_value").count().where(F.col("count") > chunk_rows)
+    large = cut(large.select("block", "block_value", F.lit(True).alias("large")))
+    none = F.array(F.struct(F.lit(-1).cast("long").alias("part"), F.lit(0).cast("long").alias("part_value")))
+    if large.isEmpty():
+        dealt = dealt.select("*", F.inline(none)).withColumn("chunks", F.lit(1))
+    else:
+        few = sum(1 << m.bit_count() for m in masks) <= 1 << 20
+        dealt = dealt.join(F.broadcast(large) if few else large, ["block", "block_value"], "left")
+        parts = F.get(F.array(*[dealt_by(m, "part") for m in rest]), F.col("block").cast("int"))
+        dealt = dealt.select("block", "block_value", "fp", F.inline(F.when(F.col("large"), parts).otherwise(none)))
+        keys = ["block", "block_value", "part", "part_value"]
+        chunks = dealt.where("part >= 0").groupBy(*keys).count().where(F.col("count") > chunk_rows)
+        chunks = cut(chunks.select(*keys, F.ceil(F.col("count") / chunk_rows).alias("chunks")))
+        dealt = dealt.join(chunks, keys, "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
+    keys = ["block", "block_value", "part", "part_value", "low", "high"]
+    dealt = chunk_pairs(dealt, "fp").select(*keys, "own", "fp")
     dealt = dealt.repartition(*keys).sortWithinPartitions(*keys)
 
     def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def runs() -> Iterator[np.ndarray]:
-            rest = None
-            for batch in batches:
-                now = np.stack([batch.column(k).to_numpy(zero_copy_only=False).astype("i8") for k in range(6)])
-                now = now if rest is None else np.concatenate([rest, now], axis=1)
-                cuts = np.flatnonzero((now[:4, 1:] != now[:4, :-1]).any(0)) + 1
-                for a, b in zip([0, *cuts[:-1]], cuts, strict=False):
-                    if b - a > 1:
-                        yield now[:, a:b]
-                rest = now[:, cuts[-1] if len(cuts) else 0 :]
-            if rest is not None and rest.shape[1] > 1:
-                yield rest
-
         found: list[tuple[int, int]] = []
 
         def batch_of() -> pa.RecordBatch:
@@ -190,17 +233,24 @@ def near_links(distinct: DataFrame, radius: int = RADIUS, chunk_rows: int = CHUN
             found.clear()
             return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
 
-        for run in runs():
-            side = None if run[2, 0] == run[3, 0] else (run[4] != run[2]).astype(int)
-            found.extend(link_tiles(run[5].view("<u8"), side, radius))
-            if len(found) > 100_000:
-                yield batch_of()
+        for run in runs_of(batches, keys):
+            if run.num_rows > 1:
+                side, prints = side_of(run), run["fp"].to_numpy().view("<u8")
+                found.extend(link_tiles(prints, side, radius))
+                if len(found) > 100_000:
+                    yield batch_of()
         if found:
             yield batch_of()
 
     return dealt.mapInArrow(compare, "a long, b long")
 
 
+def side_of(run: pa.Table) -> np.ndarray | None:
+    """None where a chunk meets itself, else 0 for the rows of the lower chunk and 1 for the higher."""
+    low, high = run["low"][0].as_py(), run["high"][0].as_py()
+    return None if low == high else (run["own"].to_numpy() != low).astype(int)
+
+
 def simhash_components(docs: DataFrame, words: int = SHINGLE_WORDS, radius: int = RADIUS) -> DataFrame:
     """doc_id, fingerprint (16 lower-case hex digits) and component_id of every row of ``docs``.
 
@@ -232,9 +282,10 @@ def band_values(shingles: np.ndarray) -> np.ndarray:
 
     if not len(shingles):
         return np.empty(0, "<i4")
-    least = np.full(len(MULTIPLIERS), np.iinfo("u8").max, "u8")
-    for at in range(0, len(shingles), 64):
-        np.minimum(least, (shingles[at : at + 64, None] * MULTIPLIERS).min(0), out=least)
+    high = (shingles >> np.uint64(32)).astype("u4")
+    least = np.full(len(MULTIPLIERS), np.iinfo("u4").max, "u4")
+    for at in range(0, len(high), 1024):
+        np.minimum(least, (MULTIPLIERS * high[at : at + 1024]).min(1), out=least)
     return np.array([xxhash.xxh32_intdigest(b.tobytes()) for b in least.reshape(BANDS, -1)], "<u4").view("<i4")
 
 
@@ -247,17 +298,16 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def sketches(docs: DataFrame, words: int) -> DataFrame:
-    """docs: doc_id, digest, text. Returns doc_id, digest, fp, set (a digest of the set of shingles), n (its
-    size) and bands of every row."""
+    """docs: doc_id, digest, text. Returns doc_id, digest, set (a digest of the set of shingles), its fp (each
+    shingle counts once), n (its size) and bands of every row."""
     import xxhash
 
     def make(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for (text,) in rows_of(batch, "text"):
-                hashes = shingle_hashes(text, words)
-                shingles = np.unique(hashes)
-                digest = np.array([fingerprint(hashes), xxhash.xxh64_intdigest(shingles.tobytes(), SEED)], "<u8")
+                shingles = np.unique(shingle_hashes(text, words))
+                digest = np.array([fingerprint(shingles), xxhash.xxh64_intdigest(shingles.tobytes(), SEED)], "<u8")
                 rows.append((*digest.view("<i8").tolist(), len(shingles), band_values(shingles)))
             fp, whole, n, bands = zip(*rows, strict=True) if rows else ((), (), (), ())
             arrays = [pa.array(fp, pa.int64()), pa.array(whole, pa.int64()), pa.array(n, pa.int64()), pa.array(bands, pa.list_(pa.int32()))]
@@ -293,49 +343,94 @@ def confirmed(pairs: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
     return both.select("a", "b", "left", "right").mapInArrow(judge, "a long, b long")
 
 
-def similar_components(docs: DataFrame, words: int, radius: int, similar: float = SIMILAR) -> DataFrame:
+def similar_links(run: pa.Table, radius: int, similar: float) -> Iterator[tuple[int, int]]:
+    """Links between sets of several roots: a forest of those with a similarity of ``similar`` or more.
+
+    run: set, fp, n, root, shingles, and low, high, own of a pair of chunks.
+    """
+    order = np.argsort(np.bitwise_count(run["fp"].to_numpy().view("<u8")), kind="stable")
+    run, side = run.take(order), side_of(run)
+    names, sizes = run["set"].to_numpy(), run["n"].to_numpy()
+    forest = Forest(len(names))
+    _, first, same = np.unique(run["root"].to_numpy(), return_index=True, return_inverse=True)
+    forest.link(np.arange(len(names)), first[same])
+    sets = [np.frombuffer(s.as_buffer(), "<u8") for s in run["shingles"]]
+    for left, right, near in near_tiles(run["fp"].to_numpy().view("<u8"), None if side is None else side[order], radius):
+        root = forest.flatten()
+        small, large = np.minimum(sizes[left][:, None], sizes[right]), np.maximum(sizes[left][:, None], sizes[right])
+        near &= (small >= similar * large) & (root[left][:, None] != root[right])
+        for i, j in zip(*(x.tolist() for x in np.nonzero(near)), strict=True):
+            a, b = left[i], right[j]
+            if forest.top(a) != forest.top(b) and similarity(sets[a], sets[b]) >= similar:
+                forest.join(a, b)
+                yield int(names[a]), int(names[b])
+
+
+def open_links(rows: DataFrame, radius: int, similar: float, chunk_shingles: int = CHUNK_SHINGLES) -> DataFrame:
+    """rows: band, value, set, fp, n, root, shingles. Returns a, b: links between sets of several roots of a
+    band's value.
+
+    Values whose sets have more than ``chunk_shingles`` shingles are split into chunks, and each pair of
+    chunks is compared on its own, so memory is bounded by that and the longest texts. Only links leave a
+    task, fewer than it has sets.
+    """
+    chunks = rows.groupBy("band", "value").agg(F.ceil(F.sum("n") / chunk_shingles).alias("chunks"))
+    rows = rows.join(cut(chunks), ["band", "value"])
+    keys = ["band", "value", "low", "high"]
+    dealt = chunk_pairs(rows, "set").select(*[F.col(k).cast("long") for k in keys], "own", "set", "fp", "n", "root", "shingles")
+    dealt = dealt.repartition(*keys).sortWithinPartitions(*keys)
+
+    def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for run in runs_of(batches, keys):
+            links = list(similar_links(run, radius, similar))
+            if links:
+                a, b = zip(*links, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return dealt.mapInArrow(compare, "a long, b long")
+
+
+def similar_components(docs: DataFrame, words: int, radius: int = RADIUS, similar: float = SIMILAR) -> DataFrame:
     """docs: doc_id, digest (of the row), text. Returns doc_id, digest and root of every row: root is one
     for all sets of shingles that links of at least ``similar`` connect.
 
-    Equal sets are one class. Pairs of classes are proposed by fingerprints within ``radius`` bits and by
-    shared bands: first each class with the smallest of each of its bands, and then, where a band still
-    has classes of several components, all pairs of these that their sizes allow. So a large group of
-    near copies costs rows in proportion to it, as far as its members resemble its smallest.
+    Equal sets are one class. Links of fingerprints within ``radius`` bits propose pairs of classes. Classes
+    are also dealt by the values of their bands: first each is compared with the smallest of each value it
+    has, so a large group of near copies costs rows in proportion to it; then, where a value still has
+    classes of several components, these are compared tile by tile. Pairs in a band are compared by
+    fingerprint, within ``SIMILAR_BITS``, and by size; every pair at last by its sets. A null or empty text
+    has the empty set, which is one class.
     """
     rows = cut(sketches(docs, words))
     classes = cut(rows.groupBy("set").agg(*[F.min(c).alias(c) for c in ("fp", "n", "digest")], F.any_value("bands").alias("bands")))
-    dealt = classes.select("set", "n", F.posexplode("bands").alias("band", "value"))
-    shared = dealt.groupBy("band", "value").agg(F.min(F.struct("set", "n")).alias("least"), F.count("*").alias("k")).where("k > 1")
-    shared = cut(dealt.join(shared, ["band", "value"]).select("band", "value", "set", "n", "least"))
-
-    def fits(one: Column, two: Column) -> Column:
-        return F.least(one, two) >= similar * F.greatest(one, two)
-
+    dealt = classes.select("set", "fp", "n", F.posexplode("bands").alias("band", "value"))
+    shared = dealt.groupBy("band", "value").agg(F.min(F.struct("set", "fp", "n")).alias("least"), F.count("*").alias("k")).where("k > 1")
+    # What is joined is written first: Spark can split a hot key where both sides are bare shuffles.
+    shared = cut(dealt.join(cut(shared.drop("k")), ["band", "value"]))
+
+    fits = F.least("n", "least.n") >= similar * F.greatest("n", "least.n")
+    close = F.bit_count(F.col("fp").bitwiseXOR(F.col("least.fp"))) <= SIMILAR_BITS
+    star = shared.where((F.col("set") != F.col("least.set")) & fits & close).select(F.col("least.set").alias("one"), F.col("set").alias("two"))
     # Of a fingerprint that several sets have, the smallest set stands for it.
-    first = classes.groupBy("fp").agg(F.min("set").alias("first"))
+    first = cut(classes.groupBy("fp").agg(F.min("set").alias("first")))
     linked = near_links(first.select("fp"), radius)
     linked = linked.join(first.toDF("a", "one"), "a").join(first.toDF("b", "two"), "b").select("one", "two")
     same = classes.join(first, "fp").where("set != first").select(F.col("first").alias("one"), F.col("set").alias("two"))
-    star = shared.where((F.col("set") != F.col("least.set")) & fits(F.col("n"), F.col("least.n")))
-    proposed = star.select(F.col("least.set").alias("one"), F.col("set").alias("two")).unionByName(linked).unionByName(same)
+    proposed = star.unionByName(linked).unionByName(same)
     proposed = cut(proposed.select(F.least("one", "two").alias("a"), F.greatest("one", "two").alias("b")).distinct())
 
     named = proposed.select(F.col("a").alias("set")).union(proposed.select("b")).union(shared.select("set")).distinct()
-    named = classes.select("set", "digest").join(named, "set")
+    named = classes.select("set", "digest").join(named, "set", "left_semi")
     sets = cut(shingle_sets(docs.select("digest", "text").join(named.hint("shuffle_hash"), "digest").select("set", "text"), words).dropDuplicates(["set"]))
     links = cut(confirmed(proposed, sets, similar))
     roots = cut(connected_components(links).withColumnRenamed("node", "set"))
 
-    placed = shared.select("band", "value", "set", "n").join(roots, "set", "left").withColumn("root", F.coalesce("root", "set"))
+    placed = shared.drop("least").join(roots, "set", "left").withColumn("root", F.coalesce("root", "set"))
     open_ = placed.groupBy("band", "value").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high")
-    open_ = cut(placed.join(open_.select("band", "value"), ["band", "value"]))
-    other = open_.select("band", "value", *[F.col(c).alias(f"{c}_2") for c in ("set", "n", "root")])
-    rest = open_.join(other, ["band", "value"]).where((F.col("set") < F.col("set_2")) & (F.col("root") != F.col("root_2")) & fits(F.col("n"), F.col("n_2")))
-    rest = rest.select(F.col("set").alias("a"), F.col("set_2").alias("b")).distinct()
-    rest = cut(rest.join(proposed, ["a", "b"], "left_anti"))
-    more = cut(confirmed(rest, sets, similar))
+    open_ = cut(placed.join(cut(open_.select("band", "value")), ["band", "value"]))
+    more = cut(open_links(open_.join(sets, "set"), SIMILAR_BITS, similar))
     if not more.isEmpty():
-        roots = cut(connected_components(links.unionByName(more)).withColumnRenamed("node", "set"))
+        roots = cut(connected_components(roots.toDF("a", "b").unionByName(more)).withColumnRenamed("node", "set"))
     roots = cut(classes.select("set").join(roots, "set", "left").withColumn("root", F.coalesce("root", "set")))
     return rows.join(roots, "set").select("doc_id", "digest", "root")
 

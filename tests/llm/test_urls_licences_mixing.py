@@ -194,7 +194,8 @@ def test_dealt_documents_are_those_drawn(spark):
 def test_mixing_with_many_empty_texts_equals_sql(spark):
     texts = [(i, None if i % 6 == 0 else "" if i % 3 == 0 else "word " * (1 + i % 7)) for i in range(400)]
     docs = spark.createDataFrame([(i, f"s{i % 2}", t) for i, t in texts], "doc_id long, source string, text string")
-    got = mixing.mix_sources(docs).select("doc_id", "size", "source_size", "target", "taken")
+    got = mixing.mix_sources(docs).withColumn("n_draws", F.size("draws").cast("long"))
+    got = got.select("doc_id", "size", "source_size", "target", "taken", "n_draws")
     same_as_sql(got, mixing.OP7_SQL, documents=docs.toPandas())
 
 
@@ -233,3 +234,26 @@ def test_notices_as_they_stand_wrapped_in_comments_or_on_one_line(spark):
     docs = spark.createDataFrame([(i, t) for i, (_, _, t) in enumerate(rows)], "doc_id long, text string")
     got = {rows[r.doc_id][0]: r.license for r in licences.scan_licences(docs).collect()}
     assert got == {key: name for key, name, _ in rows}
+
+
+def test_shards_get_the_blocks_that_the_tree_gives_them(spark):
+    docs = spark.createDataFrame([(i, f"s{i % 3}", "word " * (1 + i % 5)) for i in range(600)], "doc_id long, source string, text string")
+    mix = mixing.Mix(mixing.sized_documents(docs), least_shards=100, least_blocks=64)
+    assert mix.shards == 100
+    draws = [(r.skey, r.block, d.round, d.shard) for r in mix.draws.collect() for d in r.draws]
+    assert len(draws) == len({d[:3] for d in draws})
+    held = mix.held.groupBy("skey", "rank", "n", "whole").agg(F.count_if("more").alias("more"))
+    quotas = {r.skey: (r["rank"], r.n * r.whole + r.more) for r in held.collect()}
+    assert Counter(d[0] for d in draws) == {k: q for k, (_, q) in quotas.items()}
+    tree = mixing.shard_quotas(held.selectExpr("rank", "n * whole + more as quota"), 100).collect()
+    rank = {k: r for k, (r, _) in quotas.items()}
+    assert Counter((rank[d[0]], d[3]) for d in draws) == {(r["rank"], r.shard): r.blocks for r in tree if r.blocks}
+    sizes = Counter(d[3] for d in draws)
+    assert max(sizes.values()) - min(sizes.values()) <= 7
+
+
+def test_dealing_of_nothing_and_of_texts_without_words(spark):
+    docs = empty_docs(spark)
+    assert mixing.deal_documents(docs, docs.columns).collect() == []
+    blank = spark.createDataFrame([(1, None), (2, ""), (None, " ")], "doc_id long, text string").selectExpr("*", "'a' as source")
+    assert mixing.deal_documents(blank, blank.columns).collect() == []
