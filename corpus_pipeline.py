@@ -8,9 +8,8 @@ from assaymill.llm import mixing, packing, quality, secrets, simhash
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
-#: Near copies: shingles of five words. Texts of similarity 0.9 (Jaccard, as sets) have fingerprints
-#: that differ in 6.6 of 64 bits on average; unrelated ones in 32.
-COPY_WORDS, COPY_BITS = 5, 7
+#: Near copies: sets of shingles of five words with a Jaccard similarity of 0.8 or more.
+COPY_WORDS = 5
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,8 +19,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest doc_id stays."""
-    return simhash.keep_one_of_each(docs, COLUMNS, words=COPY_WORDS, radius=COPY_BITS)
+    """Of each group of near copies the document with the smallest doc_id stays. A text without a word (null,
+    empty, blank) is a copy of any other such; a text of fewer than five words is one shingle."""
+    return simhash.keep_one_of_each(docs, COLUMNS, words=COPY_WORDS)
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
