@@ -13,13 +13,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assaymill.llm.common import cut, pick, rows_of, table
+from assaymill.llm.common import pick, rows_of, table
 
 UNKNOWN = "und"
 #: Documents of a language that its dictionary is filled from, and characters of each. These bound the
 #: labelled sample: a dictionary holds at most DOCS x CHARS characters.
 DOCS = 96
 CHARS = 2000
+#: Languages that are learned: those with most learnable documents, so the sample is at most LANGS x DOCS x CHARS.
+LANGS = 256
 CHUNK = 4096
 LEVEL = 3
 MARGIN = 0.01
@@ -36,27 +38,27 @@ def learnable(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 3 != 1
 
 
-def learn(docs: DataFrame, docs_kept: int = DOCS, chars: int = CHARS) -> dict[str, bytes]:
+def learn(docs: DataFrame, docs_kept: int = DOCS, chars: int = CHARS, langs: int = LANGS) -> dict[str, bytes]:
     """A dictionary for each non-null lang of the learnable rows of ``docs`` (doc_id, text, lang).
 
-    Identifiers of a language are dealt to ``docs_kept`` slots by hash and the lowest of each slot is
-    taken: a sample of fixed size that doesn't hang on the order of rows. Of each document it takes
-    ``chars`` characters, from a place in the text that the hash gives.
+    Identifiers of a language are dealt to ``docs_kept`` slots by hash and of each slot one piece is taken,
+    from the lowest hash: a sample of fixed size that doesn't hang on the order of rows. A piece is ``chars``
+    characters, from a place in the text that the hash gives. Null and empty texts and null identifiers
+    aren't learned from; of rows with one identifier the first piece by code point counts, once. Of more than
+    ``langs`` languages those with most documents are learned, ties by name. An empty table gives none.
     """
     rows = pick(docs, doc_id="long", lang="string", text="string").where(learnable(F.col("doc_id")))
     rows = rows.where("lang is not null and doc_id is not null")
     hash_ = F.xxhash64("doc_id", F.lit("learn"))
-    slots = rows.where(F.length("text") > 0).groupBy("lang", F.pmod(hash_, F.lit(docs_kept)).alias("slot"))
-    lowest = cut(slots.agg(F.min(hash_).alias("h")).select("lang", "h"))
-    rows = rows.withColumn("h", hash_)
     length = F.length("text")
-    start = F.when(length > chars, F.pmod(F.shiftright("h", 8), length - chars)).otherwise(0)
-    piece = F.col("text").substr(start.cast("int") + 1, F.lit(chars))
-    # At most docs_kept rows for each language.
-    taken = rows.join(F.broadcast(lowest), ["lang", "h"], "left_semi").select("lang", "h", piece.alias("piece"))
+    start = F.when(length > chars, F.pmod(F.shiftright(hash_, 8), length - chars)).otherwise(0)
+    piece = F.struct(hash_.alias("h"), F.col("text").substr(start.cast("int") + 1, F.lit(chars)).alias("piece"))
+    most = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(langs).select("lang")
+    pieces = rows.where(length > 0).select("lang", F.pmod(hash_, F.lit(docs_kept)).alias("slot"), piece.alias("of"))
+    taken = pieces.join(F.broadcast(most), "lang", "left_semi").groupBy("lang", "slot").agg(F.min("of").alias("of"))
     found: dict[str, list] = {}
-    for r in taken.collect():
-        found.setdefault(r["lang"], []).append((r["h"], letters(r["piece"])))
+    for r in taken.collect():  # at most langs x docs_kept rows
+        found.setdefault(r["lang"], []).append((r["of"]["h"], letters(r["of"]["piece"])))
     return {k: " ".join(t for _, t in sorted(v)).encode() for k, v in sorted(found.items())}
 
 

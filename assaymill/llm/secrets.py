@@ -1,8 +1,8 @@
 """Secret scans: patterns of known kinds, and zstandard novelty in sensitive places.
 
 A run of key characters near a word such as ``secret``, before or after it, is a candidate. Its novelty is what it adds to
-the compressed size of the text around it, with a dictionary of identifiers and words primed into the compressor:
-names, paths and long words are cheap there, random keys cost nearly all their bytes. Incompressible candidates are
+the compressed size of the text around it, with a dictionary of the corpus's own identifiers and of words primed into
+the compressor: names, paths and long words are cheap there, random keys cost nearly all their bytes. Incompressible candidates are
 reported beside the matches of the patterns.
 """
 
@@ -72,8 +72,16 @@ tion tions ment ments ness able ible ally ization isation ological ography icall
 
 REACH = 64
 AROUND = 256
+PIECE = 128
 NOVELTY = 0.75
 
+#: Names in code: words joined by _ or -, or by capitals. Without digits, and of short words, so keys aren't taken.
+NAME = r"\b(?:[A-Za-z]{2,16}(?:[_-][A-Za-z]{2,16})+|[A-Za-z][a-z]{1,15}(?:[A-Z][a-z]{1,15})+)\b"
+#: A text with one of these may hold code.
+CODE_SIGNS = ("_", "(", "{", "=")
+#: Names that are learned at most, and documents that must have one.
+NAMES_KEPT, NAME_DOCS = 2048, 8
+
 SPAN = "array<struct<kind:string,start:int,end:int,novelty:double>>"
 
 
@@ -93,9 +101,13 @@ class Novelty:
         return len(self.compressor.compress(text.encode()))
 
     def __call__(self, text: str, start: int, end: int) -> float:
-        before, after = text[max(0, start - AROUND) : start], text[end : end + AROUND]
-        whole = self.size(before + after + "\n" + text[start:end])
-        return (whole - self.size(before + after + "\n")) / len(text[start:end].encode())
+        """Of a long candidate the mean over its pieces, each by itself in the same place: in a long run the
+        code of its letters would be learned, too."""
+        around = text[max(0, start - AROUND) : start] + text[end : end + AROUND] + "\n"
+        alone = self.size(around)
+        cuts = [*range(start, max(start + 1, end - PIECE + 1), PIECE), end]
+        added = sum(self.size(around + text[a:b]) - alone for a, b in zip(cuts, cuts[1:], strict=False))
+        return added / len(text[start:end].encode())
 
 
 def base_spans(text: str) -> list[tuple[str, int, int, float | None]]:
@@ -143,16 +155,31 @@ def find_spans(text: str, novelty: Novelty, threshold: float = NOVELTY) -> list[
     return sorted(found, key=lambda f: (f[1], KINDS.index(f[0])))
 
 
-def scan_secrets(docs: DataFrame, threshold: float = NOVELTY) -> DataFrame:
+def learn_names(docs: DataFrame, most: int = NAMES_KEPT, least: int = NAME_DOCS) -> str:
+    """The names of code that most documents have: ``most`` at most, each in ``least`` or more of all rows of
+    ``docs`` (text). Null and empty texts have none, repeated rows count each time; of names in equally many
+    documents the first by code point are taken."""
+    rows = pick(docs, text="string")
+    signs = F.lit(False)
+    for sign in CODE_SIGNS:
+        signs = signs | F.contains("text", F.lit(sign))
+    names = rows.where(signs).select(F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(NAME), F.lit(0)))).alias("name"))
+    often = names.groupBy("name").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    return " ".join(r["name"] for r in often.orderBy(F.desc("n"), "name").limit(most).collect())
+
+
+def scan_secrets(docs: DataFrame, threshold: float = NOVELTY, names: str | None = None) -> DataFrame:
     """doc_id and spans (kind, start, end, novelty) of every row of ``docs`` (doc_id, text).
 
     Kinds: assign, access, hex (patterns; their novelty is null) and novel. Spans are ordered by start,
-    then kind. A null or empty text has none. Rows that repeat are all scanned. An empty table gives no
-    rows. Other columns are ignored. A row is scanned on its own, so nothing is shuffled.
+    then kind. names: what primes the compressor besides fixed words; by default the names of ``docs``
+    themselves. A null or empty text has none. Rows that repeat are all scanned. An empty table gives no
+    rows. Other columns are ignored. A row is scanned on its own, so no text is shuffled.
     """
+    names = learn_names(docs) if names is None else names
 
     def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        novelty = Novelty()
+        novelty = Novelty(f"{names} {WORDS}{IDENTIFIERS}")
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("novelty", pa.float64())]))
         for batch in batches:
             keys, spans = [], []
@@ -177,14 +204,20 @@ def redact(text: str | None, novelty: Novelty, mask: str = "[SECRET]", threshold
     return "".join([*out, text[at:]])
 
 
-def redact_documents(docs: DataFrame, columns: list[str], mask: str = "[SECRET]", threshold: float = NOVELTY) -> DataFrame:
-    """``columns`` of all rows of ``docs`` with secrets masked in text, and n_chars, if asked for, counted anew."""
+def redact_documents(docs: DataFrame, columns: list[str], mask: str = "[SECRET]", threshold: float = NOVELTY, names: str | None = None) -> DataFrame:
+    """``columns`` of all rows of ``docs`` with secrets masked in text, and n_chars, if asked for, counted anew.
+
+    names: as in :func:`scan_secrets`. A null text stays null (n_chars too), an empty one empty. Repeated rows
+    all stay, each masked alike. An empty table gives no rows. Columns that aren't named, or whose names clash
+    with a named one, are left out.
+    """
+    names = learn_names(docs) if names is None else names
     types = dict(docs.dtypes) | {"text": "string"}
     rows = pick(docs, **{c: types[c] for c in columns})
     schema = rows.schema
 
     def clean(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        novelty = Novelty()
+        novelty = Novelty(f"{names} {WORDS}{IDENTIFIERS}")
         at = columns.index("text")
         for batch in batches:
             texts = pa.array([redact(t, novelty, mask, threshold) for (t,) in rows_of(batch, "text")], pa.string())

@@ -161,3 +161,58 @@ def test_a_candidate_that_reaches_beyond_a_base_span_is_masked_whole():
     assert novel_of(text) == ["hunter2A$9fKq83LmZx71Qw"]
     assert secrets.redact(text, secrets.Novelty()) == '[SECRET]"'
     assert novel_of(f'token = "{KEY}"') == []
+
+
+def test_long_runs_are_judged_whole_and_in_time():
+    import time
+
+    rng = random.Random(30)
+    letters = "".join(rng.choices(string.ascii_letters, k=1_000_000))
+    began = time.time()
+    assert novel_of(f"the secret is {letters} and so on") == [letters]
+    assert novel_of(f"the secret is {'documentation' * 80_000} and so on") == []
+    assert time.time() - began < 5
+    for key in ("Kd8-fJ2-lQ9-xZ7-pW3-vB6-nM1-cR5", "qWeRtYuIoPaSdFgHjKlZxCvBnMqWeRtYuIoPzzQx", "ab/Cd9Ef2/Gh7Ij4Kl/1Mn0Op9Qr8/St7Uv6"):
+        assert novel_of(f"private key: {key}") == [key]
+
+
+def test_names_are_learned_from_the_corpus(spark):
+    docs = [(i, f"def zorgblatt_quuxify(x): return x_{i} + FrobnicateWidgets(x) # Kq{i}zW-ab") for i in range(12)] + [(99, None), (98, "")]
+    names = secrets.learn_names(spark.createDataFrame(docs, "doc_id long, text string"))
+    assert names.split() == ["FrobnicateWidgets", "zorgblatt_quuxify"]
+    assert secrets.learn_names(empty_docs(spark)) == ""
+    assert secrets.learn_names(spark.createDataFrame(docs[:7], "doc_id long, text string")) == ""
+
+
+def test_redaction_of_edge_cases(spark):
+    docs = edge_docs(spark)
+    out = secrets.redact_documents(docs, ["doc_id", "text", "n_chars"]).collect()
+    assert sorted(map(str, ((r.doc_id, r.text, r.n_chars) for r in out))) == sorted(str((r[0], r[1], r[4])) for r in edge_rows())
+    assert secrets.redact_documents(empty_docs(spark), ["doc_id", "text"]).collect() == []
+
+
+def test_a_repeated_identifier_gives_one_piece(spark):
+    import zlib
+
+    one, other = [i for i in range(50) if zlib.crc32(str(i).encode()) % 3 != 1][:2]
+    rows = [(one, "so many words " * 5, "xx")] * 3000 + [(other, "other words", "xx")]
+    learned = language.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert learned["xx"].count(b"so many words so many words so many words so many words so many words") == 1
+
+
+def test_languages_equal_brute_force(spark, sf_dir):
+    import zstandard
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    learned = language.learn(docs)
+    got = {r.doc_id: r for r in language.op6_language_id(spark, sf_dir).collect()}
+    primed = {k: zstandard.ZstdCompressionDict(v, dict_type=zstandard.DICT_TYPE_RAWCONTENT) for k, v in learned.items()}
+    for r in docs.collect()[::7]:
+        text = re.sub(r"[\W\d_]+", " ", (r.text or "").lower()).strip().encode()
+        sizes = {}
+        for lang, content in primed.items():
+            one = lambda x, c=content: len(zstandard.ZstdCompressor(level=3, dict_data=c, write_checksum=False, write_content_size=False, write_dict_id=False).compress(x))
+            sizes[lang] = sum(one(text[i : i + 4096]) for i in range(0, len(text), 4096))
+        best, second = sorted(sizes.values())[:2]
+        assert sizes[got[r.doc_id].lang_pred] == best
+        assert abs(got[r.doc_id].score - (second - best) / second) < 1e-9
