@@ -8,6 +8,7 @@ both have levels at which a subset holds a few of their terms and survives a few
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import math
 import struct
@@ -21,10 +22,11 @@ from pyspark.sql import functions as F
 
 from assaymill.llm.common import cut, pick, rows_of, table
 
-#: Band of document frequency, as shares of all documents. A term needs two documents at least. As every
-#: term of the band is in ``LOWEST`` of the documents or more, the lexicon has at most (mean distinct
-#: terms of a document) / LOWEST terms, however large the corpus.
+#: Band of document frequency, as shares of all documents. A term needs two documents at least. Where more
+#: than LEXICON terms lie in the band, its lower end rises: the lexicon is those of most documents. It is
+#: broadcast, as terms, and a worker holds LEVELS x SUBSETS bytes for each.
 LOWEST, HIGHEST = 0.0005, 0.1
+LEXICON = 400_000
 LEVELS, SUBSETS = 6, 24
 #: Subsets that must hold a term at a level for texts to be compared there.
 HELD = 6
@@ -73,11 +75,13 @@ def document_frequencies(docs: DataFrame) -> DataFrame:
     return counted.groupBy("term").agg(F.sum("n").alias("df"))
 
 
-def learn_lexicon(docs: DataFrame, lowest: float = LOWEST, highest: float = HIGHEST) -> list[bytes]:
-    """The terms of the band, in order."""
+def learn_lexicon(docs: DataFrame, lowest: float = LOWEST, highest: float = HIGHEST, most: int = LEXICON) -> list[bytes]:
+    """The terms of the band, in order: ``most`` at most, those of most documents, ties by term."""
     total = docs.count()
     least = max(2, math.ceil(lowest * total))
-    band = document_frequencies(docs).where(F.col("df").between(least, max(least, math.floor(highest * total))))
+    band = cut(document_frequencies(docs).where(F.col("df").between(least, max(least, math.floor(highest * total)))))
+    if band.count() > most:
+        band = band.orderBy(F.desc("df"), "term").limit(most)
     return sorted(bytes(r["term"]) for r in band.select("term").collect())
 
 
@@ -97,13 +101,17 @@ class Lexicon:
             self.members[:, k] = (mixed >> np.uint64(11)).astype(float) < 2.0 ** (53 - 2 * (k // subsets))
 
     def fingerprint(self, text: str) -> bytes:
-        """8 bytes for all terms, then 2 for each subset; 0 where a subset holds none of them."""
+        """8 bytes for all lexicon terms, then 2 for each subset; 0 where a subset holds none of them.
+
+        Of a text without a lexicon term the 8 bytes stand for its other terms: an empty signature would
+        make all such texts one.
+        """
         import xxhash
 
         terms = terms_of(text)
         find = self.place.get
         ids = sorted(i for i in map(find, terms) if i is not None)
-        if len(ids) < 4:  # too few to tell texts apart: all terms sign for the whole
+        if not ids:
             whole = xxhash.xxh64_intdigest(b" ".join(sorted(terms)), 11)
         else:
             whole = xxhash.xxh64_intdigest(self.hashes[ids].tobytes(), 13)
@@ -142,45 +150,46 @@ def edited(text: str, after: str) -> str:
 
 
 def neighbours(docs: DataFrame, part_docs: int = PART_DOCS) -> DataFrame:
-    """doc_id, text, part, extra, ordered within partitions by part, extra, doc_id: every row once, with
-    extra 0, and after a part's rows once more the row that follows them (extra 1), so that each row's
-    successor in the order of doc_id (null first, ties by text hash and text; after the last the
-    first) stands right behind it."""
+    """doc_id, body (the text, compressed), part, extra, tie, ordered within partitions by part, extra, doc_id,
+    tie: every row once, with extra 0, and after a part's rows once more the row that follows them (extra 1),
+    so that each row's successor in the order of doc_id (null first, ties by text hash; after the last the
+    first) stands right behind it.
+
+    Parts are ranges of doc_id and text hash, so many texts of one doc_id come to several parts.
+    """
     rows = pick(docs, doc_id="long", text="string").withColumn("text", F.coalesce("text", F.lit("")))
-    order = [F.asc_nulls_first("doc_id")]
-    total = docs.count()
-    parts = max(1, min(MOST_PARTS, math.ceil(total / part_docs)))
-    keys = rows.select("doc_id").repartitionByRange(parts, *order)
-    firsts = keys.groupBy(F.spark_partition_id().alias("p")).agg(
-        F.min("doc_id").alias("least"), F.count_if(F.col("doc_id").isNull()).alias("nulls")
-    )
-    # One row a part, at most MOST_PARTS. A part that starts with nulls starts at "no doc_id".
-    starts = [None if r["nulls"] else r["least"] for r in firsts.collect()]
-    starts = sorted(set(starts), key=lambda k: (k is not None, k or 0))
-    low = -(1 << 63)
-    bounds = np.array([low if k is None else k for k in starts], "i8")
-    first_null = bool(starts) and starts[0] is None
+    rows = rows.withColumn("tie", F.xxhash64("text"))
+    parts = max(1, min(MOST_PARTS, math.ceil(docs.count() / part_docs)))
+    order = [F.asc_nulls_first("doc_id"), F.asc("tie")]
+    key = F.struct(F.col("doc_id").isNotNull().alias("some"), F.coalesce("doc_id", F.lit(0)).alias("doc_id"), "tie")
+    keys = rows.select("doc_id", "tie").repartitionByRange(parts, *order)
+    firsts = keys.groupBy(F.spark_partition_id().alias("p")).agg(F.min(key).alias("least"))
+    # The least key of each part; one row a part, at most MOST_PARTS.
+    bounds = sorted({tuple(r["least"]) for r in firsts.collect()})
 
     def deal(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        press = zstandard.ZstdCompressor(level=1).compress
         for batch in batches:
-            ids = batch.column(0)
-            values = ids.fill_null(low).to_numpy(zero_copy_only=False)
-            own = np.maximum(np.searchsorted(bounds, values, side="right") - 1, 0)
-            if first_null and len(bounds) > 1 and bounds[1] == low:  # the smallest identifier itself
-                own = np.where(np.asarray(ids.is_null()), 0, np.maximum(own, 1))
-            head = np.flatnonzero(np.asarray(ids.is_null()) if first_null else np.zeros(len(values), bool))
-            head = np.union1d(head, np.flatnonzero((values == bounds[own]) & ~(np.asarray(ids.is_null()))))
-            at = np.concatenate([np.arange(len(values)), head])
-            part = np.concatenate([own, (own[head] - 1) % len(bounds)]).astype("i8")
-            extra = np.concatenate([np.zeros(len(values), "i4"), np.ones(len(head), "i4")])
-            taken = batch.take(pa.array(at))
+            found = []
+            heads = set()  # of equal rows that begin a part one is enough
+            for doc_id, text, tie in rows_of(batch, "doc_id", "text", "tie"):
+                own = doc_id is not None, doc_id or 0, tie
+                part = max(0, bisect.bisect_right(bounds, own) - 1)
+                body = press(text.encode())
+                found.append((doc_id, body, part, 0, tie))
+                if own == bounds[part] and own not in heads:
+                    heads.add(own)
+                    found.append((doc_id, body, (part - 1) % len(bounds), 1, tie))
+            kinds = [pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.int64()]
+            columns = zip(*found, strict=True) if found else [()] * len(kinds)
             yield pa.RecordBatch.from_arrays(
-                [taken.column(0), taken.column(1), pa.array(part), pa.array(extra)], names=["doc_id", "text", "part", "extra"]
+                [pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["doc_id", "body", "part", "extra", "tie"]
             )
 
-    dealt = rows.mapInArrow(deal, "doc_id long, text string, part long, extra int")
-    dealt = dealt.withColumn("tie", F.xxhash64("text")).repartition("part")
-    return dealt.sortWithinPartitions("part", "extra", *order, "tie", "text")
+    dealt = rows.mapInArrow(deal, "doc_id long, body binary, part long, extra int, tie long").repartition("part")
+    return dealt.sortWithinPartitions("part", "extra", *order)
 
 
 def imatch_fingerprints(docs: DataFrame, terms: list[bytes] | None = None) -> DataFrame:
@@ -192,15 +201,17 @@ def imatch_fingerprints(docs: DataFrame, terms: list[bytes] | None = None) -> Da
     comes the first, and a table of one row is its own next. terms: a lexicon; by default that of docs.
 
     A null text counts as empty; texts without a lexicon term have no subset hashes and are told
-    apart by a hash of all their terms. A null doc_id comes first; rows with equal doc_id go by text
-    hash, then text, and where a part begins with such rows the first of them follows the part before.
-    An empty table gives no rows. Other columns are ignored. Equal texts have equal fingerprints.
+    apart by a hash of their other terms. A null doc_id comes first; rows with equal doc_id go by text
+    hash, and rows equal in both follow one another. An empty table gives no rows. Other columns are ignored. Equal texts have equal fingerprints.
     """
     lexicon = learn_lexicon(docs) if terms is None else sorted(terms)
     sent = docs.sparkSession.sparkContext.broadcast(lexicon)
 
     def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
         known = Lexicon(sent.value)
+        unpress = zstandard.ZstdDecompressor().decompress
         names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
         kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
         out: list[tuple] = []
@@ -215,9 +226,10 @@ def imatch_fingerprints(docs: DataFrame, terms: list[bytes] | None = None) -> Da
         last = None  # doc_id, text, fingerprint, part
         closed = None  # the part whose successor has been met
         for batch in batches:
-            for doc_id, text, part, extra in rows_of(batch, "doc_id", "text", "part", "extra"):
+            for doc_id, body, part, extra in rows_of(batch, "doc_id", "body", "part", "extra"):
                 if extra and closed == part:
                     continue
+                text = unpress(body).decode()
                 own = known.fingerprint(text)
                 if last is not None and last[3] == part:
                     changed = edited(last[1], text)
@@ -234,7 +246,7 @@ def imatch_fingerprints(docs: DataFrame, terms: list[bytes] | None = None) -> Da
         if out:
             yield batch_of()
 
-    return neighbours(docs).drop("tie").mapInArrow(
+    return neighbours(docs).select("doc_id", "body", "part", "extra").mapInArrow(
         compare,
         "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, "
         "near_edited double, near_next double",

@@ -1,4 +1,7 @@
 import hashlib
+import math
+import re
+from collections import Counter
 
 import pytest
 
@@ -103,3 +106,72 @@ def test_exact_and_near_copies_leave_one(spark, sf_dir):
         by_text.setdefault(r.text, []).append(r.doc_id)
     lone = {ids[0] for ids in by_text.values()}
     assert len(lone & {r.doc_id for r in kept}) > 0.9 * len(lone)
+
+
+def naive_fingerprint(text, terms):
+    """All subsets, one term at a time."""
+    import xxhash
+
+    fold = {c: chr(c + 32) if 65 <= c <= 90 else chr(c) if 48 <= c <= 57 or 97 <= c <= 122 else " " for c in range(128)}
+    words = {w.encode() for w in re.split(r"[\x20\x09-\x0D]+", text.translate(fold)) if w}
+    held = sorted(words & set(terms))
+    hash_ = {t: xxhash.xxh64_intdigest(t, 7) for t in held}
+    line = lambda found: b"".join(hash_[t].to_bytes(8, "little") for t in found)
+    out = xxhash.xxh64_intdigest(line(held), 13) if held else xxhash.xxh64_intdigest(b" ".join(sorted(words)), 11)
+    out = [f"{out:016x}"]
+    top = 1 << 64
+    for k in range(imatch.LEVELS * imatch.SUBSETS):
+        inside = []
+        for t in held:
+            m = (hash_[t] ^ (k * 0x9E3779B97F4A7C15 + 0x632BE59BD9B4E019) % top) * 0xFF51AFD7ED558CCD % top
+            m = (m ^ m >> 33) * 0xC4CEB9FE1A85EC53 % top
+            if (m >> 11) < 2 ** (53 - 2 * (k // imatch.SUBSETS)):
+                inside.append(t)
+        out.append(f"{xxhash.xxh64_intdigest(line(inside), k) % 65535 + 1:04x}" if inside else "0000")
+    return "".join(out)
+
+
+def naive_likeness(a, b):
+    if a == b:
+        return 1.0
+    cells = lambda f: [f[16 + 4 * i : 20 + 4 * i] for i in range(imatch.LEVELS * imatch.SUBSETS)]
+    pairs = list(zip(cells(a), cells(b), strict=True))
+    levels = [pairs[i : i + imatch.SUBSETS] for i in range(0, len(pairs), imatch.SUBSETS)]
+    held = [[p for p in level if p != ("0000", "0000")] for level in levels]
+    from_ = max([i for i, h in enumerate(held) if len(h) >= imatch.HELD], default=0)
+    used = [p for h in held[from_:] for p in h]
+    return sum(x == y for x, y in used) / max(1, len(used))
+
+
+def test_fingerprints_and_likenesses_equal_brute_force(spark, sf_dir):
+    frame = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = sorted((r.doc_id, r.text) for r in frame.collect())
+    seen = Counter(w for _, t in docs for w in imatch.terms_of(t))
+    low, high = max(2, math.ceil(imatch.LOWEST * len(docs))), math.floor(imatch.HIGHEST * len(docs))
+    terms = sorted(t for t, n in seen.items() if low <= n <= max(low, high))
+    assert imatch.learn_lexicon(frame) == terms
+    assert imatch.learn_lexicon(frame, most=50) == sorted(sorted(terms, key=lambda t: (-seen[t], t))[:50])
+    rows = {r.doc_id: r for r in imatch.op10_imatch_fingerprints(spark, sf_dir).collect()}
+    for (doc_id, text), (_, after) in list(zip(docs, docs[1:] + docs[:1], strict=True))[::9]:
+        r, changed = rows[doc_id], text[: len(text) - len(text) // 2] + after[: len(text) // 2]
+        own, other, following = (naive_fingerprint(t, terms) for t in (text, changed, after))
+        assert (r.fingerprint, r.edited_fingerprint) == (own, other)
+        assert abs(r.near_edited - naive_likeness(own, other)) < 1e-9
+        assert abs(r.near_next - naive_likeness(own, following)) < 1e-9
+
+
+def test_texts_of_one_identifier_come_to_several_parts(spark):
+    docs = [(5, f"text {i}") for i in range(300)] + [(5, "the same")] * 50 + [(None, "x"), (9, "last")]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    rows = imatch.neighbours(frame, 20).collect()
+    assert len({r.part for r in rows if r.doc_id == 5}) > 5
+    assert len([r for r in rows if not r.extra]) == len(docs)
+    got = imatch.imatch_fingerprints(frame).collect()
+    assert sorted(r.n_chars for r in got) == sorted(len(t) for _, t in docs)
+
+
+def test_pipeline_of_nothing(spark, sf_dir):
+    docs = empty_docs(spark)
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, sf_dir)
+        assert docs.collect() == []
