@@ -15,75 +15,123 @@ from assaymill.llm.common import pick, table, text_or_empty
 from assaymill.llm.urls import LOWER, UPPER
 
 END, BREAK = r"[.!?;:]+[\x20\x09-\x0D]+", r"[\x0A\x0D]+"
-CUT = f"{END}|{BREAK}"
 
 #: What starts a line of comment and is left of it in a normal sentence.
 COMMENT = r"^(?:-+|rem|dnl)(?: |$)"
 
-# Sentences of public licences and of notices that name them, normalised.
-SENTENCES = {
-    "licensed under the apache license version 2.0": "apache-2.0-name",
-    "this work is licensed under the apache license version 2.0": "apache-2.0-name",
-    "released under the apache license version 2.0": "apache-2.0-name",
+#: A tag and its value are one sentence.
+TAG = r"([Ss][Pp][Dd][Xx]-[Ll]icense-[Ii]dentifier):[\x20\x09]*"
+
+# How notices name a licence.
+PHRASES = ["licensed under", "this work is licensed under", "released under", "distributed under", "available under"]
+NAMES = {
+    "apache-2.0": ["the apache license version 2.0", "the apache license 2.0"],
+    "mit": ["the mit license", "the terms of the mit license"],
+    "gpl-3.0": ["the gnu general public license version 3", "the gnu gpl version 3", "the gnu gpl v3"],
+    "gpl-2.0": ["the gnu general public license version 2", "the gnu gpl version 2"],
+    "bsd-3": ["the bsd 3-clause license", "the 3-clause bsd license"],
+    "bsd-2": ["the bsd 2-clause license", "the 2-clause bsd license"],
+    "cc-by-nc-4.0": ["cc by-nc 4.0", "a creative commons attribution-noncommercial 4.0 international license"],
+    "cc-by-sa-4.0": ["cc by-sa 4.0", "a creative commons attribution-sharealike 4.0 international license"],
+    "cc-by-4.0": ["cc by 4.0", "a creative commons attribution 4.0 international license"],
+    "mpl-2.0": ["the mozilla public license 2.0"],
+    "bsl-1.0": ["the boost software license version 1.0"],
+}
+# Identifiers of the public list of licences, with their kinds.
+TAGS = {
+    "MIT": "permissive", "Apache-2.0": "permissive", "BSD-2-Clause": "permissive", "BSD-3-Clause": "permissive", "ISC": "permissive",
+    "0BSD": "permissive", "Zlib": "permissive", "BSL-1.0": "permissive", "GPL-2.0-only": "copyleft", "GPL-2.0-or-later": "copyleft",
+    "GPL-3.0-only": "copyleft", "GPL-3.0-or-later": "copyleft", "LGPL-2.1-or-later": "copyleft", "LGPL-3.0-or-later": "copyleft",
+    "AGPL-3.0-only": "copyleft", "AGPL-3.0-or-later": "copyleft", "MPL-2.0": "copyleft", "EPL-2.0": "copyleft", "CC-BY-4.0": "permissive",
+    "CC-BY-SA-4.0": "copyleft", "CC-BY-NC-4.0": "non-commercial", "CC0-1.0": "public-domain", "Unlicense": "public-domain",
+}
+FOUNDATION = "as published by the free software foundation"
+MAY = "you can redistribute it and or modify it under the terms of the gnu {} public license"
+LATER = "either version {} of the license or at your option any later version"
+# Sentences of public licences and their notices, normalised, with all identifiers they hold.
+TEXTS = {
+    "licensed under the apache license version 2.0 the license": "apache-2.0-name",
     "you may not use this file except in compliance with the license": "apache-2.0-use",
     "you may obtain a copy of the license at": "apache-2.0-copy",
-    "spdx-license-identifier apache-2.0": "apache-2.0-spdx",
-    "released under the mit license": "mit-name",
-    "licensed under the mit license": "mit-name",
-    "this work is licensed under the mit license": "mit-name",
+    "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions": "mit-grant",
     "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software": "mit-notice",
+    "the above copyright notice and this permission notice including the next paragraph shall be included in all copies or substantial portions of the software": "mit-notice",
     "the software is provided as is without warranty of any kind express or implied": "mit-warranty",
-    "spdx-license-identifier mit": "mit-spdx",
-    "this work is licensed under the gnu general public license version 3": "gpl-3.0-name",
-    "licensed under the gnu general public license version 3": "gpl-3.0-name",
-    "released under the gnu general public license version 3": "gpl-3.0-name",
+    "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement": "mit-warranty",
+    "in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software": "mit-liability",
+    "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies": "isc-grant",
+    "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted": "0bsd-grant",
     "this program is free software": "gpl-free",
-    "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation": "gpl-terms",
-    "either version 3 of the license or at your option any later version": "gpl-3.0-later",
-    "spdx-license-identifier gpl-3.0-only": "gpl-3.0-spdx",
-    "spdx-license-identifier gpl-3.0-or-later": "gpl-3.0-later-spdx",
+    "this library is free software": "gpl-free",
+    f"{MAY.format('general')} {FOUNDATION}": "gpl-terms",
+    f"{MAY.format('general')} {FOUNDATION} {LATER.format(3)}": "gpl-terms,gpl-3.0-later",
+    f"{MAY.format('general')} {FOUNDATION} {LATER.format(2)}": "gpl-terms,gpl-2.0-later",
+    f"{MAY.format('general')} {FOUNDATION} version 3 of the license": "gpl-terms,gpl-3.0-name",
+    f"{MAY.format('general')} {FOUNDATION} version 2 of the license": "gpl-terms,gpl-2.0-name",
+    f"{MAY.format('general')} version 3 {FOUNDATION}": "gpl-terms,gpl-3.0-name",
+    f"{MAY.format('general')} version 2 {FOUNDATION}": "gpl-terms,gpl-2.0-name",
+    f"{MAY.format('lesser general')} {FOUNDATION}": "lgpl-terms",
+    f"{MAY.format('lesser general')} {FOUNDATION} {LATER.format(2.1)}": "lgpl-terms,lgpl-2.1-later",
+    f"{MAY.format('lesser general')} {FOUNDATION} {LATER.format(3)}": "lgpl-terms,gpl-3.0-later",
+    f"{MAY.format('affero general')} {FOUNDATION}": "agpl-terms",
+    f"{MAY.format('affero general')} {FOUNDATION} {LATER.format(3)}": "agpl-terms,gpl-3.0-later",
+    LATER.format(3): "gpl-3.0-later",
+    LATER.format(2): "gpl-2.0-later",
+    LATER.format(2.1): "lgpl-2.1-later",
     "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met": "bsd-terms",
+    "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer": "bsd-source",
+    "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution": "bsd-binary",
     "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission": "bsd-names",
-    "spdx-license-identifier bsd-3-clause": "bsd-3-spdx",
-    "licensed under cc by-nc 4.0": "cc-by-nc-4.0-name",
-    "this work is licensed under cc by-nc 4.0": "cc-by-nc-4.0-name",
-    "released under cc by-nc 4.0": "cc-by-nc-4.0-name",
-    "licensed under cc by 4.0": "cc-by-4.0-name",
-    "licensed under cc by-sa 4.0": "cc-by-sa-4.0-name",
+    "this source code form is subject to the terms of the mozilla public license v": "mpl-terms",
+    "if a copy of the mpl was not distributed with this file you can obtain one at https mozilla.org mpl 2.0": "mpl-copy",
+    "if a copy of the mpl was not distributed with this file you can obtain one at http mozilla.org mpl 2.0": "mpl-copy",
+    "this program and the accompanying materials are made available under the terms of the eclipse public license 2.0 which is available at https www.eclipse.org legal epl-2.0": "epl-terms",
+    "this software is provided as-is without any express or implied warranty": "zlib-warranty",
+    "the origin of this software must not be misrepresented": "zlib-origin",
     "this is free and unencumbered software released into the public domain": "unlicense-name",
+    "anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non-commercial and by any means": "unlicense-grant",
+    "to the extent possible under law the author s have dedicated all copyright and related and neighboring rights to this software to the public domain worldwide": "cc0-dedication",
     "all rights reserved": "rights-reserved",
 }
-
-#: Sentences as they stand in the licences' own notices, where they differ; with all identifiers they hold.
-#: The SQL knows only those above, line by line.
-NOTICES = {
-    "licensed under the apache license version 2.0 the license": "apache-2.0-name",
-    "the above copyright notice and this permission notice including the next paragraph shall be included in all copies or substantial portions of the software": "mit-notice",
-    "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement": "mit-warranty",
-    "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version": "gpl-terms,gpl-3.0-later",
-    "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation version 3 of the license": "gpl-terms,gpl-3.0-name",
-    "you can redistribute it and or modify it under the terms of the gnu general public license version 3 as published by the free software foundation": "gpl-terms,gpl-3.0-name",
-}
+SENTENCES = (
+    {f"{phrase} {name}": f"{key}-name" for key, names in NAMES.items() for name in names for phrase in PHRASES}
+    | {f"spdx-license-identifier {tag.lower()}": f"{tag.lower()}-spdx" for tag in TAGS}
+    | TEXTS
+)
 
 #: In order: the sentences that must follow one another, the licence, its kind. The first that fits decides.
 RULES = [
+    *[((f"{tag.lower()}-spdx",), tag, kind) for tag, kind in TAGS.items()],
+    (("gpl-free", "agpl-terms", "gpl-3.0-later"), "AGPL-3.0-or-later", "copyleft"),
+    (("gpl-free", "lgpl-terms", "lgpl-2.1-later"), "LGPL-2.1-or-later", "copyleft"),
+    (("gpl-free", "lgpl-terms", "gpl-3.0-later"), "LGPL-3.0-or-later", "copyleft"),
     (("gpl-free", "gpl-terms", "gpl-3.0-later"), "GPL-3.0-or-later", "copyleft"),
-    (("gpl-3.0-later-spdx",), "GPL-3.0-or-later", "copyleft"),
-    (("gpl-3.0-spdx",), "GPL-3.0-only", "copyleft"),
+    (("gpl-free", "gpl-terms", "gpl-2.0-later"), "GPL-2.0-or-later", "copyleft"),
     (("gpl-3.0-name",), "GPL-3.0-only", "copyleft"),
+    (("gpl-2.0-name",), "GPL-2.0-only", "copyleft"),
     (("cc-by-nc-4.0-name",), "CC-BY-NC-4.0", "non-commercial"),
     (("cc-by-sa-4.0-name",), "CC-BY-SA-4.0", "copyleft"),
+    (("mpl-terms", "mpl-copy"), "MPL-2.0", "copyleft"),
+    (("mpl-2.0-name",), "MPL-2.0", "copyleft"),
+    (("epl-terms",), "EPL-2.0", "copyleft"),
     (("apache-2.0-name", "apache-2.0-use", "apache-2.0-copy"), "Apache-2.0", "permissive"),
-    (("apache-2.0-spdx",), "Apache-2.0", "permissive"),
     (("apache-2.0-name",), "Apache-2.0", "permissive"),
+    (("bsd-terms", "bsd-source", "bsd-binary", "bsd-names"), "BSD-3-Clause", "permissive"),
     (("bsd-terms", "bsd-names"), "BSD-3-Clause", "permissive"),
-    (("bsd-3-spdx",), "BSD-3-Clause", "permissive"),
+    (("bsd-3-name",), "BSD-3-Clause", "permissive"),
+    (("bsd-terms", "bsd-source", "bsd-binary"), "BSD-2-Clause", "permissive"),
+    (("bsd-2-name",), "BSD-2-Clause", "permissive"),
     (("bsd-terms",), "BSD-2-Clause", "permissive"),
+    (("isc-grant",), "ISC", "permissive"),
+    (("0bsd-grant",), "0BSD", "permissive"),
+    (("mit-grant", "mit-notice", "mit-warranty", "mit-liability"), "MIT", "permissive"),
     (("mit-notice", "mit-warranty"), "MIT", "permissive"),
-    (("mit-spdx",), "MIT", "permissive"),
     (("mit-name",), "MIT", "permissive"),
+    (("bsl-1.0-name",), "BSL-1.0", "permissive"),
+    (("zlib-warranty",), "Zlib", "permissive"),
     (("cc-by-4.0-name",), "CC-BY-4.0", "permissive"),
     (("unlicense-name",), "Unlicense", "public-domain"),
+    (("cc0-dedication",), "CC0-1.0", "public-domain"),
     (("rights-reserved",), "proprietary", "proprietary"),
 ]
 
@@ -94,10 +142,16 @@ def normal(sentence: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(small, r"[^a-z0-9.\-]+", " "), r"^[ .]+|[ .]+$", "")
 
 
-def anchors(sentences: dict[str, str]) -> str:
-    """A pattern of which every text with one of the sentences has a match: their longest words."""
-    words = {max(s.replace("-", " ").replace(".", " ").split(), key=len) for s in sentences}
-    return "(?i)" + "|".join(sorted(words))
+def anchors(sentences: dict[str, str]) -> list[str]:
+    """Words of which every sentence has one, few of them: at each step the word that most of the rest have."""
+    left = {s: set(re.findall(r"[a-z]{7,}", s)) or set(re.findall(r"[a-z]+", s)) for s in sentences}
+    chosen = []
+    while left:
+        every = sorted({w for words in left.values() for w in words}, key=lambda w: (-len(w), w))
+        best = max(every, key=lambda w: sum(w in s for s in left))
+        chosen.append(best)
+        left = {s: words for s, words in left.items() if best not in s}
+    return chosen
 
 
 def sentence_pattern(sentences: dict[str, str]) -> str:
@@ -110,24 +164,27 @@ def sentence_pattern(sentences: dict[str, str]) -> str:
 def scan_licences(
     docs: DataFrame, sentences: dict[str, str] | None = None, rules: list | None = None
 ) -> DataFrame:
-    """doc_id, n_sentences, sentence_ids, rule, license, category and all_licenses of every row of ``docs``.
+    """doc_id, n_known, sentence_ids, rule, license, category and all_licenses of every row of ``docs``.
 
-    sentence_ids: identifiers of known sentences in the order of the text, joined by commas. A sentence
-    may be wrapped over any number of lines, each with or without a prefix of comments. rule (its number
-    from 1), license and category: of the first rule whose identifiers follow one another in that
+    sentence_ids: identifiers of known sentences in the order of the text, joined by commas; n_known: how many.
+    A sentence may be wrapped over any number of lines, each with or without a prefix of comments. rule (its
+    number from 1), license and category: of the first rule whose identifiers follow one another in that
     sequence; null if none does. all_licenses: of all rules that fit, each once, in order.
 
-    A null or empty text has no sentence: n_sentences 0, empty strings, nulls. Rows that repeat are all
+    A null or empty text has no sentence: n_known 0, empty strings, nulls. Rows that repeat are all
     scanned. An empty table gives no rows. Other columns are ignored. The scan is local to a row, so
-    nothing is shuffled; texts without any of the sentences' rarest words aren't cut up.
+    nothing is shuffled; texts without a word of any of the sentences aren't cut up.
     """
-    sentences = SENTENCES | NOTICES if sentences is None else sentences
+    sentences = SENTENCES if sentences is None else sentences
     rules = RULES if rules is None else rules
     known = F.create_map(*[F.lit(x) for pair in sentences.items() for x in pair])
     rows = pick(docs, doc_id="long", text="string").select("doc_id", text_or_empty().alias("whole"))
-    parts = F.when(F.col("whole").rlike(anchors(sentences)), F.split("whole", END)).otherwise(
-        F.array().cast("array<string>")
-    )
+    small = F.lower("whole")
+    some = F.lit(False)
+    for word in anchors(sentences):
+        some = some | F.contains(small, F.lit(word))
+    tagged = F.regexp_replace("whole", TAG, "$1 ")
+    parts = F.when(some, F.split(tagged, END)).otherwise(F.array().cast("array<string>"))
 
     def lines(part: Column) -> Column:
         pieces = F.transform(F.split(part, BREAK), lambda s: F.regexp_replace(normal(s), COMMENT, ""))
@@ -140,7 +197,7 @@ def scan_licences(
     rows = rows.select("doc_id", ids.alias("ids"))
     rows = rows.select(
         "doc_id",
-        F.size("ids").cast("long").alias("n_sentences"),
+        F.size("ids").cast("long").alias("n_known"),
         F.array_join("ids", ",").alias("sentence_ids"),
     )
     line = F.concat(F.lit(","), F.col("sentence_ids"), F.lit(","))
@@ -152,7 +209,7 @@ def scan_licences(
     every = F.array_compact(F.array(*[F.when(fit, F.lit(r[1])) for fit, r in zip(fits, rules, strict=True)]))
     return rows.select(
         "doc_id",
-        "n_sentences",
+        "n_known",
         "sentence_ids",
         first(list(range(1, len(rules) + 1))).cast("long").alias("rule"),
         first([r[1] for r in rules]).alias("license"),
@@ -162,6 +219,7 @@ def scan_licences(
 
 
 def op5_license_scan(spark, sf_dir: str) -> DataFrame:
+    """All columns of :func:`scan_licences` over all of ``documents``."""
     return scan_licences(table(spark, sf_dir, "documents"))
 
 
@@ -169,18 +227,34 @@ def _sql() -> str:
     quoted = lambda s: "'" + s.replace("'", "''") + "'"
     known = ", ".join(f"({quoted(s)}, {quoted(i)})" for s, i in SENTENCES.items())
     rules = ", ".join(f"({n}, {quoted(',' + ','.join(i) + ',')}, {quoted(a)}, {quoted(c)})" for n, (i, a, c) in enumerate(RULES, 1))
+    # Every line stands between marks of its own, and a mark of its own parts sentences: matches share none.
+    words = [r"(?: \| \|)? ".join(map(re.escape, s.split())) for s in sorted(SENTENCES, key=len, reverse=True)]
+    pattern = quoted(r"\| (" + "|".join(words) + r") \|")
     return f"""
-with known(sentence, id) as (values {known}), rules(n, ids, license, category) as (values {rules}),
+with known(sentence, ids) as (values {known}), rules(n, ids, license, category) as (values {rules}),
 docs as (select row_number() over () as k, cast(doc_id as bigint) as doc_id, coalesce(text, '') as text from documents),
-cut as (
-  select k, generate_subscripts(parts, 1) as pos, unnest(parts) as part
-  from (select k, string_split_regex(text, '{CUT}') as parts from docs)
+parts as (
+  select k, generate_subscripts(parts, 1) as part_at, unnest(parts) as part
+  from (select k, string_split_regex(regexp_replace(text, '{TAG}', '\\1 ', 'g'), '{END}') as parts from docs)
+), lines as (
+  select k, part_at, generate_subscripts(lines, 1) as line_at, unnest(lines) as line
+  from (select k, part_at, string_split_regex(part, '{BREAK}') as lines from parts)
 ), normal as (
-  select k, pos, regexp_replace(regexp_replace(translate(part, '{UPPER}', '{LOWER}'), '[^a-z0-9.\\-]+', ' ', 'g'),
-                               '^[ .]+|[ .]+$', '', 'g') as sentence
-  from cut
+  select k, part_at, line_at,
+         regexp_replace(
+           regexp_replace(regexp_replace(translate(line, '{UPPER}', '{LOWER}'), '[^a-z0-9.\\-]+', ' ', 'g'), '^[ .]+|[ .]+$', '', 'g'),
+           '{COMMENT}', '') as line
+  from lines
+), joined as (
+  select k, part_at, '| ' || string_agg(line, ' | | ' order by line_at) || ' |' as part
+  from normal where line <> '' group by k, part_at
+), matches as (
+  select k, part_at, generate_subscripts(found, 1) as found_at, unnest(found) as sentence
+  from (select k, part_at, regexp_extract_all(part, {pattern}, 1) as found from joined)
+), identified as (
+  select m.k, m.part_at, m.found_at, known.ids from matches m join known on replace(m.sentence, ' | | ', ' ') = known.sentence
 ), found as (
-  select k, count(*) as n, string_agg(id, ',' order by pos) as ids from normal join known using (sentence) group by k
+  select k, string_agg(ids, ',' order by part_at, found_at) as ids from identified group by k
 ), fitting as (
   select f.k, r.n, r.license, r.category from found f join rules r on contains(',' || f.ids || ',', r.ids)
 ), best as (
@@ -189,8 +263,8 @@ cut as (
   select k, string_agg(license, ',' order by n) as all_licenses
   from (select k, license, min(n) as n from fitting group by k, license) group by k
 )
-select d.doc_id, coalesce(f.n, 0) as n_sentences, coalesce(f.ids, '') as sentence_ids, cast(b.rule as bigint) as rule,
-       b.license, b.category, coalesce(e.all_licenses, '') as all_licenses
+select d.doc_id, cast(coalesce(len(string_split(f.ids, ',')), 0) as bigint) as n_known, coalesce(f.ids, '') as sentence_ids,
+       cast(b.rule as bigint) as rule, b.license, b.category, coalesce(e.all_licenses, '') as all_licenses
 from docs d left join found f using (k) left join best b using (k) left join every e using (k)
 """
 

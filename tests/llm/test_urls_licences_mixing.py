@@ -66,8 +66,8 @@ LICENSED = [
     ("x\nLicensed under the Apache License, Version 2.0.", "apache-2.0-name", "Apache-2.0"),
     ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 3 of the License, or (at your option) any later version.",
      "gpl-free,gpl-terms,gpl-3.0-later", "GPL-3.0-or-later"),
-    ("ALL RIGHTS RESERVED!\nSPDX-License-Identifier: MIT", "rights-reserved", "proprietary"),
-    ("SPDX-License-Identifier: MIT\nAll rights reserved.", "rights-reserved", "proprietary"),
+    ("ALL RIGHTS RESERVED!\nSPDX-License-Identifier: MIT", "rights-reserved,mit-spdx", "MIT"),
+    ("// SPDX-License-Identifier: GPL-2.0-or-later\nAll rights reserved.", "gpl-2.0-or-later-spdx,rights-reserved", "GPL-2.0-or-later"),
     ("Licensed under CC BY-NC 4.0.\nReleased under the MIT License", "cc-by-nc-4.0-name,mit-name", "CC-BY-NC-4.0"),
     ("we are licensed to sell; rights are not reserved", "", None),
 ]
@@ -257,3 +257,48 @@ def test_dealing_of_nothing_and_of_texts_without_words(spark):
     assert mixing.deal_documents(docs, docs.columns).collect() == []
     blank = spark.createDataFrame([(1, None), (2, ""), (None, " ")], "doc_id long, text string").selectExpr("*", "'a' as source")
     assert mixing.deal_documents(blank, blank.columns).collect() == []
+
+
+MORE_TEXTS = {
+    "MIT": """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:""" + "\n\n" + NOTICE_TEXTS["MIT"] + """ IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE.""",
+    "ISC": """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.""",
+    "MPL-2.0": """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/.""",
+    "LGPL-2.1-or-later": """This library is free software; you can redistribute it and/or
+modify it under the terms of the GNU Lesser General Public
+License as published by the Free Software Foundation; either
+version 2.1 of the License, or (at your option) any later version.""",
+    "AGPL-3.0-or-later": """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU Affero General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.""",
+    "BSD-2-Clause": """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.""",
+}
+
+
+def test_more_licences_and_sql_on_all_of_them(spark):
+    texts = [(name, t) for group in (NOTICE_TEXTS, MORE_TEXTS) for name, t in group.items()]
+    rows = [(i, "\n".join(prefix + line for line in t.split("\n"))) for prefix in ("", "# ", " * ", "-- ") for i, (_, t) in enumerate(texts)]
+    rows += [(100, "A sentence before. " + " ".join(t.split()) + " And one after; Released under the MIT License.") for _, t in texts]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = licences.scan_licences(docs)
+    assert {(r.doc_id, r.license) for r in got.collect() if r.doc_id < 100} == {(i, name) for i, (name, _) in enumerate(texts)}
+    same_as_sql(got, licences.OP5_SQL, documents=docs.toPandas())
