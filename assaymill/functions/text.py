@@ -127,4 +127,4 @@ def has_term(text: Column, term: str) -> Column:
 
 def clean_line(line: Column) -> Column:
     """Without anchors, one space for many."""
-    return F.trim(F.regexp_replace(F.regexp_replace(line, r"<!--.*?-->", ""), r"\s+", " "))
+    return F.trim(F.regexp_replace(F.regexp_replace(line, r"<!--co-[^>]+-->", ""), r"\s+", " "))

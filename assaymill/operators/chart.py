@@ -11,13 +11,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: How far grey channels may differ and how bright a gridline is; how far a colour's
-#: channels must differ; bin width of colours; the most series of a chart.
-GREY_SPREAD, GREY_LOW, GREY_HIGH = 12, 200, 246
-COLOUR_SPREAD = 40
-COLOUR_BIN = 24
-MOST_SERIES = 4
-NEAR_COLOUR = 48
+from assaymill.functions.quantiles import grouped_quantiles
+
+# Gridlines are grey (channels apart by 12 at most) of a brightness from 200 to below 246, over half the
+# width; series have channels apart by more than 30, a brightness below 240, and 0.003 of all pixels; bins of colours
+# are 24 wide, colours within 35 in each channel are one, and a chart has four series at most.
+GRID_SPREAD, GRID_LOW, GRID_HIGH, GRID_WIDTH = 12, 200, 246, 0.5
+COLOUR_SPREAD, COLOUR_BRIGHT, COLOUR_SHARE = 30, 240, 0.003
+COLOUR_BIN, COLOUR_NEAR, MOST_SERIES = 24, 35, 4
+# Ink of a series has channels apart by more than 15; a marker's end is its last 3 columns; the line is
+# followed over 80 columns from 16 before the end, by 4 pixels a column at most, and read 8 before the end; residuals
+# up to 0.8, or three medians, stay in the second fit if seven tenths of the points do.
+INK_SPREAD, CAP_COLUMNS = 15, 3
+LINE_SPAN, LINE_SKIP, LINE_HALF, LINE_STEP = 80, 16, 8, 4.0
+TRIM_LEAST, TRIM_MEDIANS, TRIM_SHARE = 0.8, 3.0, 0.7
 
 
 def spread(r: Column, g: Column, b: Column) -> Column:
@@ -25,11 +32,12 @@ def spread(r: Column, g: Column, b: Column) -> Column:
 
 
 def is_grid(r: Column, g: Column, b: Column) -> Column:
-    return (spread(r, g, b) <= GREY_SPREAD) & ((r + g + b) / 3).between(GREY_LOW, GREY_HIGH)
+    bright = (r + g + b) / 3
+    return (spread(r, g, b) <= GRID_SPREAD) & (bright >= GRID_LOW) & (bright < GRID_HIGH)
 
 
 def is_coloured(r: Column, g: Column, b: Column) -> Column:
-    return spread(r, g, b) >= COLOUR_SPREAD
+    return (spread(r, g, b) > COLOUR_SPREAD) & ((r + g + b) / 3 < COLOUR_BRIGHT)
 
 
 def islands(rows: DataFrame, key: list[str], order: str, gap: float) -> DataFrame:
@@ -43,8 +51,8 @@ def gridlines(pixels: DataFrame) -> DataFrame:
     """pixels: img, y, x, r, g, b. img, line (from the top), y: rows more than half grey, within two of each other one line."""
     c = F.col
     rows = pixels.groupBy("img", "y").agg(F.count_if(is_grid(c("r"), c("g"), c("b"))).alias("grey"), F.count("*").alias("width"))
-    rows = rows.where(c("grey") > 0.5 * c("width"))
-    lines = islands(rows, ["img"], "y", 2).groupBy("img", "island").agg(F.avg("y").alias("y"))
+    rows = rows.where(c("grey") > GRID_WIDTH * c("width"))
+    lines = islands(rows, ["img"], "y", 2).groupBy("img", "island").agg(F.round(F.avg("y"), 1).alias("y"))
     return lines.withColumn("line", F.row_number().over(W.partitionBy("img").orderBy("y"))).drop("island")
 
 
@@ -71,50 +79,73 @@ def interpolate(points: DataFrame, marks: DataFrame) -> DataFrame:
 
 
 def colour_bins(pixels: DataFrame) -> DataFrame:
-    """Coloured pixels by bins of their channels: img, the bin, pixels and the mean colour."""
+    """Coloured pixels by bins of their channels: img, the bin, pixels and the mean colour (whole numbers), for bins
+    with enough pixels to be a drawn line."""
     c = F.col
+    rows = pixels.select("img", *[c(k) for k in "rgb"], is_coloured(c("r"), c("g"), c("b")).alias("ink"))
+    area = rows.groupBy("img").agg(F.count("*").alias("area"))
     bins = {f"{k}_bin": F.floor(c(k) / COLOUR_BIN) for k in "rgb"}
-    rows = pixels.where(is_coloured(c("r"), c("g"), c("b"))).withColumns(bins)
-    return rows.groupBy("img", *bins).agg(F.count("*").alias("pixels"), *[F.round(F.avg(k), 2).alias(k) for k in "rgb"])
+    found = rows.where("ink").withColumns(bins).groupBy("img", *bins).agg(F.count("*").alias("pixels"), *[F.floor(F.avg(k)).alias(k) for k in "rgb"])
+    return found.join(area, "img").where(c("pixels") >= COLOUR_SHARE * c("area")).drop("area")
 
 
 def largest_colours(bins: DataFrame, most: int = MOST_SERIES) -> DataFrame:
-    order = W.partitionBy("img").orderBy(F.desc("pixels"), "r_bin", "g_bin", "b_bin")
-    return bins.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most)
+    """Of each image the colours of its series, the one with most pixels first; a bin whose colour is near one that is
+    taken already is part of it. Images have at most 1 / COLOUR_SHARE bins."""
+    bins_of = F.array_sort(F.collect_list(F.struct((-F.col("pixels")).alias("less"), "r_bin", "g_bin", "b_bin", "pixels", "r", "g", "b")))
+    near = lambda x, y: F.greatest(*[F.abs(x[k] - y[k]) for k in "rgb"]) <= COLOUR_NEAR
+    step = lambda taken, x: F.when((F.size(taken) < most) & ~F.exists(taken, lambda y: near(x, y)), F.concat(taken, F.array(x))).otherwise(taken)
+    whole = bins.groupBy("img").agg(bins_of.alias("all"))
+    whole = whole.select("img", F.aggregate("all", F.slice("all", 1, 0), step).alias("taken"))
+    kept = whole.select("img", F.posexplode("taken").alias("at", "c"))
+    return kept.select("img", *[F.col(f"c.{k}").alias(k) for k in ("r_bin", "g_bin", "b_bin", "pixels", "r", "g", "b")], (F.col("at") + 1).alias("place"))
 
 
 def line_ends(track: DataFrame) -> DataFrame:
-    """track: img, series, x, y. The right end: the largest x and the middle of the y within three of it."""
-    top = track.withColumn("right", F.max("x").over(W.partitionBy("img", "series"))).where(F.col("x") >= F.col("right") - 3)
+    """track: img, series, x, y of a series' ink. The right end: the largest x and the middle of the y of the last columns."""
+    top = track.withColumn("right", F.max("x").over(W.partitionBy("img", "series"))).where(F.col("x") >= F.col("right") - CAP_COLUMNS)
     return top.groupBy("img", "series").agg(F.max("right").alias("x"), ((F.min("y") + F.max("y")) / 2).alias("y"))
 
 
-def trimmed_fit(points: DataFrame, *keys: str, keep: float = 2.0) -> DataFrame:
-    """points: keys, x, y. Least squares, then once more without points further off than ``keep`` mean residuals."""
-    own = W.partitionBy(*keys)
-    fit = {"slope": F.regr_slope("y", "x"), "intercept": F.regr_intercept("y", "x")}
-    rows = points.withColumns({k: v.over(own) for k, v in fit.items()})
-    rows = rows.withColumn("off", F.abs(F.col("y") - (F.col("intercept") + F.col("slope") * F.col("x"))))
-    rows = rows.withColumn("mean_off", F.avg("off").over(own)).where("off <= mean_off * %r or mean_off = 0" % keep)
-    return rows.groupBy(*keys).agg(F.count("*").alias("n"), *[v.alias(k) for k, v in fit.items()])
+def trimmed_fit(points: DataFrame, *keys: str) -> DataFrame:
+    """points: keys, x, y. Least squares, then once more without points further off than three median residuals (or
+    0.8, if that is more); the first fit where fewer than seven tenths of the points, or than two, would stay.
+
+    Groups may have any size: each step is an aggregation that is combined before the shuffle, or a join.
+    """
+    fit = [F.regr_slope("y", "x").alias("slope"), F.regr_intercept("y", "x").alias("intercept")]
+    points = points.select(*keys, "x", "y")
+    first = points.groupBy(*keys).agg(*fit, F.count("*").alias("all"))
+    off = F.abs(F.col("y") - (F.col("intercept") + F.col("slope") * F.col("x")))
+    rows = points.join(first, list(keys)).withColumn("off", off)
+    median = grouped_quantiles(rows, list(keys), "off", [0.5]).select(*keys, F.greatest(F.lit(TRIM_LEAST), TRIM_MEDIANS * F.get("q", 0)).alias("most"))
+    second = rows.join(median, list(keys)).where("off <= most").groupBy(*keys).agg(*fit, F.count("*").alias("n"))
+    both = first.alias("f").join(second.alias("s"), list(keys), "left")
+    again = (F.col("s.n") >= TRIM_SHARE * F.col("f.all")) & (F.col("s.n") >= 2)
+    chosen = lambda c, d: F.when(again, F.col(f"s.{c}")).otherwise(F.col(f"f.{d}"))
+    return both.select(*keys, chosen("n", "all").alias("n"), chosen("slope", "slope").alias("slope"), chosen("intercept", "intercept").alias("intercept"))
 
 
 def assign(estimates: DataFrame, measured: DataFrame, most: int = 6) -> DataFrame:
     """estimates: img, label, estimate. measured: img, value. The pairing with the least total difference.
 
     Charts have few series, so every order of the measured values is tried within a row; ties go to the
-    first order. Charts whose counts differ, or with more than ``most`` series, give no pairs.
+    first order. With more than ``most`` series both sides are paired in the order of their values, which has the
+    least total difference, too. Charts whose counts differ give no pairs.
     """
     a = estimates.groupBy("img").agg(F.array_sort(F.collect_list(F.struct("label", "estimate"))).alias("e"))
     b = measured.groupBy("img").agg(F.array_sort(F.collect_list("value")).alias("v"))
-    both = a.join(b, "img").where((F.size("e") == F.size("v")) & (F.size("e") <= most))
+    both = a.join(b, "img").where(F.size("e") == F.size("v"))
     orders = F.create_map(
         *[x for n in range(1, most + 1) for x in (F.lit(n), F.array(*[F.array(*map(F.lit, p)) for p in itertools.permutations(range(n))]))]
     )
     def priced(order: Column) -> Column:
         cost = F.aggregate(F.zip_with("e", order, lambda e, i: F.abs(e["estimate"] - F.get("v", i))), F.lit(0.0), lambda s, x: s + x)
         return F.struct(F.round(cost, 9).alias("cost"), order.alias("order"))
-    best = F.array_min(F.transform(F.element_at(orders, F.size("e")), priced))
+    best = F.array_min(F.transform(F.element_at(orders, F.least(F.size("e"), F.lit(most))), priced))
+    by_value = F.transform(F.array_sort(F.transform("e", lambda x, i: F.struct(x["estimate"].alias("v"), i.alias("i")))), lambda x, k: F.struct(x["i"].alias("i"), k.alias("k")))
+    in_order = F.transform(F.array_sort(by_value), lambda x: x["k"])
+    best = F.when(F.size("e") <= most, best).otherwise(F.struct(F.lit(0.0).alias("cost"), in_order.alias("order")))
     pairs = F.transform("best.order", lambda i, k: F.struct(F.get("e", k)["label"].alias("label"), F.get("e", k)["estimate"].alias("estimate"), F.get("v", i).alias("value")))
     return both.withColumn("best", best).select("img", F.inline(pairs))
 
@@ -135,52 +166,71 @@ def match_labels(measured: DataFrame, read: DataFrame, tolerance: float = 0.5) -
     )
 
 
-def follow(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Centre of the run in each column that is nearest to the one before: columns and centres."""
-    xs, ys, last = [], [], None
-    for x in np.flatnonzero(mask.any(0)):
-        on = np.flatnonzero(mask[:, x])
-        runs = np.split(on, np.flatnonzero(np.diff(on) > 1) + 1)
-        centres = np.array([(r[0] + r[-1]) / 2 for r in runs])
-        last = centres[0] if last is None else centres[np.argmin(abs(centres - last))]
+def series_colours(rgb: np.ndarray) -> list[np.ndarray]:
+    """As :func:`largest_colours`, of one image."""
+    ink = (rgb.max(2) - rgb.min(2) > COLOUR_SPREAD) & (rgb.mean(2) < COLOUR_BRIGHT)
+    bins, of, counts = np.unique(rgb[ink] // COLOUR_BIN, axis=0, return_inverse=True, return_counts=True)
+    taken: list[np.ndarray] = []
+    for k in np.argsort(-counts, kind="stable"):
+        if counts[k] < COLOUR_SHARE * rgb.shape[0] * rgb.shape[1] or len(taken) == MOST_SERIES:
+            break
+        mean = np.floor(rgb[ink][of.ravel() == k].mean(0))
+        if all(abs(mean - t).max() > COLOUR_NEAR for t in taken):
+            taken.append(mean)
+    return taken
+
+
+def follow(ink: np.ndarray, right: int, y: float) -> tuple[np.ndarray, np.ndarray]:
+    """Columns from right to left, clear of the marker at the end, and in each the centre of the run nearest to the
+    one before; ends where there is none, or it lies too far."""
+    xs, ys = [], []
+    for x in range(right - LINE_SKIP, max(-1, right - LINE_SKIP - LINE_SPAN), -1):
+        on = np.flatnonzero(ink[:, x])
+        runs = np.split(on, np.flatnonzero(np.diff(on) > 1) + 1) if len(on) else []
+        near = min(((r[0] + r[-1]) / 2 for r in runs), key=lambda c: abs(c - y), default=np.inf)
+        if abs(near - y) > LINE_STEP:
+            break
+        y = near
         xs.append(x)
-        ys.append(last)
-    return np.array(xs), np.array(ys)
+        ys.append(near)
+    return np.array(xs, float), np.array(ys, float)
+
+
+def end_of_line(ink: np.ndarray) -> float:
+    """The row at which a series ends: by a line through what leads to its marker, else the marker's middle."""
+    right = int(np.flatnonzero(ink.any(0)).max())
+    cap = np.flatnonzero(ink[:, max(0, right - CAP_COLUMNS) : right + 1].any(1))
+    middle = (cap.min() + cap.max()) / 2
+    xs, ys = follow(ink, right, middle)
+    if len(xs) < LINE_SPAN // 2:
+        return float(middle)
+    fit = np.polyfit(xs, ys, 1)
+    off = abs(np.polyval(fit, xs) - ys)
+    keep = off <= max(TRIM_LEAST, TRIM_MEDIANS * np.median(off))
+    if keep.sum() >= max(2, TRIM_SHARE * len(xs)):
+        fit = np.polyfit(xs[keep], ys[keep], 1)
+    return float(np.polyval(fit, right - LINE_HALF)) or float(middle)
 
 
 def measure_image(rgb: np.ndarray, ticks: list[float]) -> list[tuple[int, int, float]]:
-    """Series of a chart and the value at their right end, one decimal: place, pixels, value."""
-    low, high = rgb.min(2), rgb.max(2)
-    grey = (high - low <= GREY_SPREAD) & (rgb.mean(2) >= GREY_LOW) & (rgb.mean(2) <= GREY_HIGH)
-    rows = np.flatnonzero(grey.mean(1) > 0.5)
-    lines = [float(g.mean()) for g in np.split(rows, np.flatnonzero(np.diff(rows) > 2) + 1)] if len(rows) else []
+    """Series of a chart and the value at their right end, one decimal: place, pixels, value. None where the chart
+    doesn't resolve: fewer than two gridlines, or not as many as ticks, or a colour without ink."""
+    low, high, bright = rgb.min(2), rgb.max(2), rgb.mean(2)
+    grey = (high - low <= GRID_SPREAD) & (bright >= GRID_LOW) & (bright < GRID_HIGH)
+    rows = np.flatnonzero(grey.sum(1) > GRID_WIDTH * rgb.shape[1])
+    lines = [round(float(g.mean()), 1) for g in np.split(rows, np.flatnonzero(np.diff(rows) > 2) + 1)] if len(rows) else []
     values = sorted(ticks, reverse=True)
     if len(lines) != len(values) or len(lines) < 2:
         return []
-    coloured = high - low >= COLOUR_SPREAD
-    colours, counts = np.unique(rgb[coloured] // COLOUR_BIN, axis=0, return_counts=True)
-    order = np.argsort(-counts, kind="stable")
-    means: list[np.ndarray] = []
-    for k in order:
-        mean = rgb[coloured & (rgb // COLOUR_BIN == colours[k]).all(2)].mean(0)
-        if len(means) < MOST_SERIES and all(abs(mean - m).max() > NEAR_COLOUR for m in means):
-            means.append(mean)
     out = []
-    for place, mean in enumerate(means, 1):
-        mask = coloured & (abs(rgb - mean).max(2) <= NEAR_COLOUR)
-        xs, ys = follow(mask)
-        tail = xs >= xs.max() - 3
-        end = (ys[tail].min() + ys[tail].max()) / 2
-        if len(xs) >= 8:
-            slope, cut = np.polyfit(xs, ys, 1)
-            off = abs(ys - (cut + slope * xs))
-            keep = off <= max(2 * off.mean(), 1e-9)
-            slope, cut = np.polyfit(xs[keep], ys[keep], 1)
-            if off.max() < 2:
-                end = cut + slope * xs.max()
+    for place, colour in enumerate(series_colours(rgb), 1):
+        ink = (abs(rgb - colour).max(2) <= COLOUR_NEAR) & (high - low > INK_SPREAD)
+        if not ink.any():
+            return []
+        end = end_of_line(ink)
         i = int(np.clip(np.searchsorted(lines, end) - 1, 0, len(lines) - 2))
         value = values[i] + (end - lines[i]) * (values[i + 1] - values[i]) / (lines[i + 1] - lines[i])
-        out.append((place, int(mask.sum()), round(float(value), 1)))
+        out.append((place, int(ink.sum()), round(float(value), 1)))
     return out
 
 
@@ -204,11 +254,15 @@ def measure_charts(pixels: DataFrame, ticks: DataFrame) -> DataFrame:
     return packed.join(ticks, "img").select("img", "p", "ticks").mapInPandas(work, "img long, series int, pixels long, value double")
 
 
+# Fixed value: the line that stands above measured values on a page.
+MEASURED = "[Measured from the chart's pixels - authoritative over the estimates above]"
+
+
 def measured_text(series: DataFrame) -> DataFrame:
-    """The block that is appended to a page: its marker once, then a line for each series."""
-    rows = F.array_sort(F.collect_list(F.struct("series", "value")))
-    lines = F.transform(rows, lambda s: F.concat(F.lit("series "), s["series"].cast("string"), F.lit(": "), s["value"].cast("string")))
-    return series.groupBy("img").agg(F.concat(F.lit("[measured]\n"), F.array_join(lines, "\n")).alias("text"))
+    """series: img, label, value. The block that is appended to a page: its marker once, then a line for each series."""
+    rows = F.array_sort(F.collect_list(F.struct("label", "value")))
+    lines = F.transform(rows, lambda s: F.concat(s["label"], F.lit(": "), F.round(s["value"], 1).cast("decimal(20,1)").cast("string"), F.lit("% (measured off the axis)")))
+    return series.groupBy("img").agg(F.concat_ws("\n", F.lit(MEASURED), F.array_join(lines, "\n")).alias("text"))
 
 
 def needs_chart_path(text: Column) -> Column:
@@ -219,10 +273,19 @@ def needs_chart_path(text: Column) -> Column:
 
 
 def read_pages(pages: DataFrame, charts: DataFrame) -> DataFrame:
-    """pages: doc_id, page_number, text. charts: the same keys, measured. The page's own text where it has
-    numbers, else with the measured block; what is left open has a reason."""
-    joined = pages.join(charts, ["doc_id", "page_number"], "left")
+    """pages: doc_id, page_number, text. charts: the same keys, has_read, has_values (booleans) and measured. The page's
+    own text where it has numbers, else with the measured block; what is left open has a reason: no chart, a
+    chart that wasn't read, one whose geometry or whose labels did not resolve."""
+    joined = pages.join(charts.withColumn("has_chart", F.lit(True)), ["doc_id", "page_number"], "left")
     open_ = needs_chart_path(F.col("text"))
-    text = F.when(open_ & F.col("measured").isNotNull(), F.concat_ws("\n", F.nullif(F.col("text"), F.lit("")), "measured")).otherwise(F.col("text"))
-    reason = F.when(open_ & F.col("measured").isNull(), "no chart on this page could be measured")
-    return joined.select("doc_id", "page_number", text.alias("text"), F.when(open_, "vision").otherwise("textlayer").alias("method"), reason.alias("unresolved"))
+    stripped = F.regexp_replace("text", r"\s+$", "")
+    text = F.when(open_ & F.col("measured").isNotNull(), F.concat(F.coalesce(stripped, F.lit("")), F.lit("\n\n"), "measured")).otherwise(F.col("text"))
+    reason = (
+        F.when(~open_ | F.col("measured").isNotNull(), None)
+        .when(F.col("has_chart").isNull(), "no chart on the page")
+        .when(~F.col("has_read"), "the chart was not read")
+        .when(~F.col("has_values"), "the chart's geometry did not resolve")
+        .otherwise("labels and series did not match")
+    )
+    method = F.when(open_, "vision").otherwise("textlayer")
+    return joined.select("doc_id", "page_number", text.alias("text"), method.alias("method"), reason.alias("unresolved"))

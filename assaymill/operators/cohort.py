@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assaymill.config import LEAST_COHORT, OUT_OF_RANGE, RETENTION_BANDS, RUNGS, SIZE_BANDS
+from assaymill.functions.quantiles import grouped_quantiles
 
 
 def band(value: Column, bands: list[tuple[str, float | None]]) -> Column:
@@ -57,37 +58,34 @@ def base_rates(
         )
         return df.select("*", F.inline(rows)).dropna(subset=keys)
 
-    stats = on_rungs(sized(book)).groupBy(*keys).agg(
+    members = on_rungs(sized(book))
+    stats = members.groupBy(*keys).agg(
         F.count("*").alias("n"),
-        F.percentile("outcome", F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9))).alias("p"),
         F.round(100.0 * F.avg((F.col("outcome") < 0).cast("int")), 1).alias("shrank_pct"),
         F.round(100.0 * F.avg((F.col("underwritten") > F.col("outcome")).cast("int")), 1).alias("optimistic_pct"),
-        F.array_join(F.sort_array(F.collect_list("deal_id")), ",").alias("deal_ids"),
     ).where(F.col("n") >= least)
     open_ = mine.where("refusal is null").select("target_id", "vertical", "size", "retention")
     rungs = on_rungs(open_).join(stats, keys)
-    best = rungs.groupBy("target_id").agg(
-        F.min_by(F.struct("rung", "n", "p", "shrank_pct", "optimistic_pct", "deal_ids"), "rung").alias("b")
-    )
+    best = rungs.groupBy("target_id").agg(F.min_by(F.struct(*keys, "n", "shrank_pct", "optimistic_pct"), "rung").alias("b")).select("target_id", "b.*")
+    # Spreads and members of the cohorts that a target came to; the widest is one group of all records.
+    chosen = members.join(best.select(*keys).distinct(), keys, "left_semi")
+    spread = grouped_quantiles(chosen, keys, "outcome", [0.1, 0.5, 0.9]).select(*keys, F.col("q").alias("p"))
+    named = chosen.groupBy(*keys).agg(F.array_join(F.sort_array(F.collect_list("deal_id")), ",").alias("deal_ids"))
+    best = best.join(spread, keys, "left").join(named, keys)
     out = mine.select("target_id", "refusal").join(best, "target_id", "left")
-    status = F.coalesce("refusal", F.when(F.col("b").isNull(), "thin book"), F.lit("matched"))
+    status = F.coalesce("refusal", F.when(F.col("n").isNull(), "thin book"), F.lit("matched"))
     return out.select(
-        "target_id", status.alias("status"), F.col("b.rung").alias("rung"), F.col("b.n").alias("n"),
-        *[F.round(F.col("b.p")[i], 2).alias(k) for i, k in enumerate(("p10", "median", "p90"))],
-        F.col("b.shrank_pct").alias("shrank_pct"), F.col("b.optimistic_pct").alias("optimistic_pct"),
-        F.col("b.deal_ids").alias("deal_ids"),
+        "target_id", status.alias("status"), "rung", "n", *[F.round(F.get("p", i), 2).alias(k) for i, k in enumerate(("p10", "median", "p90"))],
+        "shrank_pct", "optimistic_pct", "deal_ids",
     )
 
 
 def underwriting_bias(book: DataFrame, *keys: str) -> DataFrame:
     """By key: how far underwritten growth lay above what came, at the tenths and the median, and how often."""
-    gap = F.col("underwritten") - F.col("outcome")
-    stats = book.where(gap.isNotNull()).groupBy(*keys).agg(
-        F.count("*").alias("n"),
-        F.percentile(gap, F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9))).alias("p"),
-        F.round(100.0 * F.avg((gap > 0).cast("int")), 1).alias("optimistic_pct"),
-    )
-    return stats.select(*keys, "n", *[F.round(F.col("p")[i], 2).alias(k) for i, k in enumerate(("p10", "median", "p90"))], "optimistic_pct")
+    gaps = book.withColumn("gap", F.col("underwritten") - F.col("outcome")).where("gap is not null")
+    often = gaps.groupBy(*keys).agg(F.round(100.0 * F.avg((F.col("gap") > 0).cast("int")), 1).alias("optimistic_pct"))
+    spread = grouped_quantiles(gaps, list(keys), "gap", [0.1, 0.5, 0.9]).join(often, list(keys))
+    return spread.select(*keys, "n", *[F.round(F.get("q", i), 2).alias(k) for i, k in enumerate(("p10", "median", "p90"))], "optimistic_pct")
 
 
 def published_bands(values: DataFrame, bands: DataFrame) -> DataFrame:

@@ -72,8 +72,9 @@ def _roster(spark, sf_dir):
     """The five largest customers of each target; distress: a negative balance, known for those who ordered in 2001."""
     customer, orders = table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders")
     rows = M.target_customers(customer, orders).where("r1 is not null")
-    total = F.sum("r1").over(W.partitionBy("target_id"))
-    rows = rows.withColumn("pct_arr", F.round(100.0 * F.try_divide(F.col("r1").cast("double"), total.cast("double")), 2)).where("place <= 5")
+    totals = rows.groupBy("target_id").agg(F.sum("r1").alias("total"))
+    share = F.round(100.0 * F.try_divide(F.col("r1").cast("double"), F.col("total").cast("double")), 2)
+    rows = M.largest_customers(rows).join(totals, "target_id").withColumn("pct_arr", share)
     active = orders.where(F.year("o_orderdate") == 2001).select(F.col("o_custkey").alias("custkey")).distinct().withColumn("active", F.lit(True))
     found = rows.join(active, "custkey", "left")
     return found.select("target_id", F.col("c_name").alias("name"), "pct_arr", F.when(F.col("active"), F.col("c_acctbal") < 0).alias("distress"))
@@ -281,26 +282,54 @@ def changed_texts(spark, sf_dir):
     return feedback.changed(stored, made, "k", "text")
 
 
+def _memos(spark, sf_dir):
+    """A memo for each customer and its edited form, by the key modulo 6: as it is, a number changed, a line struck, two
+    put in, one replaced by two, a plain line struck. Two call-outs stand in each."""
+    c = table(spark, sf_dir, "customer")
+    k = F.col("c_custkey")
+    key = k.cast("string")
+    anchor = lambda kind: F.concat(F.lit(" <!--co-"), key, F.lit(f"-{kind}-001-->"))
+    head, rate, name = F.concat(F.lit("# Memo  "), key), F.concat(F.lit("Retention is "), F.pmod(k, F.lit(97)).cast("string"), F.lit("%")), F.concat(F.lit("Name "), "c_name")
+    view, end = F.concat(F.lit("The founder holds "), "c_mktsegment"), F.concat(F.lit("End of "), key)
+    case = k % 6
+    draft = F.concat_ws("\n", head, F.concat(rate, anchor("axis_read")), name, F.concat(view, anchor("judgement")), end)
+    edited = F.concat_ws(
+        "\n", head, F.when(case == 1, F.concat(F.lit("Retention is "), (F.pmod(k, F.lit(97)) + 1).cast("string"), F.lit("%"))).otherwise(rate),
+        F.when(case != 5, name), F.when(case == 3, F.concat(F.lit("A new  line of "), key)), F.when(case == 3, F.lit("and more")),
+        F.when(case == 4, F.concat(F.lit("A board holds "), "c_mktsegment")).when(case != 2, view), F.when(case == 4, F.lit("since last year")), end,
+    )
+    pairs = c.select(key.alias("doc_id"), draft.alias("draft"), edited.alias("edited"))
+    kinds = F.array(F.struct(F.lit("axis_read").alias("kind"), F.lit("grr_pct").alias("metric")), F.struct(F.lit("judgement").alias("kind"), F.lit(None).cast("string").alias("metric")))
+    callouts = c.select(key.alias("doc_id"), F.inline(kinds)).withColumn("id", F.concat(F.lit("co-"), "doc_id", F.lit("-"), "kind", F.lit("-001")))
+    return pairs, callouts
+
+
 def memo_diff(spark, sf_dir):
-    """Edits between each turn of a conversation and the next: kinds and counts."""
-    w = W.partitionBy("conv_id").orderBy("turn")
-    t = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("text").alias("draft"), F.lead("text").over(w).alias("edited"))
-    pairs = t.where("edited is not null").select(F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("doc_id"), "draft", "edited")
-    diffs = feedback.diff_memos(pairs)
-    reasons = diffs.withColumn("reason", feedback.suggest_reason(F.col("kind"), F.col("before"), F.col("after")))
-    return reasons.groupBy("kind", "reason", "blind_spot").agg(F.count("*").alias("n"))
+    """Correction records of edited memos."""
+    pairs, callouts = _memos(spark, sf_dir)
+    return feedback.attributed_edits(feedback.diff_memos(pairs), callouts).select("doc_id", "idx", "callout_id", "blind_spot", "before", "after", "field", "kind", "reason")
+
+
+def correction_sessions(spark, sf_dir):
+    """Records by document and session; every fourth customer's memo was reviewed before."""
+    pairs, callouts = _memos(spark, sf_dir)
+    before = table(spark, sf_dir, "customer").where("c_custkey % 4 = 0").select(F.col("c_custkey").cast("string").alias("doc_id"), (F.col("c_custkey") % 3 + 1).alias("session"))
+    records = feedback.corrections(feedback.diff_memos(pairs), callouts, before)
+    sessions = records.select("doc_id", F.col("session").cast("long").alias("session")).distinct()
+    return feedback.correction_counts(records).join(sessions, "doc_id")
 
 
 def chart_measure(spark, sf_dir):
-    """Drawn charts: three gridlines and a rising line; the value at its right end."""
+    """Drawn charts: three gridlines and two level lines, one higher in each chart than in the next."""
     k = F.col("id")
-    base = spark.range(3 * 60 * 80).select(F.floor(k / 4800).alias("img"), (F.floor(k / 80) % 60).cast("int").alias("y"), (k % 80).cast("int").alias("x"))
-    grid = F.col("y").isin(10, 30, 50)
-    line = F.abs(F.col("y") - (45 - (F.col("x") * (F.col("img") + 1) / 8).cast("int"))) <= 1
-    channel = lambda c: F.when(line & (F.col("x") >= 5), c).when(grid, 220).otherwise(255).cast("int")
-    pixels = base.select("img", "y", "x", channel(200).alias("r"), channel(30).alias("g"), channel(30).alias("b"))
+    base = spark.range(3 * 240 * 160).select(F.floor(k / 38400).alias("img"), (F.floor(k / 160) % 240).cast("int").alias("y"), (k % 160).cast("int").alias("x"))
+    short = F.col("x").between(75, 139) & (F.abs(F.col("y") - (112 + 4 * F.col("img"))) <= 1)
+    level = F.col("x").between(20, 139) & (F.abs(F.col("y") - 200) <= 1)
+    grid = F.col("y").isin(20, 120, 220)
+    channel = lambda a, b: F.when(short, a).when(level, b).when(grid, 220).otherwise(255).cast("int")
+    pixels = base.select("img", "y", "x", channel(200, 30).alias("r"), channel(30, 30).alias("g"), channel(30, 200).alias("b"))
     ticks = spark.range(3).select(F.col("id").alias("img"), F.array(F.lit(50.0), F.lit(100.0), F.lit(75.0)).alias("ticks"))
-    return chart.measure_charts(pixels, ticks)
+    return chart.measure_charts(pixels, ticks).withColumn("series", F.col("series").cast("long"))
 
 
 def event_windows(spark, sf_dir):
@@ -323,7 +352,7 @@ QUERIES = {
         base_rate_cohort, underwriting_bias, cohort_records, published_bands, customer_signal, signal_callouts, distress_overlap_floor,
         route_topk, route_recall, route_pages_saved, forecast_baselines, forecast_scores, forecast_audit, history_sweep, cohort_covariate,
         quarter_facts, tag_fallback, asof_anchor, nearest_events, gap_islands, interval_interpolate, line_fit_trimmed, colour_bins,
-        grid_rows, assignment_pairs, label_match, fold_back_violations, regression_hold, changed_texts, memo_diff, chart_measure,
+        grid_rows, assignment_pairs, label_match, fold_back_violations, regression_hold, changed_texts, memo_diff, correction_sessions, chart_measure,
         event_windows, event_sliding, event_sessions,
     )
 }
@@ -374,6 +403,16 @@ _SWEEP = " union all ".join(
     f"select {n} as length, *, row_number() over (partition by series_id order by t) - 1 as pos from tail where from_end < {4 + n} qualify count(*) over (partition by series_id) = {4 + n}" for n in (4, 8, 12, 24)
 )
 
+_EDITS = """with c as (select c_custkey as k, cast(c_custkey as varchar) as doc_id, 'Retention is ' || (c_custkey % 97) || '%' as rate, 'The founder holds ' || c_mktsegment as view,
+  c_mktsegment as segment, c_name as name, 'co-' || c_custkey || '-axis_read-001' as a, 'co-' || c_custkey || '-judgement-001' as j from customer),
+edits as (
+  select doc_id, 0 as idx, a as callout_id, false as blind_spot, rate as before, 'Retention is ' || (k % 97 + 1) || '%' as after, 'grr_pct' as field, 'axis_read' as kind, 'factual_error' as reason from c where k % 6 = 1
+  union all select doc_id, 0, j, false, view, null, null, 'judgement', 'needs_triage' from c where k % 6 = 2
+  union all select doc_id, 0, null, true, null, 'A new line of ' || k || ' and more', null, null, 'new_information' from c where k % 6 = 3
+  union all select doc_id, 0, j, false, view, 'A board holds ' || segment, null, 'judgement', 'judgement_call' from c where k % 6 = 4
+  union all select doc_id, 1, null, true, null, 'since last year', null, null, 'new_information' from c where k % 6 = 4
+  union all select doc_id, 0, a, false, 'Name ' || name, null, 'grr_pct', 'axis_read', 'factual_error' from c where k % 6 = 5)"""
+
 SQL = {
     "cohort_records": f"with {_YEARS} select * from book",
     "base_rate_cohort": f"""with {METRICS_SQL}, {_YEARS}, {_TARGETS},
@@ -430,18 +469,30 @@ SQL = {
         i as (select *, sum(b) over (partition by user_id order by s rows unbounded preceding) as island from g) select user_id, cast(island as bigint) as island, count(*) as n, min(s) as first, max(s) as last from i group by 1, 2""",
     "interval_interpolate": "select c_custkey as series, round(100.0::double - cast(c_custkey % 1200 as double) / 10.0::double, 1) as value from customer",
     "line_fit_trimmed": """with p as (select o_orderpriority as priority, cast(dayofyear(o_orderdate) as double) as x, o_totalprice as y from orders),
-        f as (select priority, regr_slope(y, x) as s, regr_intercept(y, x) as i from p group by 1), r as (select priority, x, y, abs(y - (i + s * x)) as off from p join f using (priority)),
-        m as (select *, avg(off) over (partition by priority) as mean_off from r)
-        select priority, count(*) as n, round(regr_slope(y, x), 4) as slope, round(regr_intercept(y, x), 2) as intercept from m where off <= mean_off * 2.0 or mean_off = 0 group by 1""",
+        f as (select priority, regr_slope(y, x) as s, regr_intercept(y, x) as i, count(*) as n from p group by 1), r as (select priority, x, y, abs(y - (i + s * x)) as off from p join f using (priority)),
+        m as (select priority, greatest(0.8::double, 3.0::double * quantile_cont(off, 0.5)) as most from r group by 1),
+        a as (select priority, count(*) as n, regr_slope(y, x) as s, regr_intercept(y, x) as i from r join m using (priority) where off <= most group by 1)
+        select f.priority, case when a.n >= 0.7 * f.n and a.n >= 2 then a.n else f.n end as n, round(case when a.n >= 0.7 * f.n and a.n >= 2 then a.s else f.s end, 4) as slope,
+          round(case when a.n >= 0.7 * f.n and a.n >= 2 then a.i else f.i end, 2) as intercept from f left join a using (priority)""",
     "colour_bins": """with p as (select p_partkey % 3 as img, p_partkey * 7 % 256 as r, p_partkey * 13 % 256 as g, p_partkey * 29 % 256 as b from part),
-        c as (select img, r // 24 as r_bin, g // 24 as g_bin, b // 24 as b_bin, count(*) as pixels, round(avg(r), 2) as r, round(avg(g), 2) as g, round(avg(b), 2) as b from p where greatest(r, g, b) - least(r, g, b) >= 40 group by 1, 2, 3, 4)
-        select *, row_number() over (partition by img order by pixels desc, r_bin, g_bin, b_bin) as place from c qualify place <= 4""",
+        area as (select img, count(*) as area from p group by 1),
+        bins as (select img, r // 24 as r_bin, g // 24 as g_bin, b // 24 as b_bin, count(*) as pixels, cast(floor(avg(r)) as bigint) as r, cast(floor(avg(g)) as bigint) as g, cast(floor(avg(b)) as bigint) as b
+          from p where greatest(r, g, b) - least(r, g, b) > 30 and (r + g + b) / 3.0 < 240 group by 1, 2, 3, 4),
+        c as materialized (select bins.* from bins join area using (img) where pixels >= 0.003 * area),
+        """ + ", ".join(
+        f"""k{n} as materialized (select * from c where """ + " and ".join(["true", *[f"not exists (select 1 from k{m} where k{m}.img = c.img and greatest(abs(k{m}.r - c.r), abs(k{m}.g - c.g), abs(k{m}.b - c.b)) <= 35)" for m in range(1, n)]])
+        + " qualify row_number() over (partition by img order by pixels desc, r_bin, g_bin, b_bin) = 1)" for n in range(1, 5)
+    ) + " select *, 1 as place from k1 union all select *, 2 from k2 union all select *, 3 from k3 union all select *, 4 from k4",
     "grid_rows": "select i as img, k + 1 as line, 25.0::double * k + 0.5 as y from range(2) a(i), range(4) b(k)",
     "assignment_pairs": "select * from (values (1, 'gross', 81.1::double, 81.0::double), (1, 'net', 86.1, 86.0), (2, 'a', 10.0, 9.0), (2, 'b', 20.0, 19.5), (2, 'c', 30.0, 31.0)) as v(img, label, estimate, value)",
     "label_match": "select * from (values (1, 2, 0, false, 0.9::double), (2, 1, 0, true, 0.5), (3, 2, 1, null, 0.2)) as v(img, labels, unmatched, all_agree, worst)",
     "fold_back_violations": """select * from (values ('T2', 0, 'no such call-out'), ('T2', 1, 'a blind spot has no call-out'), ('T2', 0, 'no example'), ('T3', 0, 'no regression')) as v(doc_id, idx, why)""",
     "regression_hold": "select * from (values ('g1', true), ('g2', false), ('g3', true)) as v(id, held)",
     "changed_texts": """select cast(conv_id as varchar) || ':' || cast(turn as varchar) as k from (select distinct conv_id, turn from conversations) where conv_id % 11 = 0 or conv_id % 7 = 0""",
+    "memo_diff": f"{_EDITS} select * from edits",
+    "correction_sessions": f"""{_EDITS} select doc_id, case when max(k) % 4 = 0 then max(k) % 3 + 2 else 1 end as session, count(*) as n, count(*) filter (blind_spot) as blind_spots,
+        count(*) filter (reason = 'needs_triage') as untriaged from (select *, cast(doc_id as bigint) as k from edits) group by 1""",
+    "chart_measure": "select i as img, s as series, case s when 1 then 360 else 195 end as pixels, case s when 1 then 55.0::double else 77.0 - i end as value from range(3) a(i), range(1, 3) b(s)",
     "event_windows": """with e as (select * from events qualify row_number() over (partition by event_id) = 1)
         select cast(epoch(date_trunc('day', ts)) as bigint) as start, event_type, count(*) as n, round(cast(sum(cast(value as decimal(18,4))) as double), 2) as total from e group by 1, 2""",
     "event_sliding": """with w as (select unnest([date_trunc('day', ts), date_trunc('day', ts) - interval 1 day]) as start from events) select cast(epoch(start) as bigint) as start, count(*) as n from w group by 1""",

@@ -121,16 +121,15 @@ def review_coverage(spark, sf_dir):
 def leak_check(spark, sf_dir):
     """Documents that contain a whole benchmark item."""
     docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
-    reports = docs.select(F.col("doc_id").alias("report_id"), "text")
-    found = feedback.cited_domains(reports, items.select(F.col("text").alias("domain"), "item_id").distinct().select("domain"))
+    found = feedback.cited_items(docs.select(F.col("doc_id").alias("report_id"), "text"), items.select(F.col("text").alias("item")))
     return found.groupBy("report_id").agg(F.count("*").alias("items"))
 
 
 def banned_words(spark, sf_dir):
     """Pages that cite one of a few hosts."""
     pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("report_id"), F.col("url").alias("text"))
-    domains = spark.createDataFrame([("spam-farm.example.org",), ("Cheap-Pills.example.com",), ("casino",)], "domain string")
-    return feedback.cited_domains(pages, domains)
+    domains = spark.createDataFrame([("spam-farm.example.org",), ("Cheap-Pills.example.com",), ("casino",)], "item string")
+    return feedback.cited_items(pages, domains).withColumnRenamed("item", "domain")
 
 
 def page_texts(spark, sf_dir):
@@ -191,13 +190,19 @@ def asserted_loader(spark, sf_dir):
 
 
 def roster(spark, sf_dir):
-    """Customers and shares out of pages of lines."""
+    """Customers and shares out of pages of lines: amounts beside names, below them, or without; headers, and names too
+    short or too long; and pages that announce no customers."""
     c = table(spark, sf_dir, "customer")
-    line = F.when(F.col("c_custkey") % 2 == 0, F.concat(F.col("c_name"), F.lit("  $"), (F.col("c_custkey") % 9 + 1).cast("string"), F.lit(".5M"))).otherwise(
-        F.concat(F.col("c_name"), F.lit("\n$"), (F.col("c_custkey") % 900).cast("string"), F.lit(",000"))
-    )
-    pages = c.select(F.col("c_custkey").alias("doc_id"), F.concat(F.lit("Anchor customers\n"), line).alias("text"))
-    return parse.roster_lines(pages, F.lit(10_000_000.0)).select("doc_id", "name", "pct_arr")
+    k = F.col("c_custkey")
+    beside = F.concat(F.col("c_name"), F.lit("  - $"), (k % 9 + 1).cast("string"), F.lit(".5M"))
+    below = F.concat(F.col("c_name"), F.lit("\n$"), (k % 900).cast("string"), F.lit(",000"))
+    line = F.when(k % 7 == 0, F.lit("Customer\n$1M")).when(k % 7 == 1, F.lit("Ab $2M")).when(k % 7 == 2, F.lit("$3M\n$4M")).when(k % 7 == 3, F.lit("one of the nine words in a long line $1M"))
+    line = line.when(k % 2 == 0, beside).otherwise(below)
+    pages = c.select(k.alias("doc_id"), F.inline(F.array(
+        F.struct(F.lit(2).alias("page_number"), F.concat(F.when(k % 5 == 0, "Our  customers\n").otherwise("Anchor Customers\n"), line).alias("text")),
+        F.struct(F.lit(1).alias("page_number"), F.lit("Elsewhere Ltd $5M").alias("text")),
+    )))
+    return parse.roster_lines(parse.roster_pages(pages), F.lit(10_000_000.0)).select("doc_id", "name", "pct_arr")
 
 
 QUERIES = {
@@ -285,7 +290,9 @@ SQL = {
     "json_array_parse": "select event_id, event_id + k as k from events, (values (0), (1), (2)) as v(k)",
     "event_props": "select event_type, key, count(*) as n from (select event_type, unnest(json_keys(props)) as key from events) group by 1, 2",
     "asserted_loader": "select * from (values ('d', 0, 'arr_usd', 8400000.0::double), ('d', 1, 'grr_pct', 91.0), ('d', 3, 'mrr_usd', 700000.5), ('d', 4, 'ebitda_usd', -2400.0), ('d', 5, 'nrr_pct', null), ('d', 6, 'top1', 1000.0)) as v(doc_id, seq, metric, asserted)",
-    "roster": """with r as (select c_custkey as doc_id, c_name as name, case when c_custkey % 2 = 0 then (c_custkey % 9 + 1.5) * 1e6 else (c_custkey % 900) * 1e3 end as value from customer)
-        select doc_id, name, round(100 * (value / 1e7::double), 2) as pct_arr from r where round(100 * (value / 1e7::double), 2) between 0.05 and 80""",
+    "roster": """with r as (select c_custkey as doc_id, case when c_custkey % 7 = 2 then null else c_name end as name,
+          case when c_custkey % 2 = 0 then (c_custkey % 9 + 1.5) * 1e6 else (c_custkey % 900) * 1e3 end as value from customer where c_custkey % 5 <> 0 and c_custkey % 7 not in (0, 1, 3)),
+        n as (select doc_id, name, value from r where name is not null union all select doc_id, 'Anchor Customers', 3e6 from r where name is null)
+        select doc_id, name, round(100 * (value / 1e7::double), 2) as pct_arr from n where 100 * (value / 1e7::double) between 0.05 and 80""",
 }
 SQL["layer_p_table"] = SQL["layer_p_table"].replace("LAYER_P", SQL["layer_p"])

@@ -43,10 +43,10 @@ def exhibit_pages(spark, sf_dir):
 
 def label_or_axis(spark, sf_dir):
     """Line items stand in for chart reads: quantity as label, discount-shifted quantity as axis."""
-    l = table(spark, sf_dir, "lineitem").where("l_linenumber = 1")  # noqa: E741
+    l = table(spark, sf_dir, "lineitem")  # noqa: E741
     label = F.when(F.col("l_orderkey") % 7 != 0, F.col("l_quantity"))
     axis = F.when(F.col("l_orderkey") % 5 != 0, F.round(F.col("l_quantity") + 10 * F.col("l_discount"), 2))
-    shipped = contracts.ship_label_or_axis(l.select(F.col("l_orderkey").alias("img"), label.alias("label_value"), axis.alias("axis_value")))
+    shipped = contracts.ship_label_or_axis(l.select(F.struct("l_orderkey", "l_linenumber").alias("img"), label.alias("label_value"), axis.alias("axis_value")))
     return shipped.groupBy("read", "flagged").agg(F.count("*").alias("n"), F.round(F.sum("value"), 1).alias("total"))
 
 
@@ -72,7 +72,7 @@ SQL = {
     "reader_seconds": f"with {_READS} select backend, count(*) as pages, cast(round(sum(seconds), 1) as double) as seconds, round(cast(sum(seconds) as double) / count(*), 1) as per_page from reads group by 1",
     "exhibit_pages": f"""with {PAGES_SQL}, m(metric, hint) as (values ('grr_pct', 'gross\\s+retention|gross\\s+revenue\\s+retention'), ('top1_customer_pct', 'largest\\s+customer|top\\s+customer'), ('top5_customer_pct', 'top\\s+(five|5)\\s+customers'))
         select page_id as doc_id, metric, 3::bigint as page from pages_, m where regexp_matches(text, '(?i)' || hint) and (page_id % 4 = 0 or regexp_matches(text, '(?i)chart|graph|figure|exhibit|axis'))""",
-    "label_or_axis": """with r as (select case when l_orderkey % 7 <> 0 then l_quantity end as a, case when l_orderkey % 5 <> 0 then round(l_quantity + 10 * l_discount, 2) end as b from lineitem where l_linenumber = 1),
+    "label_or_axis": """with r as (select case when l_orderkey % 7 <> 0 then l_quantity end as a, case when l_orderkey % 5 <> 0 then round(l_quantity + 10 * l_discount, 2) end as b from lineitem),
         s as (select case when a is not null and b is not null and abs(a - b) <= 0.5 then 'label' when b is not null then 'axis' when a is not null then 'label' end as read,
           coalesce(a is not null and b is not null and abs(a - b) > 0.5, false) as flagged, a, b from r)
         select read, flagged, count(*) as n, round(sum(case read when 'label' then a when 'axis' then b end), 1) as total from s group by 1, 2""",

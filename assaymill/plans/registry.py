@@ -18,7 +18,7 @@ INTEGERS = {
     "forecast_baselines": ["step"], "forecast_audit": ["step"], "history_sweep": ["length"], "cohort_covariate": ["t_from_end"],
     "quarter_facts": ["days"], "tag_fallback": ["tag_priority"], "nearest_events": ["place"], "colour_bins": ["place"],
     "grid_rows": ["line"], "assignment_pairs": ["img"], "label_match": ["img", "labels", "unmatched"],
-    "fold_back_violations": ["idx"], "top_parts_by_brand": ["place"],
+    "fold_back_violations": ["idx"], "top_parts_by_brand": ["place"], "memo_diff": ["idx"],
 }
 
 

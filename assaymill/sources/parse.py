@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from assaymill.functions.text import amount
+from assaymill.functions.text import MONEY, amount
 
 
 def asserted_number(raw: Column) -> Column:
@@ -40,49 +40,61 @@ def read_asserted(spark: SparkSession, path: str, doc_id: str) -> DataFrame:
     return asserted_values(rows.withColumn("doc_id", F.lit(doc_id)))
 
 
+# Column headers that stand where a customer's name would.
+ROSTER_HEADERS = ("customer", "annual contract value", "metric", "basis")
+
+
+def roster_pages(pages: DataFrame) -> DataFrame:
+    """pages: doc_id, page_number, text. doc_id, text of the pages that announce anchor customers, one after another."""
+    ours = pages.where(F.contains(F.lower("text"), F.lit("anchor customers")))
+    ordered = F.array_sort(F.collect_list(F.struct("page_number", "text")))
+    return ours.groupBy("doc_id").agg(F.array_join(F.transform(ordered, lambda p: p["text"]), "\n").alias("text"))
+
+
 def roster_lines(pages: DataFrame, revenue: Column) -> DataFrame:
     """Customers and their share of revenue, from lines ``Name  $2.1M`` or a name and an amount below it.
 
-    pages: doc_id, text. revenue: the document's, null or 0 gives no rows. Names have at least three
-    characters and at most eight words, shares are from 0.05 to 80.
+    pages: doc_id, text. revenue: the document's, null or 0 gives no rows. A name is what stands before the first
+    amount of a line; where nothing does, the line above, if it has no amount. Names of less than three
+    characters or more than eight words and column headers are dropped, shares are from 0.05 to 80.
     """
-    lines = pages.select("doc_id", revenue.alias("revenue"), F.posexplode(F.split("text", r"\n")).alias("at", "line"))
-    lines = lines.withColumn("line", F.trim(F.regexp_replace("line", r"\s+", " "))).where("line <> ''")
-    money = r"\$\s?(\d+(?:,\d{3})*(?:\.\d+)?)\s*([KMBkmb])?"
-    lines = lines.withColumn("before", F.lag("line").over(W.partitionBy("doc_id").orderBy("at")))
-    named = lines.where(F.col("line").rlike(money)).select(
+    edges = r"^[ \t|\-–—:]+|[ \t|\-–—:]+$"
+    lines = pages.select("doc_id", revenue.alias("revenue"), F.posexplode(F.split("text", r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x85\u2028\u2029]")).alias("at", "line"))
+    lines = lines.withColumn("line", F.trim(F.regexp_replace("line", r"^\s+|\s+$", ""))).where("line <> ''")
+    before = F.lag("line").over(W.partitionBy("doc_id").orderBy("at"))
+    lines = lines.withColumn("before", F.coalesce(before, F.lit("")))
+    named = lines.where(F.col("line").rlike(MONEY)).select(
         "doc_id",
         "at",
         "revenue",
-        amount(F.regexp_extract("line", money, 1), F.regexp_extract("line", money, 2)).alias("value"),
-        F.trim(F.regexp_replace(F.regexp_extract("line", r"^([^$]*)\$", 1), r"[\s.:|,\-]+$", "")).alias("own"),
-        F.coalesce("before", F.lit("")).alias("before"),
+        amount(F.regexp_extract("line", MONEY, 1), F.regexp_extract("line", MONEY, 2)).alias("value"),
+        F.regexp_replace(F.get(F.split("line", MONEY, 2), 0), edges, "").alias("own"),
+        F.when(F.col("before").rlike(MONEY), "").otherwise(F.regexp_replace("before", edges, "")).alias("above"),
     )
-    name = F.when(F.length("own") >= 3, F.col("own")).when(~F.col("before").contains("$"), F.col("before")).otherwise("")
+    name = F.when(F.col("own") != "", F.col("own")).otherwise(F.col("above"))
     share = F.round(100 * F.try_divide("value", "revenue"), 2)
-    header = F.lower("name").rlike(r"^(customer|customers|anchor customers|name|arr|total|revenue)$")
-    found = named.select("doc_id", "at", name.alias("name"), share.alias("pct_arr"))
+    found = named.select("doc_id", "at", name.alias("name"), share.alias("pct_arr"), (100 * F.try_divide("value", "revenue")).alias("exact"))
     return found.where(
-        (F.length("name") >= 3) & ~header & (F.size(F.split("name", " ")) <= 8) & F.col("pct_arr").between(0.05, 80)
-    )
+        (F.length("name") >= 3) & ~F.lower("name").isin(*ROSTER_HEADERS) & (F.size(F.split("name", r"\s+")) <= 8) & F.col("exact").between(0.05, 80)
+    ).drop("exact")
 
 
 def reply_pairs(text: Column) -> Column:
-    """``label: value`` lines of a reply, as an array of (label, value)."""
-    lines = F.filter(F.split(text, r"\n"), lambda x: x.rlike(r"^\s*[^:]+:\s*[-$]?\d") & ~F.lower(x).rlike(r"^\s*ticks"))
+    """``label: value`` lines of a reply, the value with or without ``%``, as an array of (label, value)."""
+    pattern = r"^(.+?):\s*([0-9]+(?:\.[0-9]+)?)\s*%?\s*$"
+    lines = F.transform(F.split(text, r"\n"), lambda x: F.trim(x))
+    lines = F.filter(lines, lambda x: x.rlike(pattern) & ~F.lower(x).rlike(r"^ticks\s*:"))
     return F.transform(
         lines,
-        lambda x: F.struct(
-            F.trim(F.regexp_extract(x, r"^\s*([^:]+):", 1)).alias("label"),
-            F.regexp_replace(F.regexp_extract(x, r":\s*([-$\d.,]+)", 1), r"[$,]", "").cast("double").alias("value"),
-        ),
+        lambda x: F.struct(F.trim(F.regexp_extract(x, pattern, 1)).alias("label"), F.regexp_extract(x, pattern, 2).cast("double").alias("value")),
     )
 
 
 def reply_ticks(text: Column) -> Column:
-    """The numbers of the line that starts with ``ticks:``."""
-    line = F.regexp_extract(text, r"(?im)^\s*ticks\s*:\s*(.*)$", 1)
-    numbers = F.regexp_extract_all(line, F.lit(r"-?\d+(?:\.\d+)?"), F.lit(0))
+    """The numbers between the commas of the last line that starts with ``ticks:``; what is no number is left out."""
+    lines = F.filter(F.transform(F.split(text, r"\n"), lambda x: F.trim(x)), lambda x: x.rlike(r"(?i)^ticks:"))
+    parts = F.split(F.regexp_replace(F.coalesce(F.try_element_at(lines, F.lit(-1)), F.lit("")), r"(?i)^ticks:", ""), ",")
+    numbers = F.filter(F.transform(parts, lambda x: F.trim(x)), lambda x: x.rlike(r"^-?\d+(\.\d+)?$"))
     return F.transform(numbers, lambda x: x.cast("double"))
 
 

@@ -187,20 +187,29 @@ def edits(draft, edited):
 
 def test_memo_diff():
     draft = ["# Memo", "ARR 8 <!--co-T1-axis_read-001-->", "line two", "line three"]
+    co = "co-T1-axis_read-001"
     assert edits(draft, draft) == []
-    assert edits(draft, ["# Memo", "ARR 9 <!--co-T1-axis_read-001-->", "line two", "line three"]) == [("co-T1-axis_read-001", False, "replace", "ARR 8", "ARR 9")]
-    assert edits(draft, draft[:2] + draft[3:]) == [("co-T1-axis_read-001", False, "delete", "line two", None)]
-    assert edits(draft, [*draft, "new", "lines"]) == [(None, True, "insert", None, "new\nlines")]
-    assert edits(draft, ["Title", *draft[1:]]) == [(None, True, "replace", "# Memo", "Title")]
-    two = edits(draft, [*draft[:2], "other", "things", "line three"])
-    assert [e[2:] for e in two] == [("replace", "line two", "other"), ("replace", None, "things")]
+    assert edits(draft, ["# Memo", "ARR 9 <!--co-T1-axis_read-001-->", "line two", "line three"]) == [(co, False, "ARR 8", "ARR 9")]
+    assert edits(draft, draft[:2] + draft[3:]) == [(co, False, "line two", None)]
+    assert edits(draft, [*draft, "new", "lines"]) == [(None, True, None, "new lines")]
+    assert edits(draft, ["Title", *draft[1:]]) == [(None, True, "# Memo", "Title")]
+    assert edits(draft, [*draft[:2], "other", "things", "line three"]) == [(co, False, "line two", "other"), (None, True, None, "things")]
+    assert edits(draft, [*draft[:1], "one", "line two", "line three"]) == [(co, False, "ARR 8", "one")]
+    assert edits([], ["x"]) == [(None, True, None, "x")] and edits(["x"], []) == [(None, True, "x", None)]
 
 
 def test_sessions_and_reasons(spark):
-    diffs = feedback.diff_memos(spark.createDataFrame([("T1", "a 1\nb", "a 2\nb\nc")], "doc_id string, draft string, edited string"))
+    draft = "a 1 <!--co-T1-axis_read-001-->\nb <!--co-T1-judgement-001-->\nc"
+    pairs = spark.createDataFrame([("T1", draft, "a 2\nb changed\nc\nd"), ("T2", draft, "a 1\nc")], "doc_id string, draft string, edited string")
+    callouts = spark.createDataFrame([(d, f"co-T1-{k}-001", k, m) for d in ("T1", "T2") for k, m in (("axis_read", "grr_pct"), ("judgement", None))], "doc_id string, id string, kind string, metric string")
     sessions = spark.createDataFrame([("T1", 2)], "doc_id string, session int")
-    rows = feedback.corrections(diffs, sessions).orderBy("idx").collect()
-    assert [(r.session, r.kind, r.reason) for r in rows] == [(3, "replace", "factual_error"), (3, "insert", "new_information")]
+    records = feedback.corrections(feedback.diff_memos(pairs), callouts, sessions)
+    rows = records.orderBy("doc_id", "idx").collect()
+    assert [(r.doc_id, r.session, r.field, r.kind, r.reason) for r in rows] == [
+        ("T1", 3, "grr_pct", "axis_read", "factual_error"), ("T1", 3, None, "judgement", "judgement_call"),
+        ("T1", 3, None, None, "new_information"), ("T2", 1, None, "judgement", "needs_triage"),
+    ]
+    assert sorted(map(tuple, feedback.correction_counts(records).collect())) == [("T1", 3, 1, 0), ("T2", 1, 0, 1)]
 
 
 def test_callouts(spark):
@@ -211,21 +220,81 @@ def test_callouts(spark):
     assert ids == ["co-T-axis_read-001", "co-T-axis_read-002", "co-T-definition_conflict-001", "co-T-missing_metric-001"]
 
 
-def test_chart_measure_of_a_known_line():
+def draw(end=20.0, slope=-0.25, width=200, dot=(200, 30, 30)):
     import numpy as np
 
-    rgb = np.full((60, 80, 3), 255)
-    rgb[[10, 30, 50]] = 220
-    for x in range(5, 80):
-        y = 45 - x // 4
-        rgb[y - 1 : y + 2, x] = (200, 30, 30)
-    [(series, _, value)] = chart.measure_image(rgb, [50.0, 100.0, 75.0])
-    assert series == 1 and value == pytest.approx(100 - (45 - 79 / 4 + 0.375 - 10) * 50 / 40, abs=0.6)
-    assert chart.measure_image(rgb, [1.0, 2.0]) == []
+    rgb = np.full((120, width, 3), 255)
+    rgb[[10, 60, 110]] = 220
+    right = width - 20
+    for x in range(5, right + 1):
+        y = end + (x - right) * slope
+        for row in range(int(y) - 2, int(y) + 4):
+            if abs(row - y) <= 1.5:
+                rgb[row, x] = dot
+    for x in range(right - 6, right + 7):
+        for row in range(int(end) - 7, int(end) + 8):
+            if (x - right) ** 2 + (row - end) ** 2 <= 36:
+                rgb[row, x] = dot
+    return rgb
+
+
+@pytest.mark.parametrize(("end", "slope"), [(20.0, -0.25), (37.0, 0.1), (70.0, 0.3), (25.5, 0.0)])
+def test_charts_are_measured_to_a_tenth(end, slope):
+    value = 100 - (end - 10) * 0.5
+    [(series, pixels, got)] = chart.measure_image(draw(end, slope), [50.0, 100.0, 75.0])
+    assert series == 1 and pixels > 400 and got == pytest.approx(value, abs=0.3)
+    assert chart.measure_image(draw(end, slope), [1.0, 2.0]) == []
+
+
+def test_colours_near_one_another_are_one_series(spark):
+    import numpy as np
+
+    rgb = np.full((60, 60, 3), 255)
+    for k, colour in enumerate([(200, 30, 30), (180, 40, 40), (30, 30, 200), (30, 200, 30), (200, 30, 200), (30, 200, 200)]):
+        rgb[10 + 5 * k, : 50 - 5 * k] = colour
+    rgb[50, :5] = (250, 120, 0)
+    colours = [tuple(int(x) for x in c) for c in chart.series_colours(rgb)]
+    assert colours == [(200, 30, 30), (30, 30, 200), (30, 200, 30), (200, 30, 200)]
+    pixels = [(1, y, x, *map(int, rgb[y, x])) for y in range(60) for x in range(60)]
+    frame = spark.createDataFrame(pixels, "img int, y int, x int, r int, g int, b int")
+    assert [(c.r, c.g, c.b) for c in chart.largest_colours(chart.colour_bins(frame)).orderBy("place").collect()] == colours
+
+
+def test_many_series_are_paired_in_order(spark):
+    e = spark.createDataFrame([(1, f"l{i}", float((i * 7) % 9)) for i in range(9)], "img int, label string, estimate double")
+    m = spark.createDataFrame([(1, float(i) + 0.25) for i in range(9)], "img int, value double")
+    assert {(r.label, r.value - r.estimate) for r in chart.assign(e, m).collect()} == {(f"l{i}", 0.25) for i in range(9)}
+
+
+def test_quantiles_equal_numpy(spark):
+    import numpy as np
+
+    from assaymill.functions.quantiles import grouped_quantiles
+
+    rng = np.random.default_rng(5)
+    values = {"a": rng.normal(size=1000), "b": np.array([3.0]), "c": np.array([1.0, 1.0, 1.0, 9.0]), "d": rng.integers(0, 4, 501).astype(float)}
+    rows = spark.createDataFrame([(k, float(x)) for k, v in values.items() for x in v] + [("e", None)], "k string, v double")
+    for bins in (1, 7, 1024):
+        got = {r.k: (r.n, r.q) for r in grouped_quantiles(rows, ["k"], "v", [0.1, 0.5, 0.9], bins).collect()}
+        assert set(got) == set(values)
+        for k, v in values.items():
+            assert got[k][0] == len(v) and np.allclose(got[k][1], np.quantile(v, [0.1, 0.5, 0.9]))
+
+
+def test_items_are_found_whole(spark):
+    long = "one two three four five six seven eight nine ten eleven twelve"
+    reports = [(1, f"start {long.upper()} end"), (2, f"xx{long}yy"), (3, long[:-7]), (4, "see HTTP://Casino.example/x"), (5, None), (None, long), (6, f"{long} casino")]
+    items = [(long,), ("casino",), ("Casino",), ("",), (None,), ("short one",), (long,)]
+    got = feedback.cited_items(spark.createDataFrame(reports, "report_id long, text string"), spark.createDataFrame(items, "item string"))
+    assert sorted(map(tuple, got.collect())) == sorted([(1, long), (2, long), (6, long), (4, "casino"), (4, "Casino"), (6, "casino"), (6, "Casino")])
 
 
 def test_pages_without_numbers_take_the_chart_path(spark):
-    pages = spark.createDataFrame([("d", 1, "ARR $8"), ("d", 2, "a chart"), ("d", 3, "another")], PAGE)
-    charts = spark.createDataFrame([("d", 2, "[measured]\nseries 1: 81.0")], "doc_id string, page_number int, measured string")
-    rows = {r.page_number: (r.method, r.unresolved is None) for r in chart.read_pages(pages, charts).collect()}
-    assert rows == {1: ("textlayer", True), 2: ("vision", True), 3: ("vision", False)}
+    pages = spark.createDataFrame([("d", 1, "ARR $8"), ("d", 2, "a chart "), ("d", 3, "another"), ("d", 4, ""), ("d", 5, "x"), ("d", 6, "y")], PAGE)
+    charts = [("d", 2, True, True, "[measured]\nseries 1: 81.0"), ("d", 4, False, False, None), ("d", 5, True, False, None), ("d", 6, True, True, None)]
+    charts = spark.createDataFrame(charts, "doc_id string, page_number int, has_read boolean, has_values boolean, measured string")
+    rows = {r.page_number: (r.method, r.unresolved) for r in chart.read_pages(pages, charts).collect()}
+    assert rows == {
+        1: ("textlayer", None), 2: ("vision", None), 3: ("vision", "no chart on the page"), 4: ("vision", "the chart was not read"),
+        5: ("vision", "the chart's geometry did not resolve"), 6: ("vision", "labels and series did not match"),
+    }

@@ -29,12 +29,3 @@ def test_flagship(spark):
     rows = entry.entry(spark).collect()
     assert len(rows) > 0
     assert [r.score for r in rows] == sorted((r.score for r in rows), reverse=True)
-
-
-def test_memo_diff_and_chart_measure_without_sql(spark, sf_dir):
-    assert QUERIES["memo_diff"](spark, sf_dir).count() > 0
-    values = {r.img: r.value for r in QUERIES["chart_measure"](spark, sf_dir).collect()}
-    # Lines end at rows 45 - int(79 k / 8): the value falls from 100 at row 10 to 50 at row 50.
-    for img in range(3):
-        y = 45 - int(79 * (img + 1) / 8)
-        assert values[img] == pytest.approx(100 - (y - 10) * 50 / 40, abs=1.3)
