@@ -48,6 +48,21 @@ def tools_not_allowed(agents: DataFrame, forbidden: list[str]) -> DataFrame:
     return agents.select("agent", F.explode(held).alias("tool"))
 
 
+def forbidden_imports(lines: DataFrame, modules: list[str]) -> DataFrame:
+    """lines: file, line_no, text. Lines that import one of the modules, or something of it."""
+    names = "|".join(m.replace(".", r"\.") for m in modules)
+    module = F.regexp_extract("text", rf"^\s*(?:import|from)\s+({names})(?:[\s.,;]|$)", 1)
+    return lines.select("file", "line_no", module.alias("module")).where("module <> ''")
+
+
+def vision_pages(read: DataFrame, citations: DataFrame) -> DataFrame:
+    """read: doc_id, pages (array). citations: doc_id, page, method. All pages that vision had to do with, in order."""
+    cited = citations.where("method = 'vision' and page is not null").groupBy("doc_id").agg(F.collect_set("page").alias("cited"))
+    none = F.array().cast("array<int>")
+    both = read.join(cited, "doc_id", "full_outer")
+    return both.select("doc_id", F.array_sort(F.array_union(F.coalesce("pages", none), F.coalesce("cited", none))).alias("pages"))
+
+
 def chart_only(truth: DataFrame) -> DataFrame:
     """Values that only charts carry."""
     return truth.where("carrier = 'chart'").select("target_id", "metric", "value")

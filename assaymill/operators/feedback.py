@@ -214,8 +214,13 @@ def _words(text: Column) -> Column:
 
 def _runs(words: Column) -> Column:
     """64-bit hashes of every ``RUN`` words that follow one another."""
-    firsts = F.slice(words, 1, F.greatest(F.size(words) - (RUN - 1), F.lit(0)))
-    return F.transform(firsts, lambda w, i: F.xxhash64(w, *[F.get(words, i + k) for k in range(1, RUN)]))
+
+    def hashes(w: Column) -> Column:
+        firsts = F.slice(w, 1, F.greatest(F.size(w) - (RUN - 1), F.lit(0)))
+        return F.transform(firsts, lambda x, i: F.xxhash64(x, *[F.get(w, i + k) for k in range(1, RUN)]))
+
+    # In a lambda of its own the words are cut once, not for each of their places.
+    return F.get(F.transform(F.array(words), hashes), 0)
 
 
 def cited_items(reports: DataFrame, items: DataFrame) -> DataFrame:

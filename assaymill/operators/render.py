@@ -59,3 +59,34 @@ def text_table(df: DataFrame, columns: list[str]) -> DataFrame:
     line = F.concat(F.lit("| "), F.concat_ws(" | ", *[F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in columns]), F.lit(" |"))
     head = "| " + " | ".join(columns) + " |\n|" + "-|" * len(columns) + "\n"
     return df.select(line.alias("line")).agg(F.concat(F.lit(head), F.array_join(F.array_sort(F.collect_list("line")), "\n")).alias("text"))
+
+
+#: Characters of a document, and of its narrative, that a prompt holds; items of research in a brief.
+PROMPT_CHARS, EXCERPT_CHARS, BRIEF_RESEARCH = 14_000, 2600, 12
+
+#: Blocks of a brief in order: name, heading, what stands there when there is nothing, lines at most (0: all).
+BRIEF = [
+    ("document", "[A] EXTRACTED FROM THE DOCUMENT", "none available", 0),
+    ("base_rate", "[B] BASE RATE FROM PAST ACQUISITIONS", "none available", 0),
+    ("customers", "[C] CUSTOMER HEALTH", "not researched", 0),
+    ("research", "[D] EXTERNAL RESEARCH", "none available", BRIEF_RESEARCH),
+]
+
+
+def excerpt(text: Column, chars: int) -> Column:
+    """The first characters of a text; null: empty."""
+    return F.left(F.coalesce(text, F.lit("")), F.lit(chars))
+
+
+def briefs(targets: DataFrame, lines: DataFrame) -> DataFrame:
+    """targets: target_id. lines: target_id, block, seq, line. target_id, text: all that a reasoner may see of a target,
+    each block under its origin."""
+    held = lines.groupBy("target_id").pivot("block", [b for b, _, _, _ in BRIEF]).agg(F.array_sort(F.collect_list(F.struct("seq", "line"))))
+    joined = targets.select("target_id").join(held, "target_id", "left")
+    parts = [F.concat(F.lit("TARGET: "), "target_id")]
+    for name, heading, empty, most in BRIEF:
+        rows = F.transform(F.col(name), lambda x: F.concat(F.lit("  "), x["line"]))
+        rows = F.slice(rows, 1, most) if most else rows
+        body = F.when(F.coalesce(F.size(name), F.lit(0)) > 0, F.array_join(rows, "\n")).otherwise(f"  {empty}")
+        parts.append(F.concat(F.lit(f"\n{heading}\n"), body))
+    return joined.select("target_id", F.concat_ws("\n", *parts).alias("text"))

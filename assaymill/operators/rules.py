@@ -88,3 +88,18 @@ def verdicts(wide: DataFrame, rubric: Rubric = DEFAULT) -> DataFrame:
     }
     rows = F.array(*[F.struct(F.lit(k).alias("criterion"), v.alias("verdict")) for k, v in items.items()])
     return wide.select("target_id", F.inline(rows))
+
+
+#: The metric whose citation a finding carries; a finding over several metrics carries that of the first.
+METRIC_OF = {
+    "R1": "mrr_usd", "R2": "arr_usd", "R3": "recurring_pct", "R4": "grr_pct", "R5": "grr_pct", "R6": "nrr_pct",
+    "R7": "gross_margin_pct", "R8": "ebitda_usd", "R9": "yoy_growth_pct", "R10a": "top1_customer_pct", "R10b": "top5_customer_pct",
+}
+
+
+def with_citations(found: DataFrame, citations: DataFrame) -> DataFrame:
+    """citations: target_id, metric, page, method. Adds the page and method of the metric a finding is about; null where
+    there is none."""
+    metric = F.element_at(F.create_map(*[F.lit(x) for pair in METRIC_OF.items() for x in pair]), F.col("rule_id"))
+    cited = citations.select("target_id", "metric", "page", "method")
+    return found.withColumn("metric", metric).join(cited, ["target_id", "metric"], "left")

@@ -161,3 +161,24 @@ def synthetic_monthly(base: Column, growth: Column, amplitude: Column, months: i
             (base * F.pow(growth, i - anchor) * (1 + amplitude * F.sin(2 * F.lit(3.141592653589793) * i / 12))).alias("value"),
         ),
     )
+
+
+def provenance(points: DataFrame, horizon: int, least: int = 12) -> DataFrame:
+    """points: entity, end, accession, value. Of each series with ``least`` points before the holdout: how many it was
+    trained on, its first and last end, where the holdout starts, and the holdout's filings (end, accession, value)."""
+    order = W.partitionBy("entity").orderBy(F.desc("end"))
+    rows = points.withColumns({"from_end": F.row_number().over(order) - 1})
+    held = F.col("from_end") < horizon
+    filings = F.array_sort(F.collect_list(F.when(held, F.struct("end", "accession", "value"))))
+    found = rows.groupBy("entity").agg(
+        F.count_if(~held).alias("trained_on"), F.min("end").alias("first"), F.max(F.when(~held, F.col("end"))).alias("last_trained"),
+        F.min(F.when(held, F.col("end"))).alias("holdout_from"), filings.alias("filings"),
+    )
+    return found.where(F.col("trained_on") >= least)
+
+
+def revenue_artifact(points: DataFrame) -> DataFrame:
+    """points: entity, tag, start, end, value, accession. One row an entity with its points, oldest first: what is stored
+    so that forecasts can be run again without the source."""
+    rows = F.array_sort(F.collect_list(F.struct("end", "start", "value", "accession")))
+    return points.groupBy("entity", "tag").agg(F.count("*").alias("quarters"), rows.alias("points"))

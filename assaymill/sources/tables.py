@@ -36,3 +36,9 @@ def inbox(spark: SparkSession, folder: str, pattern: str = "*.txt") -> DataFrame
     """Every file of a folder that fits the pattern, in the order of their names: path, text."""
     files = spark.read.format("text").option("wholetext", True).option("pathGlobFilter", pattern).load(folder)
     return files.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text")).orderBy("path")
+
+
+def read_records(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A JSON document that is an array of records, or one record: ground truth, examples, criteria. Fields that the
+    schema doesn't name are left out, and missing ones are null."""
+    return spark.read.schema(schema).option("multiLine", True).json(path)
