@@ -56,6 +56,7 @@ NOVEL_PRESENT = {
 class Rubric:
     """What a target is held against, and how much each part weighs."""
 
+    # The default criteria; any other rubric is read from a file.
     name: str = "Buy-and-hold software"
     arr_min: float = 2_000_000.0
     arr_max: float = 30_000_000.0

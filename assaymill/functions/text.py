@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from assaymill.config import METRIC_WORDS, MONEY_METRICS
 
+# How amounts and shares are printed, and what makes a page one with numbers.
 MONEY = r"\$\s?(\d+(?:,\d{3})*(?:\.\d+)?)\s*([KMBkmb])?"
 PERCENT = r"(\d+(?:\.\d+)?)\s*%"
 NUMERIC = r"\d+(\.\d+)?\s?%|\$\s?\d"

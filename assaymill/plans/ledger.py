@@ -297,7 +297,7 @@ def review_rates(spark, sf_dir):
     return recover.coverage(checks)
 
 
-def seeded_review(spark, sf_dir):
+def seeded_error_check(spark, sf_dir):
     """Whole shares on pages, every other one changed before it is asserted, reviewed against the pages."""
     c = _customers(spark, sf_dir)
     names = [("grr_pct", "gross retention"), ("nrr_pct", "net retention"), ("gross_margin_pct", "gross margin")]
@@ -402,7 +402,7 @@ QUERIES = {
         page_methods, model_reads, page_record_faults, vision_page_union, chart_carried, carrier_counts, dealbook, series_ends, cache_left,
         front_matter_fields, fenced_lists, tools_held, banded_lenses, researched_roster, headlines, stated_conflicts, cited_findings,
         finding_records, derived_callouts, memo_questions, seeded_not_fired, marked_cells, frozen_callouts, latest_examples,
-        citation_first_pages, recovered_in_rank, chart_leaks, review_rates, seeded_review, screened, condition_means, prompt_excerpts,
+        citation_first_pages, recovered_in_rank, chart_leaks, review_rates, seeded_error_check, screened, condition_means, prompt_excerpts,
         target_briefs, plain_numbers, clean_lines, monthly_model, series_provenance, stored_revenue,
     )
 }
@@ -487,7 +487,7 @@ SQL = {
     "chart_leaks": "select c_custkey as doc_id, 'grr_pct' as metric, cast(c_custkey % 97 as double) as value, 1::bigint as page from customer where c_custkey % 4 = 0",
     "review_rates": """with c as (select c_custkey as doc_id, (c_custkey + m) % 3 as v from (select c_custkey, unnest(range(1, c_custkey % 5 + 2)) as m from customer))
         select doc_id, count(*) as asserted, count(*) filter (v < 2) as checked, count(*) filter (v = 0) as agreed, count(*) filter (v = 1) as disagreed, round(100.0::double * count(*) filter (v < 2) / count(*), 1) as coverage_pct from c group by 1""",
-    "seeded_review": """with v as (select c_custkey * (i + 3) % 89 + 1 as value, row_number() over (partition by c_custkey order by metric) % 2 = 1 as seeded
+    "seeded_error_check": """with v as (select c_custkey * (i + 3) % 89 + 1 as value, row_number() over (partition by c_custkey order by metric) % 2 = 1 as seeded
           from customer, (values (0, 'grr_pct'), (1, 'nrr_pct'), (2, 'gross_margin_pct')) as m(i, metric)),
         c as (select seeded, contains(value || '%', cast(round(value * case when seeded then 1.35::double else 1.0 end, 0) as bigint) || '%') as agrees from v)
         select count(*) filter (seeded and not agrees) as caught, count(*) filter (seeded and agrees) as missed, 0::bigint as unchecked, 0::bigint as false_flags, count(*) filter (not seeded) as confirmed,

@@ -48,8 +48,8 @@ def top_parts_by_brand(spark, sf_dir):
     return top.select("p_brand", F.col("l_partkey").alias("partkey"), F.col("qty").cast("double").alias("qty"), "place")
 
 
-def customers_without_orders(spark, sf_dir):
-    c, o = table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders")
+def customers_without_urgent_orders(spark, sf_dir):
+    c, o = table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders").where("o_orderpriority like '1%'")
     return c.join(o, F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey", "c_name")
 
 
@@ -72,7 +72,7 @@ def running_balance(spark, sf_dir):
     )
 
 
-QUERIES = {f.__name__: f for f in (pricing_summary, region_revenue, top_parts_by_brand, customers_without_orders, segment_cube, running_balance)}
+QUERIES = {f.__name__: f for f in (pricing_summary, region_revenue, top_parts_by_brand, customers_without_urgent_orders, segment_cube, running_balance)}
 
 SQL = {
     "pricing_summary": """select l_returnflag, l_linestatus, cast(sum(cast(l_quantity as decimal(18,2))) as double) as sum_qty, cast(sum(cast(l_extendedprice as decimal(18,2))) as double) as sum_base_price,
@@ -83,7 +83,7 @@ SQL = {
         join nation on s_nationkey = n_nationkey join region on n_regionkey = r_regionkey where year(o_orderdate) = 1997 group by 1, 2""",
     "top_parts_by_brand": """with s as (select l_partkey, sum(cast(l_quantity as decimal(18,2))) as qty from lineitem group by 1)
         select p_brand, l_partkey as partkey, cast(qty as double) as qty, row_number() over (partition by p_brand order by qty desc, l_partkey) as place from s join part on l_partkey = p_partkey qualify place <= 3""",
-    "customers_without_orders": "select c_custkey, c_name from customer where c_custkey not in (select o_custkey from orders)",
+    "customers_without_urgent_orders": "select c_custkey, c_name from customer where c_custkey not in (select o_custkey from orders where o_orderpriority like '1%')",
     "segment_cube": """select coalesce(cast(n_regionkey as varchar), 'all') as region, coalesce(c_mktsegment, 'all') as segment, count(*) as n, cast(sum(cast(c_acctbal as decimal(18,2))) as double) as balance
         from customer join nation on c_nationkey = n_nationkey group by cube (n_regionkey, c_mktsegment)""",
     "running_balance": """select o_custkey, o_orderkey, cast(sum(cast(o_totalprice as decimal(18,2))) over w as double) as running, cast(cast(o_totalprice as decimal(18,2)) - lag(cast(o_totalprice as decimal(18,2))) over w2 as double) as change
