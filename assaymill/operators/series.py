@@ -133,6 +133,14 @@ def cohort_covariates(series: DataFrame) -> DataFrame:
     return rows.select("series_id", "t_from_end", "value", "others", ((F.col("others") - F.avg("others").over(own)) / spread).alias("z"))
 
 
+def covariate_windows(covariates: DataFrame, horizon: int) -> DataFrame:
+    """covariates: series_id, t_from_end, z. Of each series what a model may see of the others: ``past``, up to the
+    holdout, and ``future``, over it, both in the order of time."""
+    inside = lambda c: F.transform(F.array_sort(F.collect_list(F.when(c, F.struct((-F.col("t_from_end")).alias("t"), "z")))), lambda x: x["z"])
+    held = F.col("t_from_end") < horizon
+    return covariates.groupBy("series_id").agg(inside(~held).alias("past"), inside(held).alias("future"))
+
+
 def quarter_facts(facts: DataFrame, shortest: int = 80, longest: int = 100) -> DataFrame:
     """facts: entity, start, end, value, accession, seq. Facts over one quarter, the first of each (start, end).
 

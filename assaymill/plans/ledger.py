@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from assaymill.config import CELLS, REQUIRED_METRICS
+from assaymill.config import CELLS, METRICS, REQUIRED_METRICS
 from assaymill.functions import numbers
 from assaymill.functions import text as T
-from assaymill.operators import chart, classify, contracts, feedback, metrics, recover, render, rules, screen, series, signal
+from assaymill.operators import chart, classify, contracts, feedback, fit, metrics, recover, render, rules, screen, series, signal
 from assaymill.plans.analytics import SQL as ANALYTICS
 from assaymill.plans.analytics import base_rate_cohort, customer_signal, monthly
 from assaymill.plans.analytics import _MONTHLY as MONTHLY_SQL
 from assaymill.plans.screening import FINDINGS_SQL, FIT_SQL, METRICS_SQL, wide_metrics
+from assaymill.plans.screening import SQL as SCREENING
 from assaymill.sources import fixtures, parse
 from assaymill.sources.tables import table
 from assaymill.streaming import incremental
@@ -360,6 +361,18 @@ def target_briefs(spark, sf_dir):
     return render.briefs(wide, document.unionByName(health).unionByName(research))
 
 
+def scorecard_texts(spark, sf_dir):
+    """Whole scorecards."""
+    wide = wide_metrics(spark, sf_dir)
+    return render.scorecards(wide, fit.fit(wide, CELLS), rules.verdicts(wide, CELLS), rules.findings(wide, CELLS))
+
+
+def severity_table(spark, sf_dir):
+    """A report: findings by rule, as one text."""
+    found = rules.findings(wide_metrics(spark, sf_dir), CELLS).groupBy("rule_id", "severity").agg(F.count("*").alias("n"))
+    return render.text_table(found, ["rule_id", "severity", "n"])
+
+
 def plain_numbers(spark, sf_dir):
     return _customers(spark, sf_dir).select("c_custkey", numbers.plain_number((key() % 1000) / 8.0).alias("shown"))
 
@@ -379,6 +392,13 @@ def monthly_model(spark, sf_dir):
     return n.select("n", F.inline(points)).select("n", F.col("t").cast("long").alias("t"), F.round("value", 4).alias("value"))
 
 
+def covariate_parts(spark, sf_dir):
+    """What the others did, standardised, before the last twelve months and in them."""
+    rows = series.covariate_windows(series.cohort_covariates(monthly(spark, sf_dir)), 12)
+    total = lambda c: F.round(F.aggregate(c, F.lit(0.0), lambda a, x: a + x), 4).alias(c)
+    return rows.select("series_id", F.size("past").cast("long").alias("before"), F.size("future").cast("long").alias("held"), total("past"), F.round(F.get("future", 0), 4).alias("first_held"))
+
+
 def _points(spark, sf_dir):
     rows = monthly(spark, sf_dir)
     month = F.lpad((F.col("t") % 12 + 1).cast("string"), 2, "0")
@@ -403,7 +423,8 @@ QUERIES = {
         front_matter_fields, fenced_lists, tools_held, banded_lenses, researched_roster, headlines, stated_conflicts, cited_findings,
         finding_records, derived_callouts, memo_questions, seeded_not_fired, marked_cells, frozen_callouts, latest_examples,
         citation_first_pages, recovered_in_rank, chart_leaks, review_rates, seeded_error_check, screened, condition_means, prompt_excerpts,
-        target_briefs, plain_numbers, clean_lines, monthly_model, series_provenance, stored_revenue,
+        target_briefs, plain_numbers, clean_lines, monthly_model, series_provenance, stored_revenue, covariate_parts,
+        scorecard_texts, severity_table,
     )
 }
 
@@ -435,9 +456,26 @@ wide as (select target_id, cast(null as double) as arr_usd, cast(null as double)
   cast(null as double) as gross_margin_pct, cast(null as double) as ebitda_usd, cast(null as double) as yoy_growth_pct, cast(null as double) as top1_customer_pct, cast(null as double) as top5_customer_pct
   from stated join by_vision using (target_id))""" + FIT_SQL[len(METRICS_SQL):]
 _STATED = "((recurring_pct is not null)::int + (grr_pct is not null)::int + (nrr_pct is not null)::int)"
+COVARIATE_SQL = ANALYTICS["cohort_covariate"].replace("round(others, 4) as others, round((others", "others, ((others").replace("coalesce(nullif(stddev_pop(others) over (partition by series_id), 0), 1), 4) as z", "coalesce(nullif(stddev_pop(others) over (partition by series_id), 0), 1)) as z")
 _POINTS = f"{MONTHLY_SQL}, points as (select series_id as entity, t, (1995 + t // 12) || '-' || lpad(cast(t % 12 + 1 as varchar), 2, '0') as e, series_id || '/' || t as accession from monthly)"
 
+_PLAIN = lambda c: f"case when {c} = floor({c}) then cast(cast({c} as bigint) as varchar) else regexp_replace(cast(cast(round({c}, 4) as decimal(38,4)) as varchar), '\\.?0+$', '') end"
+_MONEY = lambda c: (
+    f"case when {c} is null then 'not stated' else case when {c} < 0 then '-' else '' end || '$' || case when abs({c}) >= 1e6"
+    f" then cast(cast(round(abs({c}) / 1e6, 1) as decimal(20,1)) as varchar) || 'M' else format('{{:,}}', cast(round(abs({c}), 0) as bigint)) end end"
+)
+_SHOWN = " || chr(10) || ".join(f"'- {m}: ' || " + (_MONEY(m) if m.endswith("_usd") else f"case when {m} is null then 'not stated' else {_PLAIN(m)} || '%' end") for m in METRICS)
+
 SQL = {
+    "scorecard_texts": f"""with {FIT_SQL}, v as ({SCREENING["rubric_verdicts"].removeprefix(f"with {METRICS_SQL} ")}),
+        vs as (select target_id, string_agg('- ' || criterion || ': ' || verdict, chr(10) order by criterion || ': ' || verdict) as v from v group by 1),
+        fs as (select target_id, string_agg('- ' || rule_id || ' ' || severity, chr(10) order by rule_seq) as f from findings group by 1)
+        select target_id, '# ' || target_id || chr(10) || 'Score ' || {_PLAIN("score")} || ' ' || tier || chr(10) || {_SHOWN} || chr(10) || v || chr(10) || coalesce(f, '') as text
+        from wide join fit using (target_id) join vs using (target_id) left join fs using (target_id)""",
+    "severity_table": f"""with {FINDINGS_SQL}, l as (select '| ' || rule_id || ' | ' || severity || ' | ' || count(*) || ' |' as line from findings group by rule_id, severity)
+        select '| rule_id | severity | n |' || chr(10) || '|-|-|-|' || chr(10) || string_agg(line, chr(10) order by line) as text from l""",
+    "covariate_parts": f"""with z as ({COVARIATE_SQL}) select series_id, count(*) filter (t_from_end >= 12) as before, count(*) filter (t_from_end < 12) as held,
+        round(sum(z) filter (t_from_end >= 12), 4) as past, round(max(z) filter (t_from_end = 11), 4) as first_held from z group by 1""",
     "page_methods": """select c_custkey as doc_id, case when c_custkey % 20 = 2 then 'see the chart' || chr(10) || chr(10) || 'gross: ' || c_custkey || '.0%'
           else case c_custkey % 4 when 0 then 'ARR $' || c_custkey when 1 then 'retention ' || c_custkey || ' %' when 2 then 'see the chart ' || chr(10) else 'words only' end end as text,
         case when c_custkey % 4 < 2 then 'textlayer' else 'vision' end as method,

@@ -298,3 +298,41 @@ def test_pages_without_numbers_take_the_chart_path(spark):
         1: ("textlayer", None), 2: ("vision", None), 3: ("vision", "no chart on the page"), 4: ("vision", "the chart was not read"),
         5: ("vision", "the chart's geometry did not resolve"), 6: ("vision", "labels and series did not match"),
     }
+
+
+def png_of(rgb, filters=(0, 1, 2, 3, 4), colour=2):
+    import struct
+    import zlib
+
+    import numpy as np
+
+    height, width, channels = rgb.shape
+    flat = rgb.astype(int).reshape(height, -1)
+    lines = []
+    for y in range(height):
+        kind = filters[y % len(filters)]
+        x, up = flat[y], flat[y - 1] if y else np.zeros_like(flat[0])
+        left = np.concatenate([np.zeros(channels, int), x[:-channels]])
+        corner = np.concatenate([np.zeros(channels, int), up[:-channels]])
+        plane = left + up - corner
+        far = np.stack([abs(left - plane), abs(up - plane), abs(corner - plane)])
+        nearest = np.choose(far.argmin(0), [left, up, corner])
+        guess = [0 * x, left, up, (left + up) // 2, nearest][kind]
+        lines.append(bytes([kind]) + ((x - guess) & 255).astype("u1").tobytes())
+    chunk = lambda k, b: struct.pack(">I", len(b)) + k + b + struct.pack(">I", zlib.crc32(k + b))
+    data = zlib.compress(b"".join(lines))
+    head = struct.pack(">IIBBBBB", width, height, 8, colour, 0, 0, 0)
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", data[:99]) + chunk(b"IDAT", data[99:]) + chunk(b"IEND", b"")
+
+
+def test_png_images_are_decoded_and_measured(spark):
+    import numpy as np
+
+    rgb = draw(25.5, 0.0)
+    noise = np.random.default_rng(1).integers(0, 256, (40, 30, 4))
+    assert (chart.decode_png(png_of(rgb)) == rgb).all()
+    assert (chart.decode_png(png_of(noise, colour=6)) == noise[:, :, :3]).all()
+    assert (chart.decode_png(png_of(noise[:, :, :1], colour=0)) == noise[:, :, :1]).all()
+    images = spark.createDataFrame([(1, png_of(rgb)), (2, b"no image"), (3, png_of(rgb)[:300])], "img long, png binary")
+    ticks = spark.createDataFrame([(i, [100.0, 75.0, 50.0]) for i in (1, 2, 3)], "img long, ticks array<double>")
+    assert [(r.img, r.value) for r in chart.measure_pngs(images, ticks).collect()] == [(1, chart.measure_image(rgb, [100.0, 75.0, 50.0])[0][2])]
