@@ -307,7 +307,19 @@ def write_shards(
                 [pa.array(c, t) for c, t in zip(zip(*done, strict=True), kinds, strict=True)], names=names
             )
 
-    return cut(ordered.mapInArrow(write, MANIFEST))
+    manifest = cut(ordered.mapInArrow(write, MANIFEST))
+    drop_trials(place)
+    return manifest
+
+
+def drop_trials(place: str) -> None:
+    """Removes what attempts that failed have left in the folder; no shard is among it."""
+    from pyarrow.fs import FileSelector
+
+    fs, folder = file_system(place)
+    for found in fs.get_file_info(FileSelector(folder, allow_not_found=True)):
+        if found.base_name.startswith("_trial-"):
+            fs.delete_file(found.path)
 
 
 def read_shards(manifest: DataFrame, place: str) -> DataFrame:

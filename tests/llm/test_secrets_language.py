@@ -216,3 +216,32 @@ def test_languages_equal_brute_force(spark, sf_dir):
         best, second = sorted(sizes.values())[:2]
         assert sizes[got[r.doc_id].lang_pred] == best
         assert abs(got[r.doc_id].score - (second - best) / second) < 1e-9
+
+
+def test_novel_spans_equal_brute_force(spark):
+    import zstandard
+
+    rng = random.Random(40)
+    names = "alpha_beta_gamma DeltaEpsilon"
+    primed = zstandard.ZstdCompressionDict(f"{names} {secrets.WORDS}{secrets.IDENTIFIERS}".encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    pressed = lambda t: len(zstandard.ZstdCompressor(level=19, dict_data=primed, write_checksum=False, write_content_size=False, write_dict_id=False).compress(t.encode()))
+    key = lambda n: "".join(rng.choices(string.ascii_letters + string.digits + "-_/+", k=n))
+    texts = [f"{words(rng, 20)} the secret {rng.choice(['is', 'in <', ':'])} {rng.choice([key(rng.randint(10, 300)), key(rng.randint(16, 64)), 'alpha_beta_gamma_alpha', words(rng, 3).replace(' ', '_'), key(9) * 4])} {words(rng, 30)}" for _ in range(60)]
+    texts += [f"{key(30)} {words(rng, 40)} passphrase", "token " * 30 + key(40)]
+    got = {r.doc_id: [(s.start, s.end) for s in r.spans if s.kind == "novel"] for r in secrets.scan_secrets(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), names=names).collect()}
+    n = 0
+    for i, text in enumerate(texts):
+        places = [m.span() for w in secrets.SENSITIVE for m in re.finditer(re.escape(w), text.lower())]
+        want = []
+        for m in re.finditer(r"[A-Za-z0-9+/_~$%^&*!@#=-]{16,}", text):
+            assert "=" not in m[0]
+            a, b = m.span()
+            if not any(s - 64 <= b and a <= e + 64 for s, e in places) or any(s <= a and b <= e for _, s, e, _ in secrets.base_spans(text)):
+                continue
+            around = text[max(0, a - 256) : a] + text[b : b + 256] + "\n"
+            pieces = [text[c : min(c + 128, b)] for c in range(a, b, 128)]
+            if sum(pressed(around + p) - pressed(around) for p in pieces) / (b - a) >= secrets.NOVELTY:
+                want.append((a, b))
+        assert got[i] == want
+        n += len(want)
+    assert 15 < n < 60

@@ -101,6 +101,38 @@ def test_packing_pads_little(spark, sf_dir):
     assert padding < 0.03 * sum(used.values())
 
 
+def test_packing_query_equals_the_library(spark, sf_dir):
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    rows = packing.op8_pack_sequences(spark, sf_dir).collect()
+    want = {d: ids_of(t, 1) for d, t in texts.items()}
+    seen, sequences = {}, {}
+    for r in rows:
+        assert r.doc_tokens == len(want[r.doc_id]) and 0 < r.length <= 2048
+        assert r.ids_crc32 == zlib.crc32(want[r.doc_id][r.start : r.start + r.length].tobytes())
+        seen.setdefault(r.doc_id, []).append((r.start, r.length))
+        sequences.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    gapless = lambda spans: [s for s, _ in sorted(spans)] == [0, *np.cumsum([n for _, n in sorted(spans)])[:-1].tolist()]
+    assert all(gapless(spans) for spans in sequences.values()) and all(gapless(spans) for spans in seen.values())
+    assert {d: sum(n for _, n in spans) for d, spans in seen.items()} == {d: len(w) for d, w in want.items()}
+    assert max(sum(n for _, n in spans) for spans in sequences.values()) <= 2048
+
+
+def test_many_rows_of_one_identifier_are_several_groups(spark):
+    docs = spark.createDataFrame([(7, f"text {i}") for i in range(300)] + [(7, "the same")] * 300, "doc_id long, text string")
+    rows = packing.pack_documents(docs, group_docs=50).collect()
+    assert len(rows) == 600 and len({r.sequence_id >> 32 for r in rows}) > 6
+
+
+def test_equal_rows_come_to_several_shards_and_failed_attempts_go(spark, tmp_path):
+    docs = spark.createDataFrame([(7, "the same text")] * 400 + [(8, "after")], "doc_id long, text string")
+    (tmp_path / "_trial-old").write_text("half a shard")
+    manifest = sstable.write_shards(docs, str(tmp_path), shard_docs=40)
+    assert manifest.select("part").distinct().count() > 4 and not list(tmp_path.glob("_trial-*"))
+    rows = sstable.read_shards(manifest, str(tmp_path)).orderBy("start").collect()
+    each = len(ids_of("the same text", 2))
+    assert [r.start for r in rows] == [each * i for i in range(401)] and rows[-1].doc_id == 8
+
+
 def test_packing_of_nothing(spark):
     assert packing.pack_documents(empty_docs(spark)).collect() == []
 
