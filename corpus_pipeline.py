@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from assaymill.llm import mixing, packing, quality, secrets, simhash
+from assaymill.llm.common import written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -13,7 +14,8 @@ COPY_WORDS = 5
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that fail the base rules or score low are dropped."""
+    """Documents that fail the base rules or score low are dropped: null, empty and short ones too. Repeated rows are
+    judged alike; an empty table gives no rows."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return quality.quality_rules(docs, labels, carry=tuple(COLUMNS)).where("kept").select(*COLUMNS)
 
@@ -25,17 +27,19 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents stay; secrets in their texts are masked."""
+    """All documents stay; secrets in their texts are masked. A null text stays null; an empty table gives no rows."""
     return secrets.redact_documents(docs, COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in the shares that their sources weigh: some not at all, some twice, shard by shard."""
+    """Documents in the shares that their sources weigh: some not at all, some twice, shard by shard. A null source is
+    one of its own; rows that repeat are drawn alike; an empty table gives no rows."""
     return mixing.deal_documents(docs, COLUMNS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of packed sequences, with their token ids."""
+    """Pieces of packed sequences, with their token ids. A null or empty text is its end id alone; an empty table gives
+    no rows."""
     return packing.pack_documents(docs)
 
 
@@ -52,7 +56,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; what each returns is written as Parquet and read again by the next."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for k, (_, stage) in enumerate(STAGES, 1):
         docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES):
+            docs = written(docs, f"stage-{k}")
     return docs
