@@ -1,6 +1,6 @@
 """Mixing of sources to target weights over output shards.
 
-The documents of a source fall into blocks by a hash of their identifier, which permutes them. Each
+The documents of a source fall into blocks by a hash of their identifier and text, which permutes them. Each
 source has an exact quota of blocks; a splitting tree parts the quotas among the shards, at every
 node by one multivariate hypergeometric draw, so each shard gets a random but exact number of blocks
 of each source. Shards take disjoint runs of a source's blocks and shuffle what they got.
@@ -44,9 +44,15 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
-def document_hash(doc_id: Column, seed: str = SEED) -> Column:
-    """60 bits of md5, the same in any SQL engine."""
-    text = F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("null")))
+def text_mark(text: Column) -> Column:
+    """A digest that parts the texts of one identifier; null: empty."""
+    return F.coalesce(F.md5(text), F.lit(""))
+
+
+def document_hash(doc_id: Column, mark: Column, seed: str = SEED) -> Column:
+    """60 bits of md5, the same in any SQL engine. mark: of the text, so that many texts of one identifier fall into
+    many blocks."""
+    text = F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("null")), F.lit(":"), mark)
     return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
 
 
@@ -226,7 +232,7 @@ def shard_quotas(quotas: DataFrame, shards: int, seed: str = SEED) -> DataFrame:
 
 
 class Mix:
-    """What to draw, from narrow rows of all documents. sized: doc_id, source, size (cheap to read)."""
+    """What to draw, from narrow rows of all documents. sized: doc_id, source, mark, size (cheap to read)."""
 
     def __init__(
         self,
@@ -246,7 +252,7 @@ class Mix:
         self.sources = cut(source_targets(sizes, weights, share, most).withColumn("blocks", blocks))
 
         # Blocks that hold documents, in the order of their hash; words before each in its source.
-        held = self.place(sized.select("doc_id", "source", "size")).groupBy("skey", "block").agg(F.sum("size").alias("words"))
+        held = self.place(sized.select("doc_id", "source", "mark", "size")).groupBy("skey", "block").agg(F.sum("size").alias("words"))
         order = W.partitionBy("skey").orderBy("block")
         # Blocks without words come last: a round that stops early takes the first ones with words.
         wordless_last = W.partitionBy("skey").orderBy(F.col("words") == 0, "block")
@@ -286,11 +292,11 @@ class Mix:
         self.draws = cut(self.held.select("skey", "at", "block").join(drawn, ["skey", "at"]).drop("at"))
 
     def place(self, docs: DataFrame) -> DataFrame:
-        """docs: doc_id, source and more, none of them called skey, block, blocks, rank, source_size or target."""
+        """docs: doc_id, source, mark and more, none of them called skey, block, blocks, rank, source_size or target."""
         keyed = docs.withColumn("skey", source_key(F.col("source")))
         placed = keyed.join(_small(self.sources), "skey")
-        return placed.withColumn("block", F.pmod(document_hash(F.col("doc_id"), self.seed), F.col("blocks"))).drop(
-            "blocks", "rank"
+        return placed.withColumn("block", F.pmod(document_hash(F.col("doc_id"), F.col("mark"), self.seed), F.col("blocks"))).drop(
+            "blocks", "rank", "mark"
         )
 
     def draw(self, docs: DataFrame) -> DataFrame:
@@ -301,10 +307,10 @@ class Mix:
 
 
 def sized_documents(docs: DataFrame) -> DataFrame:
-    """doc_id, source and size (words of the whole text; null: 0)."""
+    """doc_id, source, mark of the text and size (words of the whole text; null: 0)."""
     rows = pick(docs, doc_id="long", source="string", text="string")
     return rows.select(
-        "doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size")
+        "doc_id", "source", text_mark(F.col("text")).alias("mark"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size")
     )
 
 
@@ -313,8 +319,8 @@ def mix_sources(docs: DataFrame, **settings) -> DataFrame:
 
     draws has a (round, shard) for each time the mix takes the row, at most twice where targets stop at
     twice a source's size; taken is the words of all of them. A null or empty text has size 0. A null
-    source is a source of its own, a null doc_id hashes like any other value. Rows that repeat are
-    drawn alike, since blocks go by doc_id. Where all texts are empty every target is 0. An empty
+    source is a source of its own, a null doc_id hashes like any other value. Rows that are equal in doc_id and
+    text are drawn alike, since blocks go by these; different texts of one doc_id are not. Where all texts are empty every target is 0. An empty
     table gives no rows. Other columns are ignored. The same rows always give the same mix.
     settings: those of :class:`Mix`.
     """
@@ -333,10 +339,11 @@ def deal_documents(docs: DataFrame, columns: list[str], **settings) -> DataFrame
     """
     mix = Mix(cut(sized_documents(docs)), **settings)
     types = dict(docs.dtypes)
-    rows = pick(docs, **{c: types[c] for c in columns})
+    rows = pick(docs, **{c: types.get(c, "string") for c in dict.fromkeys([*columns, "doc_id", "source", "text"])})
     whole = rows.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.col("source").cast("string").alias("source"),
+        text_mark(F.col("text").cast("string")).alias("mark"),
         *[F.col(c).alias(f"carried_{c}") for c in columns],
     )
     drawn = mix.draw(whole).select(
@@ -357,7 +364,7 @@ def op7_mix_sources(spark, sf_dir: str) -> DataFrame:
 
 OP7_SQL = f"""
 with sized as (
-  select cast(doc_id as bigint) as doc_id, source,
+  select cast(doc_id as bigint) as doc_id, source, coalesce(md5(text), '') as mark,
          cast(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) as bigint) as size
   from documents
 ), sources as (
@@ -384,7 +391,7 @@ with sized as (
   from stopped
 ), placed as (
   select s.doc_id, s.size, t.*,
-         cast('0x' || substr(md5('{SEED}:' || coalesce(cast(s.doc_id as varchar), 'null')), 1, 15) as bigint)
+         cast('0x' || substr(md5('{SEED}:' || coalesce(cast(s.doc_id as varchar), 'null') || ':' || s.mark), 1, 15) as bigint)
            % t.blocks as block
   from sized s join targets t on s.source is not distinct from t.source
 ), held as (

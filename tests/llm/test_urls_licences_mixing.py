@@ -302,3 +302,15 @@ def test_more_licences_and_sql_on_all_of_them(spark):
     got = licences.scan_licences(docs)
     assert {(r.doc_id, r.license) for r in got.collect() if r.doc_id < 100} == {(i, name) for i, (name, _) in enumerate(texts)}
     same_as_sql(got, licences.OP5_SQL, documents=docs.toPandas())
+
+
+def test_many_texts_of_one_identifier_come_near_the_target(spark):
+    rows = [(7, f"text {i} " + "word " * (i % 9), "hot") for i in range(3000)] + [(i, "a few words here", "cold") for i in range(100, 400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    taken, target = Counter(), {}
+    for r in mixing.mix_sources(docs).collect():
+        taken[r.source] += r.taken
+        target[r.source] = r.target
+    assert all(abs(taken[s] - t) < 0.01 * t + 20 for s, t in target.items())
+    got = mixing.mix_sources(docs).withColumn("n_draws", F.size("draws").cast("long"))
+    same_as_sql(got.select("doc_id", "size", "source_size", "target", "taken", "n_draws"), mixing.OP7_SQL, documents=docs.toPandas())
