@@ -127,22 +127,24 @@ def review(asserted: DataFrame, pages: DataFrame, method: str = "textlayer") ->
 
 
 def settle(asserted: DataFrame, text: DataFrame, vision: DataFrame) -> DataFrame:
-    """Text verdicts first, vision for what they left open, then a text could-not-check, then a reason."""
+    """Text verdicts first, vision for what they left open, then a text could-not-check, then a reason. ``read``: how
+    vision came by its value, label or axis, where its column says so."""
     keys = ["doc_id", "metric"]
+    text, vision = (df if "read" in df.columns else df.withColumn("read", F.lit(None).cast("string")) for df in (text, vision))
     firm = F.col("verdict") != "could_not_check"
     ranked = (
         text.withColumn("rank", F.when(firm, 0).otherwise(2))
         .unionByName(vision.withColumn("rank", F.when(firm, 1).otherwise(3)))
     )
     best = ranked.groupBy(*keys).agg(
-        F.min_by(F.struct("verdict", "page", "method", "document_says"), "rank").alias("best")
+        F.min_by(F.struct("verdict", "page", "method", "document_says", "read"), "rank").alias("best")
     )
     joined = asserted.join(best, keys, "left")
     none = F.when(F.col("best").isNull(), F.lit("not found in the document"))
     return joined.select(
         *keys, "seq", "asserted", F.coalesce("best.verdict", F.lit("could_not_check")).alias("verdict"),
         F.col("best.page").alias("page"), F.col("best.method").alias("method"),
-        F.col("best.document_says").alias("document_says"), none.alias("reason"),
+        F.col("best.document_says").alias("document_says"), F.col("best.read").alias("read"), none.alias("reason"),
     )
 
 

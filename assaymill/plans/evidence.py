@@ -113,9 +113,9 @@ def review_coverage(spark, sf_dir):
     none = F.lit(None).cast("array<double>")
     verdict = F.when(F.col("doc_id") % 4 == 0, "agreed").when(F.col("doc_id") % 4 == 1, "could_not_check").otherwise("disagreed")
     text = asserted.where("metric = 'arr_usd' or (metric = 'grr_pct' and doc_id % 2 = 0)").select("doc_id", "metric", verdict.alias("verdict"), F.lit(1).alias("page"), F.lit("textlayer").alias("method"), none.alias("document_says"))
-    vision = asserted.where("metric <> 'ebitda_usd' and doc_id % 3 = 0").select("doc_id", "metric", F.lit("agreed").alias("verdict"), F.lit(2).alias("page"), F.lit("vision").alias("method"), none.alias("document_says"))
+    vision = asserted.where("metric <> 'ebitda_usd' and doc_id % 3 = 0").select("doc_id", "metric", F.lit("agreed").alias("verdict"), F.lit(2).alias("page"), F.lit("vision").alias("method"), none.alias("document_says"), F.when(F.col("doc_id") % 2 == 0, "axis").otherwise("label").alias("read"))
     settled = recover.settle(asserted, text, vision)
-    return settled.groupBy("metric", "verdict", "method").agg(F.count("*").alias("n"), F.sum("page").alias("pages"), F.count("reason").alias("reasons"))
+    return settled.groupBy("metric", "verdict", "method").agg(F.count("*").alias("n"), F.sum("page").alias("pages"), F.count("reason").alias("reasons"), F.count_if(F.col("read") == "axis").alias("off_axis"))
 
 
 def leak_check(spark, sf_dir):
@@ -273,9 +273,10 @@ SQL = {
         t as (select d, metric, case d % 4 when 0 then 'agreed' when 1 then 'could_not_check' else 'disagreed' end as tv from a where metric = 'arr_usd' or (metric = 'grr_pct' and d % 2 = 0)),
         v as (select d, metric, 'agreed' as vv from a where metric <> 'ebitda_usd' and d % 3 = 0),
         s as (select metric, case when tv <> 'could_not_check' then tv when vv is not null then vv else 'could_not_check' end as verdict,
-          case when tv <> 'could_not_check' then 'textlayer' when vv is not null then 'vision' when tv is not null then 'textlayer' end as method
+          case when tv <> 'could_not_check' then 'textlayer' when vv is not null then 'vision' when tv is not null then 'textlayer' end as method, d % 2 = 0 as even
           from a left join t using (d, metric) left join v using (d, metric))
-        select metric, verdict, method, count(*) as n, cast(sum(case method when 'textlayer' then 1 when 'vision' then 2 end) as bigint) as pages, count(*) filter (method is null) as reasons from s group by 1, 2, 3""",
+        select metric, verdict, method, count(*) as n, cast(sum(case method when 'textlayer' then 1 when 'vision' then 2 end) as bigint) as pages, count(*) filter (method is null) as reasons,
+          count(*) filter (method = 'vision' and even) as off_axis from s group by 1, 2, 3""",
     "leak_check": "select doc_id as report_id, count(*) as items from documents d join (select distinct text from benchmark) b on contains(lower(d.text), lower(b.text)) group by 1",
     "banned_words": "select page_id as report_id, domain from pages, (values ('spam-farm.example.org'), ('Cheap-Pills.example.com'), ('casino')) as v(domain) where contains(lower(url), lower(domain))",
     "page_texts": f"with {PAGES_SQL} select page_id, text, length(text) - 2 as n_chars, 0 as empty_pages from pages_",

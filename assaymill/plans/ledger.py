@@ -392,6 +392,24 @@ def monthly_model(spark, sf_dir):
     return n.select("n", F.inline(points)).select("n", F.col("t").cast("long").alias("t"), F.round("value", 4).alias("value"))
 
 
+def concept_quarters(spark, sf_dir):
+    """Answers of a registry on two concepts of each nation's company: quarters of the first concept that has enough, once
+    each; years, and facts without an accession, are dropped."""
+    n = _nations(spark, sf_dir)
+    k = F.col("n")
+    fact = lambda start, end, accession, value: text_of('{"start":"', start, '","end":"', end, '","val":', value, ',"accn":"', accession, '","fy":2020,"fp":"Q1","form":"10-Q"}')
+    quarters = [("2020-01-01", "2020-03-31"), ("2020-04-01", "2020-06-30"), ("2020-01-01", "2020-03-31"), ("2020-01-01", "2020-12-31"), ("2020-07-01", "2020-09-30")]
+    rows = [fact(a, b, F.when(k % 3 == i % 3, "").otherwise(text_of("acc-", F.lit(str(i)))) if i == 4 else f"acc-{i}", k * 10 + i) for i, (a, b) in enumerate(quarters)]
+    many = F.concat(F.lit('{"units":{"USD":['), F.concat_ws(",", *rows), F.lit(']}}'))
+    one = F.concat(F.lit('{"units":{"USD":['), rows[1], F.lit("]}}"))
+    answers = n.select(k.alias("entity"), F.inline(F.array(
+        F.struct(F.lit(1).alias("tag_priority"), F.when(k % 2 == 0, many).when(k % 5 == 0, F.lit("broken")).otherwise(one).alias("json")),
+        F.struct(F.lit(2).alias("tag_priority"), F.when(k % 4 != 3, many).alias("json")),
+    )))
+    kept = series.first_long_enough(series.quarter_facts(parse.concept_facts(answers).withColumn("entity", F.struct("entity", "tag_priority"))).select("entity.*", "end", "value", "accession"), 2)
+    return kept.select("entity", F.col("tag_priority").cast("long").alias("tag_priority"), F.col("end").cast("string").alias("end"), "value", "accession")
+
+
 def covariate_parts(spark, sf_dir):
     """What the others did, standardised, before the last twelve months and in them."""
     rows = series.covariate_windows(series.cohort_covariates(monthly(spark, sf_dir)), 12)
@@ -424,7 +442,7 @@ QUERIES = {
         finding_records, derived_callouts, memo_questions, seeded_not_fired, marked_cells, frozen_callouts, latest_examples,
         citation_first_pages, recovered_in_rank, chart_leaks, review_rates, seeded_error_check, screened, condition_means, prompt_excerpts,
         target_briefs, plain_numbers, clean_lines, monthly_model, series_provenance, stored_revenue, covariate_parts,
-        scorecard_texts, severity_table,
+        scorecard_texts, severity_table, concept_quarters,
     )
 }
 
@@ -474,6 +492,10 @@ SQL = {
         from wide join fit using (target_id) join vs using (target_id) left join fs using (target_id)""",
     "severity_table": f"""with {FINDINGS_SQL}, l as (select '| ' || rule_id || ' | ' || severity || ' | ' || count(*) || ' |' as line from findings group by rule_id, severity)
         select '| rule_id | severity | n |' || chr(10) || '|-|-|-|' || chr(10) || string_agg(line, chr(10) order by line) as text from l""",
+    "concept_quarters": """with f(i, e) as (values (0, '2020-03-31'), (1, '2020-06-30'), (4, '2020-09-30')),
+        t as (select n_nationkey as entity, case when n_nationkey % 2 = 0 then 1 when n_nationkey % 4 <> 3 then 2 end as tag_priority from nation)
+        select cast(entity as bigint) as entity, cast(tag_priority as bigint) as tag_priority, e as "end", cast(entity * 10 + i as double) as value, 'acc-' || i as accession
+        from t, f where tag_priority is not null and not (i = 4 and entity % 3 = 1)""",
     "covariate_parts": f"""with z as ({COVARIATE_SQL}) select series_id, count(*) filter (t_from_end >= 12) as before, count(*) filter (t_from_end < 12) as held,
         round(sum(z) filter (t_from_end >= 12), 4) as past, round(max(z) filter (t_from_end = 11), 4) as first_held from z group by 1""",
     "page_methods": """select c_custkey as doc_id, case when c_custkey % 20 = 2 then 'see the chart' || chr(10) || chr(10) || 'gross: ' || c_custkey || '.0%'

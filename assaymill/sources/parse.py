@@ -125,3 +125,18 @@ def fenced_domains(text: Column) -> Column:
     """The lines of the first fenced block."""
     block = F.regexp_extract(text, r"(?s)```[a-z]*\n(.*?)\n```", 1)
     return F.filter(F.transform(F.split(block, r"\n"), lambda x: F.trim(x)), lambda x: x != "")
+
+
+#: What a registry's answer on one concept of one company holds of each fact.
+FACTS = "struct<units: map<string, array<struct<start: string, end: string, val: double, accn: string, fy: int, fp: string, form: string, filed: string>>>>"
+
+
+def concept_facts(answers: DataFrame, unit: str = "USD") -> DataFrame:
+    """answers: entity, tag_priority, json (a registry's answer on one concept; null or broken: no facts). The facts in
+    the unit, in their order: entity, tag_priority, seq, start, end (dates), value, accession, fy, fp, form, filed."""
+    parsed = F.from_json("json", FACTS)
+    rows = answers.select("entity", "tag_priority", F.posexplode(F.element_at(parsed["units"], unit)).alias("seq", "f"))
+    return rows.select(
+        "entity", "tag_priority", "seq", *[F.try_to_date(F.col(f"f.{k}"), "yyyy-MM-dd").alias(k) for k in ("start", "end")], F.col("f.val").alias("value"),
+        F.col("f.accn").alias("accession"), *[F.col(f"f.{k}").alias(k) for k in ("fy", "fp", "form", "filed")],
+    )
