@@ -16,6 +16,19 @@ SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Rows that go to a Python worker at a time, at most: whole texts and sets of shingles are large, and a batch stands
+#: in the memory of the executor, of the worker, and once more as its result.
+BATCH_ROWS = 1000
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Lowers the session's rows an Arrow batch to ``BATCH_ROWS``; a session that has less keeps that."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key))
+    if not 0 < now <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -25,8 +38,10 @@ def pick(df: DataFrame, **kinds: str) -> DataFrame:
 
     Columns are found by position, an exact name before one that differs in case, so that extra
     columns whose names clash (``TEXT`` beside ``text``, or two called ``text``) do no harm. A
-    column that is missing is null.
+    column that is missing is null. Every operator reads its rows through here, so this also bounds the batches
+    that its Python steps get.
     """
+    bound_batches(df.sparkSession)
     exact = {}
     loose = {}
     for i, name in enumerate(df.columns):

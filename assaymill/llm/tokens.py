@@ -17,7 +17,7 @@ import numpy as np
 
 #: Parts that are remembered, and eight times as many as words that need the whole library. Longer ones than
 #: LONGEST_KEPT characters aren't, so the bytes held have a bound.
-KEPT = 300_000
+KEPT = 200_000
 LONGEST_KEPT = 64
 
 # The normaliser and splitter of the public word-level vocabulary.
