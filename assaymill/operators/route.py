@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from assaymill.sources.shared import stored
+
 
 def unit(vector: Column) -> Column:
     """The vector with length 1; a length below 1e-12 counts as that."""
@@ -34,13 +36,14 @@ def similarities(queries: DataFrame, pages: DataFrame, most_queries: int = 4096)
 
 
 def similarities_in_blocks(queries: DataFrame, pages: DataFrame, most_queries: int = 4096) -> DataFrame:
-    """As :func:`similarities`, for any number of queries: by blocks of ``most_queries`` at most, by a hash of query_id."""
-    n = queries.count()
-    blocks = max(1, math.ceil(n / most_queries))
+    """As :func:`similarities`, for any number of rows of queries: by blocks of ``most_queries`` at most."""
+    blocks = max(1, math.ceil(queries.count() / most_queries))
     while True:
-        keyed = queries.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
+        # Rows of one query_id go to any block, as each meets all pages by itself.
+        keyed = queries.withColumn("block", F.pmod(F.xxhash64("query_id", F.monotonically_increasing_id()), F.lit(blocks)))
+        keyed = stored(keyed, "query-blocks")
         largest = keyed.groupBy("block").count().agg(F.max("count")).head()[0] or 0
-        if largest <= most_queries or blocks > 64 * n:
+        if largest <= most_queries:
             break
         blocks *= 2
     of_block = [similarities(keyed.where(F.col("block") == k), pages, most_queries) for k in range(blocks)]

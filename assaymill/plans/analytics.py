@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from assaymill.operators import chart, cohort, feedback, route, series, signal
+from assaymill.operators import cells, chart, cohort, feedback, route, series, signal
 from assaymill.operators import metrics as M
 from assaymill.plans.screening import METRICS_SQL
 from assaymill.sources.tables import table
@@ -101,8 +101,7 @@ def _vectors(spark, sf_dir):
 
 def _ranked(spark, sf_dir, k=4):
     queries, pages = _vectors(spark, sf_dir)
-    scores = route.similarities_in_blocks(queries, pages).where("query_id <> page_id")
-    return route.ranked(scores, k)
+    return cells.nearest(queries, cells.CellIndex(pages), k, but_itself=True)
 
 
 def route_topk(spark, sf_dir):

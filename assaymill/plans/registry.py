@@ -7,9 +7,9 @@ from functools import wraps
 
 from pyspark.sql import functions as F
 
-from assaymill.plans import analytics, evidence, handover, ledger, screening, star
+from assaymill.plans import analytics, evidence, handover, ledger, routing, screening, star
 
-MODULES = (screening, evidence, analytics, handover, ledger, star)
+MODULES = (screening, evidence, analytics, handover, ledger, star, routing)
 
 #: Columns of small integers, which both sides give as 64-bit ones.
 INTEGERS = {
@@ -18,7 +18,8 @@ INTEGERS = {
     "forecast_baselines": ["step"], "forecast_audit": ["step"], "history_sweep": ["length"], "cohort_covariate": ["t_from_end"],
     "quarter_facts": ["days"], "tag_fallback": ["tag_priority"], "nearest_events": ["place"], "colour_bins": ["place"],
     "grid_rows": ["line"], "assignment_pairs": ["img"], "label_match": ["img", "labels", "unmatched"],
-    "fold_back_violations": ["idx"], "top_parts_by_brand": ["place"], "memo_diff": ["idx"], "screened": ["by_text", "by_vision", "off_axis"],
+    "fold_back_violations": ["idx"], "top_parts_by_brand": ["place"], "memo_diff": ["idx"], "route_items": ["rank"], "route_titles": ["rank"], "route_titles_saved": ["k"], "nearest_vectors": ["rank"],
+    "page_blocks": ["n_chars"], "screened": ["by_text", "by_vision", "off_axis"],
 }
 
 
