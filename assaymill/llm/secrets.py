@@ -26,7 +26,7 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 KINDS = ["assign", "access", "hex", "novel"]
 
 #: Words that make a place sensitive, in lower case.
-SENSITIVE = ("password", "passwd", "passphrase", "secret", "token", "api_key", "apikey", "api-key", "private_key",
+SENSITIVE = ("password", "passwd", "passphrase", "secret", "token", "api_key", "apikey", "api-key", "api key", "private_key",
              "private key", "access_key", "access key", "credential", "auth_key", "bearer ", "begin rsa", "connectionstring")
 PLACE = re.compile("|".join(map(re.escape, SENSITIVE)), re.ASCII | re.IGNORECASE)
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=~$%^&*!@#-]{16,}")
@@ -38,6 +38,8 @@ IDENTIFIERS = " ".join(
               "name", "username", "host", "port", "url", "return", "self", "const", "import", "export", "environ", "bearer")
 ) + " abcdefghijklmnopqrstuvwxyz ABCDEFGHIJKLMNOPQRSTUVWXYZ 0123456789 xxxxxxxxxxxxxxxx ****************"
 
+#: What parts of a path or a name stand between, and characters that a part has at least to be judged by itself.
+SEPARATOR, KEY_LENGTH = re.compile("[/_.-]+"), 16
 #: What stands between two = of a run, with the padding after it.
 PART = re.compile(r"[^=]+=*")
 
@@ -66,6 +68,10 @@ Geschwindigkeit Begrenzung begrenzung Verwaltung verwaltung Versicherung versich
 keit heit ung ungen lich lichkeit Entwicklung entwicklung Verantwortung Bundes Regierung regierung Arbeit arbeits
 Wissenschaft wissenschaftlich Sicherheit sicherheits Geheimnis Schlüssel Passwort Benutzer benutzer Zugang zugangs
 anticonstitutionnellement gouvernement développement établissement administration malheureusement particulièrement
+Donau Dampfschiff dampfschiff Schifffahrt schifffahrts gesellschafts Kapitän kapitän kapitaen Rechtsschutz Kraftfahrzeug Haftpflicht
+haftpflicht
+Lebensmittel verträglich Straßen strassen verkehrs zulassungs Ordnung ordnung Grundstücks genehmigungs zuständigkeit Betriebs betriebs
+fähigkeits bescheinigung Arbeiter arbeiter Unfall unfall Gesetz gesetz ausbildungs förderungs foerderungs versicherungs
 responsabilité responsabilidad desarrollo administración organización información aproximadamente particularmente
 tion tions ment ments ness able ible ally ization isation ological ography ically ences ances
 """
@@ -86,7 +92,7 @@ SPAN = "array<struct<kind:string,start:int,end:int,novelty:double>>"
 
 
 class Novelty:
-    """Marginal compressed bytes for each byte of a candidate, given what surrounds it."""
+    """Marginal compressed bytes for each byte of a candidate, given what surrounds it but isn't a copy of it."""
 
     def __init__(self, identifiers: str = WORDS + IDENTIFIERS, level: int = 19):
         import zstandard
@@ -101,13 +107,26 @@ class Novelty:
         return len(self.compressor.compress(text.encode()))
 
     def __call__(self, text: str, start: int, end: int) -> float:
-        """Of a long candidate the mean over its pieces, each by itself in the same place: in a long run the
-        code of its letters would be learned, too."""
+        """Of the whole run, or of the part of it between separators that is most novel: a key is not hidden by the path
+        it ends. Copies of what is judged are left out of what surrounds it: a key that is written twice stays novel."""
         around = text[max(0, start - AROUND) : start] + text[end : end + AROUND] + "\n"
+        run = text[start:end]
+        value = self.marginal(around, run)
+        for part in SEPARATOR.split(run):
+            if value >= NOVELTY:
+                break
+            if KEY_LENGTH <= len(part) < len(run):
+                value = max(value, self.marginal(around, part))
+        return value
+
+    def marginal(self, around: str, run: str) -> float:
+        """Of a long run the mean over its pieces, each by itself in the same place: in a long run the
+        code of its letters would be learned, too."""
+        around = around.replace(run, "")
         alone = self.size(around)
-        cuts = [*range(start, max(start + 1, end - PIECE + 1), PIECE), end]
-        added = sum(self.size(around + text[a:b]) - alone for a, b in zip(cuts, cuts[1:], strict=False))
-        return added / len(text[start:end].encode())
+        cuts = [*range(0, max(1, len(run) - PIECE + 1), PIECE), len(run)]
+        added = sum(self.size(around + run[a:b]) - alone for a, b in zip(cuts, cuts[1:], strict=False))
+        return added / len(run.encode())
 
 
 def base_spans(text: str) -> list[tuple[str, int, int, float | None]]:
@@ -118,18 +137,23 @@ def base_spans(text: str) -> list[tuple[str, int, int, float | None]]:
     return found + [("hex", *m.span(), None) for m in HEX.finditer(text)]
 
 
+def runs(text: str) -> Iterator[tuple[int, int]]:
+    """Runs of key characters. What stands before an inner = and what stands after it are two."""
+    for m in CANDIDATE.finditer(text):
+        for part in PART.finditer(m[0]):
+            if len(part[0]) >= KEY_LENGTH:
+                yield m.start() + part.start(), m.start() + part.end()
+
+
 def candidates(text: str) -> Iterator[tuple[int, int]]:
-    """Runs of key characters at most REACH from a sensitive word, before it or after. What stands before
-    an inner = and what stands after it are two."""
+    """Runs at most REACH from a sensitive word, before it or after."""
     places = [m.span() for m in PLACE.finditer(text)]
     at = 0
-    for m in CANDIDATE.finditer(text):
-        while at < len(places) and places[at][1] + REACH < m.start():
+    for start, end in runs(text):
+        while at < len(places) and places[at][1] + REACH < start:
             at += 1
-        for part in PART.finditer(m[0]):
-            start, end = m.start() + part.start(), m.start() + part.end()
-            if end - start >= 16 and any(a - REACH <= end and start <= b + REACH for a, b in near(places, at, end)):
-                yield start, end
+        if any(a - REACH <= end and start <= b + REACH for a, b in near(places, at, end)):
+            yield start, end
 
 
 def near(places: list[tuple[int, int]], at: int, end: int) -> Iterator[tuple[int, int]]:
@@ -146,12 +170,17 @@ def find_spans(text: str, novelty: Novelty, threshold: float = NOVELTY) -> list[
     found = base_spans(text) if sensitive or "AKIA" in text else [("hex", *m.span(), None) for m in HEX.finditer(text)]
     if sensitive:
         taken = sorted((s, e) for _, s, e, _ in found)
+        keys: dict[str, float] = {}
         for start, end in candidates(text):
             if any(s <= start and end <= e for s, e in taken):
                 continue
             value = novelty(text, start, end)
             if value >= threshold:
-                found.append(("novel", start, end, round(value, 4)))
+                keys[text[start:end]] = round(value, 4)
+        # A key is one wherever it stands as a run of its own.
+        for start, end in runs(text) if keys else ():
+            if text[start:end] in keys and not any(s <= start and end <= e for s, e in taken):
+                found.append(("novel", start, end, keys[text[start:end]]))
     return sorted(found, key=lambda f: (f[1], KINDS.index(f[0])))
 
 

@@ -228,6 +228,8 @@ def test_novel_spans_equal_brute_force(spark):
     key = lambda n: "".join(rng.choices(string.ascii_letters + string.digits + "-_/+", k=n))
     texts = [f"{words(rng, 20)} the secret {rng.choice(['is', 'in <', ':'])} {rng.choice([key(rng.randint(10, 300)), key(rng.randint(16, 64)), 'alpha_beta_gamma_alpha', words(rng, 3).replace(' ', '_'), key(9) * 4])} {words(rng, 30)}" for _ in range(60)]
     texts += [f"{key(30)} {words(rng, 40)} passphrase", "token " * 30 + key(40)]
+    again = key(30)
+    texts += [f"the token is {again} and {words(rng, 4)} {again}", f"private key a/long_path/of/{again}", f"{again} is the api key of {again}"]
     got = {r.doc_id: [(s.start, s.end) for s in r.spans if s.kind == "novel"] for r in secrets.scan_secrets(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), names=names).collect()}
     n = 0
     for i, text in enumerate(texts):
@@ -239,9 +241,35 @@ def test_novel_spans_equal_brute_force(spark):
             if not any(s - 64 <= b and a <= e + 64 for s, e in places) or any(s <= a and b <= e for _, s, e, _ in secrets.base_spans(text)):
                 continue
             around = text[max(0, a - 256) : a] + text[b : b + 256] + "\n"
-            pieces = [text[c : min(c + 128, b)] for c in range(a, b, 128)]
-            if sum(pressed(around + p) - pressed(around) for p in pieces) / (b - a) >= secrets.NOVELTY:
+
+            def added(run, around=around):
+                rest = around.replace(run, "")
+                pieces = [run[c : c + 128] for c in range(0, len(run), 128)]
+                return sum(pressed(rest + p) - pressed(rest) for p in pieces) / len(run)
+
+            if max(added(r) for r in (m[0], *(p for p in re.split("[/_.-]+", m[0]) if len(p) >= 16))) >= secrets.NOVELTY:
                 want.append((a, b))
         assert got[i] == want
         n += len(want)
     assert 15 < n < 60
+
+
+def test_keys_that_repeat_or_end_a_path_are_found_and_masked():
+    rng = random.Random(77)
+    novelty = secrets.Novelty()
+    for n in (24, 32, 43):
+        for _ in range(15):
+            key = "".join(rng.choices(string.ascii_letters + string.digits, k=n))
+            texts = [f"the token is {key}", f"the token is {key}. Use {key} twice", f"token={key}\n# the token {key} and again {key}",
+                     f"private key config/production/{key}", f"private key config/production/deployment/{key}",
+                     f"access key: sk_live_production_environment_configuration_{key}", f"the api key is {key}", f"{key} is the api key",
+                     f"secret {key} {key} {key} {key}"]
+            for text in texts:
+                assert key not in secrets.redact(text, novelty)
+                found = [(s, e) for _, s, e, _ in secrets.find_spans(text, novelty)]
+                assert all(any(s <= m.start() and m.end() <= e for s, e in found) for m in re.finditer(key, text))
+
+
+def test_long_compound_words_are_not_novel():
+    for word in ("Donaudampfschifffahrtsgesellschaftskapitaen", "Rechtsschutzversicherungsgesellschaften", "Arbeiterunfallversicherungsgesetz"):
+        assert novel_of(f"secret {word}") == novel_of(f"the secret {word} of it") == []
