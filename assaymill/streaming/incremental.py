@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from assaymill.streaming.committed import CommittedTable
+
 
 def successes(reads: DataFrame) -> DataFrame:
     """Only what was read well is stored: ok, and some text."""
@@ -19,17 +21,21 @@ def cache_misses(wanted: DataFrame, cache: DataFrame, *keys: str) -> DataFrame:
     return wanted.join(cache.select(*keys), list(keys), "left_anti")
 
 
-def through_cache(spark: SparkSession, wanted: DataFrame, path: str, keys: list[str], read: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Reads what the table at ``path`` lacks, stores successes, and returns all that is stored of ``wanted``."""
-    try:
-        cache = spark.read.parquet(path)
-        misses = cache_misses(wanted, cache, *keys)
-    except Exception as missing:  # the first run finds no table
-        if "PATH_NOT_FOUND" not in str(missing):
-            raise
-        misses = wanted
-    successes(read(misses)).write.mode("append").parquet(path)
-    return spark.read.parquet(path).join(wanted.select(*keys), keys, "left_semi")
+def through_cache(
+    spark: SparkSession, wanted: DataFrame, path: str, keys: list[str], read: Callable[[DataFrame], DataFrame], transaction: str | None = None
+) -> DataFrame:
+    """Reads what the table at ``path`` lacks, stores successes, and returns all that is stored of ``wanted``.
+
+    A key is stored once, however many runs read it at a time or again. transaction: names the run (a batch's number,
+    say); one that was stored before reads nothing.
+    """
+    table = CommittedTable(spark, path)
+    commits = table.commits()
+    if transaction is None or all(c["transaction"] != transaction for c in commits):
+        cache = table.read()
+        misses = wanted if cache is None else cache_misses(wanted, cache, *keys)
+        table.append(successes(read(misses)), transaction, keys)
+    return table.read().join(wanted.select(*keys).distinct(), keys, "left_semi")
 
 
 def screen_inbox(spark: SparkSession, source: str, schema: str, screen: Callable[[DataFrame], DataFrame], out: str, checkpoint: str) -> StreamingQuery:
@@ -43,16 +49,12 @@ def screen_inbox(spark: SparkSession, source: str, schema: str, screen: Callable
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def append_session(records: DataFrame, path: str) -> None:
-    """Sessions are appended and never rewritten; a session that is there already is not added again."""
-    spark = records.sparkSession
-    try:
-        known = spark.read.parquet(path).select("doc_id", "session").distinct()
-        records = records.join(known, ["doc_id", "session"], "left_anti")
-    except Exception as missing:
-        if "PATH_NOT_FOUND" not in str(missing):
-            raise
-    records.write.mode("append").parquet(path)
+def append_session(records: DataFrame, path: str, transaction: str | None = None) -> bool:
+    """Sessions are appended and never rewritten; a session that is there already is not added again, whoever added it.
+
+    records: doc_id, session and the rest; a session may have any number of records. Says whether records were added.
+    """
+    return CommittedTable(records.sparkSession, path).append(records, transaction, ["doc_id", "session"], unique=False)
 
 
 def timed(events: DataFrame, late: str | None) -> DataFrame:
