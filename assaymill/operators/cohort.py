@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from assaymill.config import LEAST_COHORT, OUT_OF_RANGE, RETENTION_BANDS, RUNGS, SIZE_BANDS
 from assaymill.functions.quantiles import grouped_quantiles
+from assaymill.sources.shared import stored
 
 
 def band(value: Column, bands: list[tuple[str, float | None]]) -> Column:
@@ -31,6 +32,8 @@ def base_rates(
     optimistic_pct, deal_ids. A target without arr or grr, or out of the book's range, or with an empty
     book, has that as its status and nulls.
     """
+    # Both are read more than once below, so they are made once.
+    targets, book = stored(targets, "targets"), stored(book, "book")
     sized = lambda df: df.withColumns({"size": band(F.col("arr"), size_bands), "retention": band(F.col("grr"), retention_bands)})
     limits = book.agg(F.min("arr").alias("low"), F.max("arr").alias("high"), F.count("*").alias("records"))
     mine = sized(targets).join(F.broadcast(limits))
@@ -67,8 +70,9 @@ def base_rates(
     open_ = mine.where("refusal is null").select("target_id", "vertical", "size", "retention")
     rungs = on_rungs(open_).join(stats, keys)
     best = rungs.groupBy("target_id").agg(F.min_by(F.struct(*keys, "n", "shrank_pct", "optimistic_pct"), "rung").alias("b")).select("target_id", "b.*")
+    best = stored(best, "cohorts")
     # Spreads and members of the cohorts that a target came to; the widest is one group of all records.
-    chosen = members.join(best.select(*keys).distinct(), keys, "left_semi")
+    chosen = stored(members.join(best.select(*keys).distinct(), keys, "left_semi").select(*keys, "deal_id", "outcome"), "members")
     spread = grouped_quantiles(chosen, keys, "outcome", [0.1, 0.5, 0.9]).select(*keys, F.col("q").alias("p"))
     named = chosen.groupBy(*keys).agg(F.array_join(F.sort_array(F.collect_list("deal_id")), ",").alias("deal_ids"))
     best = best.join(spread, keys, "left").join(named, keys)

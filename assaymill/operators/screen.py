@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from assaymill.config import DEFAULT, METRICS, Rubric
 from assaymill.functions.text import attributed, surface_forms, value_present
 from assaymill.operators import fit, recover, rules
+from assaymill.sources.shared import stored
 
 
 def recovered(candidates: DataFrame, pages: DataFrame, routes: DataFrame, reads: DataFrame) -> DataFrame:
@@ -38,10 +39,10 @@ def screen(candidates: DataFrame, pages: DataFrame, routes: DataFrame, reads: Da
     """Inputs as of :func:`recovered`. ``citations``; ``wide``: the metrics that were recovered, null where not, of every
     doc_id of pages, as target_id; ``findings`` with their citations; ``scores``; ``counts``: metrics asked for and
     recovered, by method."""
-    cites = recovered(candidates, pages, routes, reads)
+    cites = stored(recovered(candidates, pages, routes, reads), "citations")
     ids = pages.select(F.col("doc_id").alias("target_id")).distinct()
     got = cites.groupBy(F.col("doc_id").alias("target_id")).pivot("metric", METRICS).agg(F.first("value"))
-    wide = ids.join(got, "target_id", "left")
+    wide = stored(ids.join(got, "target_id", "left"), "wide")
     named = cites.withColumnRenamed("doc_id", "target_id")
     asked = candidates.groupBy("doc_id").agg(F.count("*").alias("asked"))
     by = cites.groupBy("doc_id").agg(F.count_if(F.col("method") == "textlayer").alias("by_text"), F.count_if(F.col("method") == "vision").alias("by_vision"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from assaymill.operators import cells, chart, cohort, feedback, route, series, signal
+from assaymill.operators import asof, cells, chart, cohort, feedback, route, series, signal
 from assaymill.operators import metrics as M
 from assaymill.plans.screening import METRICS_SQL
 from assaymill.sources.tables import table
@@ -173,10 +173,16 @@ def tag_fallback(spark, sf_dir):
 
 def asof_anchor(spark, sf_dir):
     """Each event with the last purchase of its user at or before it."""
-    e = table(spark, sf_dir, "events")
-    line = F.row_number().over(W.partitionBy("user_id").orderBy("ts", "event_id"))
-    rows = e.select(F.col("user_id").alias("doc_id"), line.alias("line_no"), "event_id", F.when(F.col("event_type") == "purchase", F.col("event_id")).alias("anchor"))
-    return feedback.anchor_above(rows).select("event_id", "above")
+    e = table(spark, sf_dir, "events").select("user_id", "ts", "event_id", F.when(F.col("event_type") == "purchase", F.col("event_id")).alias("anchor"))
+    return asof.last_known(e, ["user_id"], ["ts", "event_id"], "anchor", "above").select("event_id", "above")
+
+
+def asof_asked(spark, sf_dir):
+    """Each turn of an assistant with the length of the last question before it, and how many turns ago that was."""
+    t = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.struct("turn", F.length("text").alias("n_chars")).alias("question"))
+    said = t.where("role = 'assistant'").select("conv_id", "turn")
+    found = asof.asof_join(said, t.where("role = 'user'"), ["conv_id"], ["turn"], "question", "asked")
+    return found.select("conv_id", "turn", F.col("asked.n_chars").cast("long").alias("asked_chars"), (F.col("turn") - F.col("asked.turn")).alias("turns_ago"))
 
 
 def nearest_events(spark, sf_dir):
@@ -350,7 +356,7 @@ QUERIES = {
     for f in (
         base_rate_cohort, underwriting_bias, cohort_records, published_bands, customer_signal, signal_callouts, distress_overlap_floor,
         route_topk, route_recall, route_pages_saved, forecast_baselines, forecast_scores, forecast_audit, history_sweep, cohort_covariate,
-        quarter_facts, tag_fallback, asof_anchor, nearest_events, gap_islands, interval_interpolate, line_fit_trimmed, colour_bins,
+        quarter_facts, tag_fallback, asof_anchor, asof_asked, nearest_events, gap_islands, interval_interpolate, line_fit_trimmed, colour_bins,
         grid_rows, assignment_pairs, label_match, fold_back_violations, regression_hold, changed_texts, memo_diff, correction_sessions, chart_measure,
         event_windows, event_sliding, event_sessions,
     )
@@ -461,6 +467,10 @@ SQL = {
         select entity, cast(s as varchar) as start, cast(e as varchar) as "end", value, days from q where days between 80 and 100 qualify row_number() over (partition by entity, s, e order by seq) = 1""",
     "tag_fallback": """with c as (select o_custkey as entity, cast(substr(o_orderpriority, 1, 1) as int) as tag_priority, count(*) as n from orders group by 1, 2 having count(*) >= 4)
         select * from c qualify row_number() over (partition by entity order by tag_priority) = 1""",
+    "asof_asked": """with asked as (
+        select a.conv_id, a.turn, u.turn as asked_turn, length(u.text) as n, row_number() over (partition by a.conv_id, a.turn order by u.turn desc) as k
+        from conversations a left join conversations u on u.conv_id = a.conv_id and u.role = 'user' and u.turn <= a.turn where a.role = 'assistant'
+      ) select conv_id, turn, n as asked_chars, turn - asked_turn as turns_ago from asked where k = 1""",
     "asof_anchor": "select event_id, last_value(case when event_type = 'purchase' then event_id end ignore nulls) over (partition by user_id order by ts, event_id rows unbounded preceding) as above from events",
     "nearest_events": """with e as (select *, cast(floor(epoch(ts)) as bigint) as s from events), n as (select p.event_id as purchase, v.event_id as seen, abs(p.s - v.s) as far from e p join e v on p.user_id = v.user_id and p.event_type = 'purchase' and v.event_type = 'view' and abs(p.s - v.s) <= 7200)
         select purchase, seen, far, row_number() over (partition by purchase order by far, seen) as place from n qualify place <= 3""",

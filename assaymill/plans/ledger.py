@@ -14,6 +14,7 @@ from assaymill.plans.analytics import _MONTHLY as MONTHLY_SQL
 from assaymill.plans.screening import FINDINGS_SQL, FIT_SQL, METRICS_SQL, wide_metrics
 from assaymill.plans.screening import SQL as SCREENING
 from assaymill.sources import fixtures, parse
+from assaymill.sources.shared import stored
 from assaymill.sources.tables import table
 from assaymill.streaming import incremental
 
@@ -314,7 +315,7 @@ def screened(spark, sf_dir):
     """Targets screened from their pages: required shares printed for even nations, drawn for others, of which vision reads
     those of every third; amounts are never printed. Scores, blockers and what was recovered how."""
     n = F.split_part("doc_id", F.lit("-"), F.lit(1)).cast("int")
-    wide = wide_metrics(spark, sf_dir)
+    wide = stored(wide_metrics(spark, sf_dir), "wide")
     shares = [("recurring_pct", "recurring"), ("grr_pct", "gross retention"), ("nrr_pct", "net retention")]
     rows = F.array(*[F.struct(F.lit(m).alias("metric"), F.lit(w).alias("word"), F.round(m, 0).alias("value"), F.lit(i + 1).alias("page_number")) for i, (m, w) in enumerate(shares)])
     values = wide.select(F.col("target_id").alias("doc_id"), F.inline(rows)).where("value is not null")

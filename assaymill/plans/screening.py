@@ -178,10 +178,10 @@ _TEXT_TOTAL = " + ".join(
 def set_flags(spark, sf_dir):
     """Targets flagged for retention, for concentration, for both and for the first only."""
     found = rules.findings(wide_metrics(spark, sf_dir), CELLS)
-    a = found.where("rule_id in ('R4', 'R6')").select("target_id").distinct()
-    b = found.where("rule_id in ('R10a', 'R10b')").select("target_id").distinct()
-    tag = lambda df, name: df.select("target_id", F.lit(name).alias("flags"))
-    return tag(a.intersect(b), "both").unionByName(tag(a.exceptAll(b), "retention only")).unionByName(tag(b.exceptAll(a), "concentration only"))
+    fired = lambda *ids: F.bool_or(F.col("rule_id").isin(*ids))
+    of_target = found.groupBy("target_id").agg(fired("R4", "R6").alias("retention"), fired("R10a", "R10b").alias("concentration"))
+    flags = F.when(F.col("retention") & F.col("concentration"), "both").when(F.col("retention"), "retention only").when(F.col("concentration"), "concentration only")
+    return of_target.select("target_id", flags.alias("flags")).where("flags is not null")
 
 
 def blocker_exit(spark, sf_dir):
