@@ -27,7 +27,8 @@ def _decimals(value: Column, places: int) -> Column:
 
 def _short(value: Column) -> Column:
     """Six significant digits at most, without trailing zeros."""
-    d = F.round(value, 6).cast("decimal(38,6)").cast("string")
+    scale = F.pow(F.lit(10.0), 5 - F.floor(F.log10(F.when(value != 0, F.abs(value)).otherwise(1.0))))
+    d = (F.round(value * scale, 0) / scale).cast("decimal(38,6)").cast("string")
     return F.regexp_replace(F.regexp_replace(d, r"(\.\d*?)0+$", "$1"), r"\.$", "")
 
 

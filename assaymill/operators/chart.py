@@ -182,20 +182,30 @@ def series_colours(rgb: np.ndarray) -> list[np.ndarray]:
     return taken
 
 
-def follow(ink: np.ndarray, right: int, y: float) -> tuple[np.ndarray, np.ndarray]:
-    """Columns from right to left, clear of the marker at the end, and in each the centre of the run nearest to the
-    one before; ends where there is none, or it lies too far."""
-    xs, ys = [], []
-    for x in range(right - LINE_SKIP, max(-1, right - LINE_SKIP - LINE_SPAN), -1):
-        on = np.flatnonzero(ink[:, x])
-        runs = np.split(on, np.flatnonzero(np.diff(on) > 1) + 1) if len(on) else []
-        near = min(((r[0] + r[-1]) / 2 for r in runs), key=lambda c: abs(c - y), default=np.inf)
-        if abs(near - y) > LINE_STEP:
+def run_centres(ink: np.ndarray) -> list[np.ndarray]:
+    """The middles of all runs of ink, column by column."""
+    edges = np.diff(np.pad(ink.astype(np.int8), ((1, 1), (0, 0))), axis=0).T
+    (columns, starts), (_, ends) = np.nonzero(edges == 1), np.nonzero(edges == -1)
+    return np.split((starts + ends - 1) / 2, np.searchsorted(columns, np.arange(1, ink.shape[1])))
+
+
+def trail(columns: list[np.ndarray], y: float) -> np.ndarray:
+    """From ``y`` through the columns, in each the middle nearest to the one before, as far as none lies too far."""
+    found = []
+    for middles in columns:
+        nearest = middles[np.argmin(abs(middles - y))] if len(middles) else np.inf
+        if abs(nearest - y) > LINE_STEP:
             break
-        y = near
-        xs.append(x)
-        ys.append(near)
-    return np.array(xs, float), np.array(ys, float)
+        found.append(y := float(nearest))
+    return np.array(found)
+
+
+def trimmed_line(xs: np.ndarray, ys: np.ndarray) -> np.ndarray:
+    """A line through the points, and once more through those near it if enough of them are."""
+    line = np.polyfit(xs, ys, 1)
+    off = abs(np.polyval(line, xs) - ys)
+    keep = off <= max(TRIM_LEAST, TRIM_MEDIANS * np.median(off))
+    return np.polyfit(xs[keep], ys[keep], 1) if keep.sum() >= max(2, TRIM_SHARE * len(xs)) else line
 
 
 def end_of_line(ink: np.ndarray) -> float:
@@ -203,15 +213,12 @@ def end_of_line(ink: np.ndarray) -> float:
     right = int(np.flatnonzero(ink.any(0)).max())
     cap = np.flatnonzero(ink[:, max(0, right - CAP_COLUMNS) : right + 1].any(1))
     middle = (cap.min() + cap.max()) / 2
-    xs, ys = follow(ink, right, middle)
-    if len(xs) < LINE_SPAN // 2:
+    clear = right - LINE_SKIP  # of the marker
+    columns = run_centres(ink)[max(0, clear - LINE_SPAN + 1) : max(0, clear + 1)]
+    ys = trail(columns[::-1], middle)
+    if len(ys) < LINE_SPAN // 2:
         return float(middle)
-    fit = np.polyfit(xs, ys, 1)
-    off = abs(np.polyval(fit, xs) - ys)
-    keep = off <= max(TRIM_LEAST, TRIM_MEDIANS * np.median(off))
-    if keep.sum() >= max(2, TRIM_SHARE * len(xs)):
-        fit = np.polyfit(xs[keep], ys[keep], 1)
-    return float(np.polyval(fit, right - LINE_HALF)) or float(middle)
+    return float(np.polyval(trimmed_line(clear - np.arange(len(ys), dtype=float), ys), right - LINE_HALF))
 
 
 def measure_image(rgb: np.ndarray, ticks: list[float]) -> list[tuple[int, int, float]]:

@@ -45,7 +45,8 @@ def by_backend(grades: DataFrame, backends: list[str]) -> DataFrame:
 
 
 def candidates(pages: DataFrame, limit: int = 3, reach: int = NEAR_CHARS) -> DataFrame:
-    """Numbers of the right kind near a word that names the metric, nearest first, each once, at most ``limit``.
+    """Numbers of the right kind near a word that names the metric, nearest first, each once, at most ``limit``. Numbers
+    equally near stand in the order of the metric's words, then of the text.
 
     pages: doc_id, page_number, text, metric. Only tokens that lie whole within ``reach`` characters of
     the word count. Returns doc_id, page_number, metric, place, number. Words and numbers of a page
@@ -53,7 +54,7 @@ def candidates(pages: DataFrame, limit: int = 3, reach: int = NEAR_CHARS) -> Dat
     """
     hay = pages.withColumn("hay", normalise(F.coalesce("text", F.lit(""))))
     names = F.create_map(*[x for k, v in METRIC_WORDS.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
-    hay = hay.withColumn("word", F.explode(F.element_at(names, F.col("metric"))))
+    hay = hay.select("*", F.posexplode(F.element_at(names, F.col("metric"))).alias("turn", "word"))
     low = F.lower("hay")
     # Text before each occurrence of the word: its length is where the word starts.
     pieces = F.split(low, F.concat(F.lit(r"\Q"), F.col("word"), F.lit(r"\E")), -1)
@@ -64,7 +65,7 @@ def candidates(pages: DataFrame, limit: int = 3, reach: int = NEAR_CHARS) -> Dat
     hits = hay.where(F.contains(low, F.col("word"))).withColumn("at", F.explode(starts))
     left = F.greatest(F.lit(0), F.col("at") - reach)
     window = F.col("hay").substr(left + 1, F.least(F.length("hay"), F.col("at") + F.length("word") + reach) - left)
-    hits = hits.select("doc_id", "page_number", "metric", window.alias("window"), (F.col("at") - left).alias("anchor"))
+    hits = hits.select("doc_id", "page_number", "metric", "turn", "at", window.alias("window"), (F.col("at") - left).alias("anchor"))
     percent = F.endswith("metric", F.lit("_pct"))
     tokens = F.when(percent, F.regexp_extract_all("window", F.lit(PERCENT), F.lit(0))).otherwise(
         F.regexp_extract_all("window", F.lit(MONEY), F.lit(0))
@@ -74,10 +75,11 @@ def candidates(pages: DataFrame, limit: int = 3, reach: int = NEAR_CHARS) -> Dat
         percent, F.regexp_extract("token.text", PERCENT, 1).cast("double")
     ).otherwise(F.floor(amount(F.regexp_extract("token.text", MONEY, 1), F.regexp_extract("token.text", MONEY, 2))).cast("double"))
     rows = hits.select(
-        "doc_id", "page_number", "metric", number.alias("number"), F.abs(F.col("token.at") - F.col("anchor")).alias("far")
-    )
+        "doc_id", "page_number", "metric", number.alias("number"),
+        F.struct(F.abs(F.col("token.at") - F.col("anchor")).alias("far"), "turn", "at", F.col("token.at").alias("token")).alias("far"),
+    )
     nearest = rows.groupBy("doc_id", "page_number", "metric", "number").agg(F.min("far").alias("far"))
-    order = W.partitionBy("doc_id", "page_number", "metric").orderBy("far", "number")
+    order = W.partitionBy("doc_id", "page_number", "metric").orderBy("far")
     return nearest.withColumn("place", F.row_number().over(order)).where(F.col("place") <= limit).drop("far")
 
 

@@ -23,6 +23,11 @@ def severity(total: Column, largest: Column) -> Column:
 
 def customer_signal(roster: DataFrame) -> DataFrame:
     """roster: target_id, name, pct_arr, distress (null: not researched, neither well nor ill)."""
+    return customer_details(roster).drop("largest_pct", "distressed")
+
+
+def customer_details(roster: DataFrame) -> DataFrame:
+    """As :func:`customer_signal`, with distressed, how many they are, and largest_pct, the share of the largest of them."""
     ill = F.col("distress") == F.lit(True)
     share = F.when(ill, F.col("pct_arr"))
     largest = F.max_by("name", F.when(ill, F.struct("pct_arr", "name")))
@@ -33,10 +38,11 @@ def customer_signal(roster: DataFrame) -> DataFrame:
         F.count_if(F.col("distress").isNotNull()).alias("researched"),
         F.count_if(F.col("distress").isNull()).alias("unresearched"),
         F.max(share).alias("largest_pct"),
+        F.count_if(ill).alias("distressed"),
         F.when(F.count_if(ill) > 0, largest).alias("largest"),
         F.array_join(F.sort_array(F.collect_list(F.when(ill, F.col("name")))), ", ").alias("names"),
     )
-    return rows.withColumn("severity", severity(F.col("distressed_pct"), F.col("largest_pct"))).drop("largest_pct")
+    return rows.withColumn("severity", severity(F.col("distressed_pct"), F.col("largest_pct")))
 
 
 def overlap_floor(rows: DataFrame, key: str, a: Column, b: Column) -> DataFrame:
@@ -64,3 +70,16 @@ def headline(signals: DataFrame) -> DataFrame:
         F.lit("of revenue;"), F.col("researched").cast("string"), F.lit("researched,"), F.col("unresearched").cast("string"), F.lit("not"),
     )
     return signals.select("target_id", "severity", text.alias("headline"))
+
+
+def full_headline(details: DataFrame) -> DataFrame:
+    """details: as of :func:`customer_details`. How many are in distress and what hangs on them, who is the largest, and
+    what nobody looked at."""
+    shown = lambda name: F.col(name).cast("string")
+    well = F.concat(F.lit("no distress among "), shown("researched"), F.lit(" researched customers with "), shown("researched_pct"), F.lit("% of revenue"))
+    ill = F.concat(
+        shown("distressed"), F.lit(" of "), shown("researched"), F.lit(" researched customers are in distress and hold "), shown("distressed_pct"),
+        F.lit("% of revenue, "), "largest", F.lit(" the most of them with "), shown("largest_pct"), F.lit("%"),
+    )
+    rest = F.concat(F.lit("; the roster covers "), shown("roster_pct"), F.lit("%, "), shown("unresearched"), F.lit(" of it unresearched"))
+    return details.select("target_id", "severity", F.concat(F.when(F.col("distressed") > 0, ill).otherwise(well), rest).alias("headline"))
