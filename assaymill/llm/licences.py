@@ -19,8 +19,10 @@ END, BREAK = r"[.!?;:]+[\x20\x09-\x0D]+", r"[\x0A\x0D]+"
 #: What starts a line of comment and is left of it in a normal sentence.
 COMMENT = r"^(?:-+|rem|dnl)(?: |$)"
 
-#: A tag and its value are one sentence.
+#: A tag and its value are one sentence; a line that begins with "License:" says which it is; a plus is "or later".
 TAG = r"([Ss][Pp][Dd][Xx]-[Ll]icense-[Ii]dentifier):[\x20\x09]*"
+FIELD = r"(^|\n)([^A-Za-z0-9\n]*)[Ll]icen[sc]e:[\x20\x09]+"
+PLUS = r"(GPL-[0-9.]+)\+"
 
 # How notices name a licence.
 PHRASES = ["licensed under", "this work is licensed under", "released under", "distributed under", "available under"]
@@ -45,6 +47,23 @@ TAGS = {
     "AGPL-3.0-only": "copyleft", "AGPL-3.0-or-later": "copyleft", "MPL-2.0": "copyleft", "EPL-2.0": "copyleft", "CC-BY-4.0": "permissive",
     "CC-BY-SA-4.0": "copyleft", "CC-BY-NC-4.0": "non-commercial", "CC0-1.0": "public-domain", "Unlicense": "public-domain",
 }
+# Identifiers that were in use before, and what they mean now.
+OLD_TAGS = {f"{g}-{v}": f"{g}-{v}-only" for g, v in (("GPL", "2.0"), ("GPL", "3.0"), ("AGPL", "3.0"))} | {"LGPL-2.1": "LGPL-2.1-or-later", "LGPL-3.0": "LGPL-3.0-or-later"}
+# What a sentence says is licensed, how, and how else licences are named in it.
+SUBJECTS = ["this project", "this work", "this software", "this code", "this library", "this package", "this program", "this repository", "this file",
+            "the project", "the software", "the code", "the library", "the source code", "source code", "all code", "code", "it", "the content"]
+GRANTS = [*PHRASES, "made available under", "dual licensed under", "dual-licensed under", "license is", "licence is"]
+SHORT = {
+    "apache-2.0": ["apache license version 2.0", "apache license 2.0", "apache-2.0", "apache 2.0", "apache license v2.0"],
+    "mit": ["mit license", "mit licence", "mit"],
+    "gpl-3.0": ["gnu general public license v3.0", "gnu general public license version 3", "gnu gpl v3", "gplv3", "gpl-3.0", "gpl v3"],
+    "gpl-2.0": ["gnu general public license v2.0", "gnu general public license version 2", "gnu gpl v2", "gplv2", "gpl-2.0", "gpl v2"],
+    "bsd-3": ["bsd 3-clause license", "3-clause bsd license", "bsd-3-clause", "bsd-3-clause license"],
+    "bsd-2": ["bsd 2-clause license", "2-clause bsd license", "bsd-2-clause", "bsd-2-clause license"],
+    "mpl-2.0": ["mozilla public license 2.0", "mozilla public license version 2.0", "mpl-2.0", "mpl 2.0"],
+    "bsl-1.0": ["boost software license version 1.0", "bsl-1.0"],
+    "cc-by-4.0": ["cc-by-4.0"], "cc-by-sa-4.0": ["cc-by-sa-4.0"], "cc-by-nc-4.0": ["cc-by-nc-4.0"],
+}
 FOUNDATION = "as published by the free software foundation"
 MAY = "you can redistribute it and or modify it under the terms of the gnu {} public license"
 LATER = "either version {} of the license or at your option any later version"
@@ -92,7 +111,18 @@ TEXTS = {
     "anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non-commercial and by any means": "unlicense-grant",
     "to the extent possible under law the author s have dedicated all copyright and related and neighboring rights to this software to the public domain worldwide": "cc0-dedication",
     "all rights reserved": "rights-reserved",
+    "apache license version 2.0 january 2004": "apache-2.0-title",
+    "gnu general public license version 3 29 june 2007": "gpl-3.0-title",
+    "gnu general public license version 2 june 1991": "gpl-2.0-title",
+    "gnu lesser general public license version 3 29 june 2007": "lgpl-3.0-title",
+    "gnu lesser general public license version 2.1 february 1999": "lgpl-2.1-title",
+    "gnu affero general public license version 3 19 november 2007": "agpl-3.0-title",
+    "mozilla public license version 2.0": "mpl-2.0-title",
+    "eclipse public license - v 2.0": "epl-2.0-title",
 }
+# What the titles of full texts are titles of.
+TITLES = {"apache-2.0": "Apache-2.0", "agpl-3.0": "AGPL-3.0-only", "lgpl-3.0": "LGPL-3.0-or-later", "lgpl-2.1": "LGPL-2.1-or-later",
+          "gpl-3.0": "GPL-3.0-only", "gpl-2.0": "GPL-2.0-only", "mpl-2.0": "MPL-2.0", "epl-2.0": "EPL-2.0"}
 SENTENCES = (
     {f"{phrase} {name}": f"{key}-name" for key, names in NAMES.items() for name in names for phrase in PHRASES}
     | {f"spdx-license-identifier {tag.lower()}": f"{tag.lower()}-spdx" for tag in TAGS}
@@ -132,9 +162,16 @@ RULES = [
     (("cc-by-4.0-name",), "CC-BY-4.0", "permissive"),
     (("unlicense-name",), "Unlicense", "public-domain"),
     (("cc0-dedication",), "CC0-1.0", "public-domain"),
+    *[((f"{key}-title",), tag, TAGS[tag]) for key, tag in TITLES.items()],
     (("rights-reserved",), "proprietary", "proprietary"),
 ]
 
+#: Where a sentence goes on to tell where the licence is found.
+TOLD = r" (?:- )?(?:please )?(?:see|refer to|as found in) .*$"
+#: Identifiers of the names and tags that a sentence of a grant or an expression of tags holds.
+PARTS = {name: f"{key}-name" for part in (NAMES, SHORT) for key, names in part.items() for name in names}
+TAG_PARTS = {t.lower(): f"{t.lower()}-spdx" for t in TAGS} | {old.lower(): f"{now.lower()}-spdx" for old, now in OLD_TAGS.items()}
+
 
 def normal(sentence: Column) -> Column:
     """Letters, digits, hyphens and inner points, A-Z lower-cased, other characters as one space."""
@@ -154,11 +191,30 @@ def anchors(sentences: dict[str, str]) -> list[str]:
     return chosen
 
 
+def one_of(values: list[str], space: str) -> str:
+    """Any of the values, the longest that fits; ``space`` stands between their words."""
+    return "(?:" + "|".join(space.join(map(re.escape, v.split())) for v in sorted(values, key=len, reverse=True)) + ")"
+
+
+def grant_patterns(space: str) -> list[str]:
+    """Sentences by their parts: who is licensed, if said, under what, and where that is told; and expressions of tags."""
+    name, tag = one_of(list(PARTS), space), one_of(list(TAG_PARTS), space)
+    subject = f"(?:{one_of(SUBJECTS, space)}{space}(?:is|are){space})?"
+    more = f"(?:{space}(?:and{space}or|and|or|and{space}the|or{space}the){space}{name})*"
+    told = f"(?:{space}(?:- )?(?:please )?(?:see|refer{space}to|as{space}found{space}in)[^|]*?)?"
+    also = f"(?:{space}(?:or|and|with){space}[a-z0-9.-]+)+"
+    return [f"{subject}{one_of(GRANTS, space)}{space}{name}{more}{told}", f"spdx-license-identifier{space}{tag}(?:{also})?"]
+
+
+def parts_pattern(parts: dict[str, str]) -> str:
+    return r"\b" + one_of(list(parts), " ") + r"\b"
+
+
 def sentence_pattern(sentences: dict[str, str]) -> str:
-    """Matches a known sentence among lines with `` | `` and sentences with `` || `` between them, over any
-    number of lines, but never over the end of a sentence."""
-    words = [r"(?: \|)? ".join(map(re.escape, s.split())) for s in sorted(sentences, key=len, reverse=True)]
-    return r"(?<=\| )(?:" + "|".join(words) + r")(?= \|)"
+    """Matches a known sentence, or one of the parts of :func:`grant_patterns`, among lines with `` | `` and sentences with
+    `` || `` between them, over any number of lines, but never over the end of a sentence."""
+    space = r"(?: \|)? "
+    return r"(?<=\| )(?:" + "|".join([one_of(list(sentences), space), *grant_patterns(space)]) + r")(?= \|)"
 
 
 def scan_licences(
@@ -166,7 +222,8 @@ def scan_licences(
 ) -> DataFrame:
     """doc_id, n_known, sentence_ids, rule, license, category and all_licenses of every row of ``docs``.
 
-    sentence_ids: identifiers of known sentences in the order of the text, joined by commas; n_known: how many.
+    sentence_ids: identifiers of known sentences in the order of the text, joined by commas; n_known: how many. A sentence
+    that grants a licence has the identifiers of all that it names, an expression of tags those of its tags.
     A sentence may be wrapped over any number of lines, each with or without a prefix of comments. rule (its
     number from 1), license and category: of the first rule whose identifiers follow one another in that
     sequence; null if none does. all_licenses: of all rules that fit, each once, in order.
@@ -181,9 +238,10 @@ def scan_licences(
     rows = pick(docs, doc_id="long", text="string").select("doc_id", text_or_empty().alias("whole"))
     small = F.lower("whole")
     some = F.lit(False)
-    for word in anchors(sentences):
+    for word in [*anchors(sentences), "licen", "released", "distributed", "available"]:
         some = some | F.contains(small, F.lit(word))
-    tagged = F.regexp_replace("whole", TAG, "$1 ")
+    tagged = F.regexp_replace(F.regexp_replace("whole", TAG, "$1 "), FIELD, "$1$2license is ")
+    tagged = F.regexp_replace(tagged, PLUS, "$1-or-later")
     parts = F.when(some, F.split(tagged, END)).otherwise(F.array().cast("array<string>"))
 
     def lines(part: Column) -> Column:
@@ -193,7 +251,16 @@ def scan_licences(
     cut_up = F.array_join(F.filter(F.transform(parts, lines), lambda s: s != ""), " || ")
     rows = rows.select("doc_id", F.concat(F.lit("| "), cut_up, F.lit(" |")).alias("line"))
     found = F.regexp_extract_all("line", F.lit(sentence_pattern(sentences)), F.lit(0))
-    ids = F.flatten(F.transform(found, lambda s: F.split(F.element_at(known, F.replace(s, F.lit(" | "), F.lit(" "))), ",")))
+    of_parts = F.create_map(*[F.lit(x) for pair in (PARTS | TAG_PARTS).items() for x in pair])
+
+    def identified(matched: Column) -> Column:
+        sentence = F.replace(matched, F.lit(" | "), F.lit(" "))
+        told = F.regexp_replace(sentence, TOLD, "")
+        pattern = F.when(F.startswith(sentence, F.lit("spdx")), parts_pattern(TAG_PARTS)).otherwise(parts_pattern(PARTS))
+        parts = F.transform(F.regexp_extract_all(told, pattern, F.lit(0)), lambda p: F.element_at(of_parts, p))
+        return F.coalesce(F.split(F.try_element_at(known, sentence), ","), parts)
+
+    ids = F.flatten(F.transform(found, identified))
     rows = rows.select("doc_id", ids.alias("ids"))
     rows = rows.select(
         "doc_id",
@@ -228,14 +295,15 @@ def _sql() -> str:
     known = ", ".join(f"({quoted(s)}, {quoted(i)})" for s, i in SENTENCES.items())
     rules = ", ".join(f"({n}, {quoted(',' + ','.join(i) + ',')}, {quoted(a)}, {quoted(c)})" for n, (i, a, c) in enumerate(RULES, 1))
     # Every line stands between marks of its own, and a mark of its own parts sentences: matches share none.
-    words = [r"(?: \| \|)? ".join(map(re.escape, s.split())) for s in sorted(SENTENCES, key=len, reverse=True)]
-    pattern = quoted(r"\| (" + "|".join(words) + r") \|")
+    space = r"(?: \| \|)? "
+    pattern = quoted(r"\| (" + "|".join([one_of(list(SENTENCES), space), *grant_patterns(space)]) + r") \|")
+    parts = ", ".join(f"({quoted(s)}, {quoted(i)})" for s, i in (PARTS | TAG_PARTS).items())
     return f"""
-with known(sentence, ids) as (values {known}), rules(n, ids, license, category) as (values {rules}),
+with known(sentence, ids) as (values {known}), parts_of(part, id) as (values {parts}), rules(n, ids, license, category) as (values {rules}),
 docs as (select row_number() over () as k, cast(doc_id as bigint) as doc_id, coalesce(text, '') as text from documents),
 parts as (
   select k, generate_subscripts(parts, 1) as part_at, unnest(parts) as part
-  from (select k, string_split_regex(regexp_replace(text, '{TAG}', '\\1 ', 'g'), '{END}') as parts from docs)
+  from (select k, string_split_regex(regexp_replace(regexp_replace(regexp_replace(text, '{TAG}', '\\1 ', 'g'), '{FIELD}', '\\1\\2license is ', 'g'), '{PLUS}', '\\1-or-later', 'g'), '{END}') as parts from docs)
 ), lines as (
   select k, part_at, generate_subscripts(lines, 1) as line_at, unnest(lines) as line
   from (select k, part_at, string_split_regex(part, '{BREAK}') as lines from parts)
@@ -251,8 +319,17 @@ parts as (
 ), matches as (
   select k, part_at, generate_subscripts(found, 1) as found_at, unnest(found) as sentence
   from (select k, part_at, regexp_extract_all(part, {pattern}, 1) as found from joined)
+), whole as (
+  select k, part_at, found_at, replace(sentence, ' | | ', ' ') as sentence from matches
+), named as (
+  select k, part_at, found_at, generate_subscripts(names, 1) as name_at, unnest(names) as part
+  from (select k, part_at, found_at, regexp_extract_all(regexp_replace(sentence, {quoted(TOLD)}, ''),
+          case when starts_with(sentence, 'spdx') then {quoted(parts_pattern(TAG_PARTS))} else {quoted(parts_pattern(PARTS))} end) as names
+        from whole where sentence not in (select sentence from known))
 ), identified as (
-  select m.k, m.part_at, m.found_at, known.ids from matches m join known on replace(m.sentence, ' | | ', ' ') = known.sentence
+  select w.k, w.part_at, w.found_at, known.ids from whole w join known using (sentence)
+  union all
+  select k, part_at, found_at, string_agg(id, ',' order by name_at) from named join parts_of using (part) group by 1, 2, 3
 ), found as (
   select k, string_agg(ids, ',' order by part_at, found_at) as ids from identified group by k
 ), fitting as (

@@ -314,3 +314,31 @@ def test_many_texts_of_one_identifier_come_near_the_target(spark):
     assert all(abs(taken[s] - t) < 0.01 * t + 20 for s, t in target.items())
     got = mixing.mix_sources(docs).withColumn("n_draws", F.size("draws").cast("long"))
     same_as_sql(got.select("doc_id", "size", "source_size", "target", "taken", "n_draws"), mixing.OP7_SQL, documents=docs.toPandas())
+
+
+AS_WRITTEN = {
+    "SPDX-License-Identifier: GPL-2.0": "GPL-2.0-only", "// SPDX-License-Identifier: GPL-2.0+": "GPL-2.0-or-later",
+    "# SPDX-License-Identifier: MIT OR Apache-2.0": "MIT,Apache-2.0", "SPDX-License-Identifier: (MIT OR Apache-2.0)": "MIT,Apache-2.0",
+    "SPDX-License-Identifier: GPL-2.0-only WITH Classpath-exception-2.0": "GPL-2.0-only", "SPDX-License-Identifier: LGPL-2.1": "LGPL-2.1-or-later",
+    "                                 Apache License\n                           Version 2.0, January 2004\n                        http://www.apache.org/licenses/": "Apache-2.0",
+    "                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n Copyright (C) 2007": "GPL-3.0-only",
+    "GNU GENERAL PUBLIC LICENSE\nVersion 2, June 1991": "GPL-2.0-only", "GNU AFFERO GENERAL PUBLIC LICENSE\nVersion 3, 19 November 2007": "AGPL-3.0-only",
+    "This project is licensed under the MIT License - see the LICENSE.md file for details": "MIT",
+    "This project is licensed under the MIT License - see the\n[LICENSE](LICENSE) file for details.": "MIT",
+    "Licensed under MIT.": "MIT", "License: MIT": "MIT", "## License\n\nMIT License: see below\nLicense: Apache-2.0": "Apache-2.0",
+    "Code is licensed under the Apache License, Version 2.0.": "Apache-2.0", "The code is released under the\nBSD 3-Clause License.": "BSD-3-Clause",
+    "dual licensed under the MIT license and the Apache License, Version 2.0.": "Apache-2.0,MIT", "Licensed under GPLv3.": "GPL-3.0-only",
+    "It is distributed under MIT or Apache-2.0.": "Apache-2.0,MIT", "this software is licensed under submit": "", "They are licensed under terms we see fit": "",
+    "License: ask us": "", "the license is mitigated": "", "we see MIT people": "",
+}
+
+
+def test_licences_as_they_are_written(spark):
+    rows = list(enumerate(AS_WRITTEN))
+    around = [(100 + i, f"Some words before.\n{t}\nand some after.") for i, t in rows]
+    docs = spark.createDataFrame(rows + around, "doc_id long, text string")
+    got = licences.scan_licences(docs)
+    found = {r.doc_id: set(filter(None, r.all_licenses.split(","))) for r in got.collect()}
+    want = {i: set(filter(None, name.split(","))) for i, name in enumerate(AS_WRITTEN.values())}
+    assert {i: found[i] for i in want} == want
+    same_as_sql(got, licences.OP5_SQL, documents=docs.toPandas())
