@@ -238,44 +238,8 @@ def colour_bins(spark, sf_dir):
     return chart.largest_colours(chart.colour_bins(_pixels(spark, sf_dir)), 4).select("img", "r_bin", "g_bin", "b_bin", "pixels", "r", "g", "b", "place")
 
 
-def grid_rows(spark, sf_dir):
-    """Gridlines of images whose every fifth row is grey."""
-    rows = spark.range(4000).select(F.floor(F.col("id") / 2000).alias("img"), (F.floor(F.col("id") / 20) % 100).cast("int").alias("y"), (F.col("id") % 20).cast("int").alias("x"))
-    grey = F.when(F.col("y") % 25 < 2, F.lit(220)).otherwise(F.lit(255))
-    return chart.gridlines(rows.select("img", "y", "x", grey.alias("r"), grey.alias("g"), grey.alias("b"))).select("img", "line", "y")
 
 
-_ESTIMATES = [(1, "gross", 81.1), (1, "net", 86.1), (2, "a", 10.0), (2, "b", 20.0), (2, "c", 30.0), (3, "x", 1.0)]
-_MEASURED = [(1, 86.0), (1, 81.0), (2, 31.0), (2, 9.0), (2, 19.5), (3, 1.0), (3, 2.0)]
-
-
-def assignment_pairs(spark, sf_dir):
-    return chart.assign(spark.createDataFrame(_ESTIMATES, "img int, label string, estimate double"), spark.createDataFrame(_MEASURED, "img int, value double"))
-
-
-def label_match(spark, sf_dir):
-    m = [(1, "Gross", 81.0), (1, "Net", 86.0), (2, "Churn rate", 5.0), (3, "ARR", 1.0), (3, "lost", 2.0)]
-    r = [(1, "gross", 81.1), (1, "Net retention", 86.9), (2, "churn", 5.5), (3, "arr", 1.2)]
-    return chart.match_labels(spark.createDataFrame(m, "img int, label string, value double"), spark.createDataFrame(r, "img int, label string, value double"))
-
-
-_RECORDS = [("T1", 0, "co-1", False, "judgement_call"), ("T1", 1, None, True, "factual_error"), ("T2", 0, "co-9", False, "judgement_call"), ("T2", 1, "co-1", True, "needs_triage"), ("T3", 0, "co-2", False, "factual_error")]
-_RECORD = "doc_id string, idx int, callout_id string, blind_spot boolean, reason string"
-
-
-def fold_back_violations(spark, sf_dir):
-    records = spark.createDataFrame(_RECORDS, _RECORD)
-    callouts = spark.createDataFrame([("co-1",), ("co-2",)], "id string")
-    lost = feedback.unanchored(records, callouts).select("doc_id", "idx", "why")
-    examples = spark.createDataFrame([("T1", 0)], "doc_id string, idx int")
-    regressions = spark.createDataFrame([("T1",)], "doc_id string")
-    return lost.unionByName(feedback.not_folded_back(records, examples, regressions))
-
-
-def regression_hold(spark, sf_dir):
-    r = [("g1", "T1", "judgement", 7, ["founder", "CTO"]), ("g2", "T1", "judgement", None, ["absent"]), ("g3", "T2", "axis_read", 3, [])]
-    c = [("T1", "judgement", 7, "Does the Founder depend on the cto?"), ("T2", "axis_read", 4, "page?"), ("T2", "axis_read", 3, "page")]
-    return feedback.regressions_held(spark.createDataFrame(r, "id string, target_id string, kind string, evidence_page int, must_contain array<string>"), spark.createDataFrame(c, "target_id string, kind string, evidence_page int, question string"))
 
 
 def changed_texts(spark, sf_dir):
@@ -324,19 +288,6 @@ def correction_sessions(spark, sf_dir):
     return feedback.correction_counts(records).join(sessions, "doc_id")
 
 
-def chart_measure(spark, sf_dir):
-    """Drawn charts: three gridlines and two level lines, one higher in each chart than in the next."""
-    k = F.col("id")
-    base = spark.range(3 * 240 * 160).select(F.floor(k / 38400).alias("img"), (F.floor(k / 160) % 240).cast("int").alias("y"), (k % 160).cast("int").alias("x"))
-    short = F.col("x").between(75, 139) & (F.abs(F.col("y") - (112 + 4 * F.col("img"))) <= 1)
-    level = F.col("x").between(20, 139) & (F.abs(F.col("y") - 200) <= 1)
-    grid = F.col("y").isin(20, 120, 220)
-    channel = lambda a, b: F.when(short, a).when(level, b).when(grid, 220).otherwise(255).cast("int")
-    pixels = base.select("img", "y", "x", channel(200, 30).alias("r"), channel(30, 30).alias("g"), channel(30, 200).alias("b"))
-    ticks = spark.range(3).select(F.col("id").alias("img"), F.array(F.lit(50.0), F.lit(100.0), F.lit(75.0)).alias("ticks"))
-    return chart.measure_charts(pixels, ticks).withColumn("series", F.col("series").cast("long"))
-
-
 def event_windows(spark, sf_dir):
     rows = incremental.tumbling(incremental.distinct_events(table(spark, sf_dir, "events")), "1 day")
     return rows.select(seconds("start").alias("start"), "event_type", "n", F.round("total", 2).alias("total"))
@@ -357,7 +308,7 @@ QUERIES = {
         base_rate_cohort, underwriting_bias, cohort_records, published_bands, customer_signal, signal_callouts, distress_overlap_floor,
         route_topk, route_recall, route_pages_saved, forecast_baselines, forecast_scores, forecast_audit, history_sweep, cohort_covariate,
         quarter_facts, tag_fallback, asof_anchor, asof_asked, nearest_events, gap_islands, interval_interpolate, line_fit_trimmed, colour_bins,
-        grid_rows, assignment_pairs, label_match, fold_back_violations, regression_hold, changed_texts, memo_diff, correction_sessions, chart_measure,
+        changed_texts, memo_diff, correction_sessions,
         event_windows, event_sliding, event_sessions,
     )
 }
@@ -492,16 +443,10 @@ SQL = {
         f"""k{n} as materialized (select * from c where """ + " and ".join(["true", *[f"not exists (select 1 from k{m} where k{m}.img = c.img and greatest(abs(k{m}.r - c.r), abs(k{m}.g - c.g), abs(k{m}.b - c.b)) <= 35)" for m in range(1, n)]])
         + " qualify row_number() over (partition by img order by pixels desc, r_bin, g_bin, b_bin) = 1)" for n in range(1, 5)
     ) + " select *, 1 as place from k1 union all select *, 2 from k2 union all select *, 3 from k3 union all select *, 4 from k4",
-    "grid_rows": "select i as img, k + 1 as line, 25.0::double * k + 0.5 as y from range(2) a(i), range(4) b(k)",
-    "assignment_pairs": "select * from (values (1, 'gross', 81.1::double, 81.0::double), (1, 'net', 86.1, 86.0), (2, 'a', 10.0, 9.0), (2, 'b', 20.0, 19.5), (2, 'c', 30.0, 31.0)) as v(img, label, estimate, value)",
-    "label_match": "select * from (values (1, 2, 0, false, 0.9::double), (2, 1, 0, true, 0.5), (3, 2, 1, null, 0.2)) as v(img, labels, unmatched, all_agree, worst)",
-    "fold_back_violations": """select * from (values ('T2', 0, 'no such call-out'), ('T2', 1, 'a blind spot has no call-out'), ('T2', 0, 'no example'), ('T3', 0, 'no regression')) as v(doc_id, idx, why)""",
-    "regression_hold": "select * from (values ('g1', true), ('g2', false), ('g3', true)) as v(id, held)",
     "changed_texts": """select cast(conv_id as varchar) || ':' || cast(turn as varchar) as k from (select distinct conv_id, turn from conversations) where conv_id % 11 = 0 or conv_id % 7 = 0""",
     "memo_diff": f"{_EDITS} select * from edits",
     "correction_sessions": f"""{_EDITS} select doc_id, case when max(k) % 4 = 0 then max(k) % 3 + 2 else 1 end as session, count(*) as n, count(*) filter (blind_spot) as blind_spots,
         count(*) filter (reason = 'needs_triage') as untriaged from (select *, cast(doc_id as bigint) as k from edits) group by 1""",
-    "chart_measure": "select i as img, s as series, case s when 1 then 360 else 195 end as pixels, case s when 1 then 55.0::double else 77.0 - i end as value from range(3) a(i), range(1, 3) b(s)",
     "event_windows": """with e as (select * from events qualify row_number() over (partition by event_id) = 1)
         select cast(epoch(date_trunc('day', ts)) as bigint) as start, event_type, count(*) as n, round(cast(sum(cast(value as decimal(18,4))) as double), 2) as total from e group by 1, 2""",
     "event_sliding": """with w as (select unnest([date_trunc('day', ts), date_trunc('day', ts) - interval 1 day]) as start from events) select cast(epoch(start) as bigint) as start, count(*) as n from w group by 1""",

@@ -14,21 +14,20 @@ from assaymill.sources.tables import document_text, table, text_pages
 #: Common short words of the invented English prose; a test list.
 STOP = ["the", "and", "that", "with", "for", "this", "was", "are"]
 
-_VALUES = [
-    ("arr_usd", 8400000.0, "ARR of $8.4M at year end", True), ("arr_usd", 8400000.0, "$8,400,000 in total", True),
-    ("arr_usd", 8400000.0, "about 8.4 million", False), ("arr_usd", 8400000.0, "$ 8.4 M recurring", True),
-    ("arr_usd", 8500000.0, "ARR of $8.4M", False), ("ebitda_usd", -2400000.0, "a loss, -$2.4M", True),
-    ("mrr_usd", 700000.0, "MRR $700K", True), ("mrr_usd", 508333.0, "$508,333 a month", True),
-    ("mrr_usd", 12000000.0, "$12M", True), ("grr_pct", 81.0, "gross retention of 81 %", True),
-    ("grr_pct", 81.5, "81.5 percent", True), ("nrr_pct", 2.0, "grew 12%", True), ("nrr_pct", 86.25, "86.25%", True),
-    ("yoy_growth_pct", 14.0, "growth of 14", False), ("top1_customer_pct", 34.0, "34%", True),
-]
-
-
 def surface_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([v[:3] for v in _VALUES], "metric string, value double, text string")
+    """Whether composed pages show the values that they state, and others that they don't."""
+    pages = composed_pages(spark, sf_dir)
+    c = table(spark, sf_dir, "customer")
+    stated = F.round(F.abs("c_acctbal"), 0)
+    facts = F.array(
+        F.struct(F.lit("arr_usd").alias("metric"), (stated * 1000).alias("value")), F.struct(F.lit("ebitda_usd").alias("metric"), (-1000 * stated - 1).alias("value")),
+        F.struct(F.lit("grr_pct").alias("metric"), F.pmod("c_custkey", F.lit(97)).cast("double").alias("value")),
+        F.struct(F.lit("yoy_growth_pct").alias("metric"), (F.pmod("c_custkey", F.lit(31)) + 0.5).alias("value")),
+        F.struct(F.lit("nrr_pct").alias("metric"), (F.pmod("c_custkey", F.lit(97)) + 100).cast("double").alias("value")),
+    )
+    rows = c.select(F.col("c_custkey").alias("page_id"), F.inline(facts)).join(pages, "page_id")
     forms = T.surface_forms(F.col("metric"), F.col("value"))
-    return rows.select("metric", "value", "text", T.value_present(F.col("text"), forms).alias("present"))
+    return rows.select("page_id", "metric", "value", T.value_present(F.col("text"), forms).alias("present"))
 
 
 def composed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -147,6 +146,14 @@ def content_word_jaccard(spark, sf_dir):
     return classify.condition_similarity(rows, "base", STOP)
 
 
+def keyword_classify(spark, sf_dir):
+    """Every turn of every conversation, with a question that its key chooses, for every archetype: bucket and tag."""
+    turns = table(spark, sf_dir, "conversations")
+    asked = F.get(F.array(*map(F.lit, _QUESTIONS)), ((F.col("conv_id") + F.col("turn")) % len(_QUESTIONS)).cast("int"))
+    rows = turns.select("conv_id", "turn", F.concat("text", F.lit(" "), asked).alias("text"), F.explode(F.array(*map(F.lit, NOVEL_PRESENT))).alias("archetype"))
+    return classify.classify(rows).select("conv_id", "turn", "archetype", "bucket", "tag")
+
+
 _QUESTIONS = [
     "What happens if the founder departs?", "Is the ARR definition adjusted?", "Could an AI tool displace this?",
     "They retain available maintenance", "Concentration in one customer", "Is EBITDA negative earnings?", "Gross margin basis?",
@@ -154,12 +161,6 @@ _QUESTIONS = [
 ]
 
 
-def keyword_classify(spark, sf_dir):
-    """Every question for every archetype."""
-    q = spark.createDataFrame([(i, t, a) for i, t in enumerate(_QUESTIONS) for a in NOVEL_PRESENT], "q long, text string, archetype string")
-    return classify.classify(q).select("q", "archetype", "bucket", "tag")
-
-
 def bucket_rates(spark, sf_dir):
     """Conversation turns by bucket."""
     turns = table(spark, sf_dir, "conversations").select("conv_id", F.col("text"), F.lit("clean_gem").alias("archetype"))
@@ -181,11 +182,19 @@ def event_props(spark, sf_dir):
     return rows.groupBy("event_type", "key").agg(F.count("*").alias("n"))
 
 
-_RAW = [("arr_usd", "$8,400,000"), ("grr_pct", "91%"), ("metric", "value"), ("mrr_usd", " 700000.50 "), ("ebitda_usd", "-2,400"), ("nrr_pct", "n/a"), ("top1", "1e3")]
-
-
 def asserted_loader(spark, sf_dir):
-    rows = spark.createDataFrame([("d", i, m, v) for i, (m, v) in enumerate(_RAW)], "doc_id string, seq int, metric string, raw string")
+    """Asserted values of each customer as people write them; a header and words that are no number among them."""
+    c = table(spark, sf_dir, "customer")
+    k = F.col("c_custkey")
+    text = F.concat
+    written = F.array(
+        F.struct(F.lit("Metric").alias("metric"), F.lit("value").alias("raw")),
+        F.struct(F.lit(" arr_usd ").alias("metric"), text(F.lit(" $"), F.format_number(k * 12_345, 0)).alias("raw")),
+        F.struct(F.lit("grr_pct").alias("metric"), text((k % 97).cast("string"), F.lit(".5%")).alias("raw")),
+        F.struct(F.lit("ebitda_usd").alias("metric"), text(F.lit("-"), k.cast("string"), F.lit("e2")).alias("raw")),
+        F.struct(F.lit("nrr_pct").alias("metric"), F.when(k % 3 == 0, "n/a").when(k % 3 == 1, "").otherwise(F.lit(None)).alias("raw")),
+    )
+    rows = c.select(k.cast("string").alias("doc_id"), F.posexplode(written).alias("seq", "w")).select("doc_id", "seq", "w.metric", "w.raw")
     return parse.asserted_values(rows, strict=False)
 
 
@@ -236,7 +245,10 @@ _BUCKET = f"""case when tag in ({_NOVEL}) then (case when (archetype, tag) in (s
 _CLASSIFY = f"present(a, t) as (values {_PRESENT}), tagged as (select *, {_TAG} as tag from (select *, lower(text) as low from asked))"
 
 SQL = {
-    "surface_forms": "select * from (values " + ", ".join(f"({_q(m)}, {v}::double, {_q(t)}, {str(p).lower()})" for m, v, t, p in _VALUES) + ") as v(metric, value, text, present)",
+    "surface_forms": f"""with u as (select c_custkey as k, round(abs(c_acctbal), 0)::double as v from customer)
+      select k as page_id, m as metric, case m when 'arr_usd' then v * 1000 when 'ebitda_usd' then -1000 * v - 1 when 'grr_pct' then (k % 97)::double when 'yoy_growth_pct' then (k % 31) + 0.5::double
+        else (k % 97 + 100)::double end as value, m in ('arr_usd', 'grr_pct', 'yoy_growth_pct') as present
+      from u, (values ('arr_usd'), ('ebitda_usd'), ('grr_pct'), ('yoy_growth_pct'), ('nrr_pct')) as t(m)""",
     "normalise_text": f"with {PAGES_SQL} select page_id, {_NORM} as text from pages_",
     "money_tokens": rf"""with {PAGES_SQL}, found as (select page_id, unnest(regexp_extract_all(text, '\$\s?(\d+(?:,\d\d\d)*(?:\.\d+)?)\s*([KMBkmb])?')) as token from pages_)
         select page_id, token, cast(regexp_extract(replace(token, ',', ''), '[0-9.]*[0-9]') as double)
@@ -286,11 +298,13 @@ SQL = {
         select target_id, cast(doc_id as varchar) as condition,
           coalesce(round(len(list_intersect(w, base)) / nullif(len(list_distinct(list_concat(w, base))), 0)::double, 3), 0.0) as similarity
         from d join b using (target_id) where doc_id <> first""",
-    "keyword_classify": "with asked(q, text, archetype) as (values " + ", ".join(f"({i}::bigint, {_q(t)}, {_q(a)})" for i, t in enumerate(_QUESTIONS) for a in NOVEL_PRESENT) + f"), {_CLASSIFY} select q, archetype, {_BUCKET} as bucket, tag from tagged",
+    "keyword_classify": f"""with asked as (select conv_id, turn, archetype, text || ' ' || ([{", ".join(map(_q, _QUESTIONS))}])[1 + (conv_id + turn) % {len(_QUESTIONS)}] as text
+      from conversations, (values {", ".join(f"({_q(a)})" for a in NOVEL_PRESENT)}) as v(archetype)), {_CLASSIFY} select conv_id, turn, archetype, {_BUCKET} as bucket, tag from tagged""",
     "bucket_rates": f"with asked as (select text, 'clean_gem' as archetype from conversations), {_CLASSIFY}, b as (select {_BUCKET} as bucket from tagged) select bucket, count(*) as n, round(100.0::double * count(*) / sum(count(*)) over (), 1) as pct from b group by 1",
     "json_array_parse": "select event_id, event_id + k as k from events, (values (0), (1), (2)) as v(k)",
     "event_props": "select event_type, key, count(*) as n from (select event_type, unnest(json_keys(props)) as key from events) group by 1, 2",
-    "asserted_loader": "select * from (values ('d', 0, 'arr_usd', 8400000.0::double), ('d', 1, 'grr_pct', 91.0), ('d', 3, 'mrr_usd', 700000.5), ('d', 4, 'ebitda_usd', -2400.0), ('d', 5, 'nrr_pct', null), ('d', 6, 'top1', 1000.0)) as v(doc_id, seq, metric, asserted)",
+    "asserted_loader": """select cast(c_custkey as varchar) as doc_id, seq, metric, case seq when 1 then c_custkey * 12345.0::double when 2 then (c_custkey % 97) + 0.5::double when 3 then -100.0::double * c_custkey end as asserted
+      from customer, (values (1, 'arr_usd'), (2, 'grr_pct'), (3, 'ebitda_usd'), (4, 'nrr_pct')) as v(seq, metric)""",
     "roster": """with r as (select c_custkey as doc_id, case when c_custkey % 7 = 2 then null else c_name end as name,
           case when c_custkey % 2 = 0 then (c_custkey % 9 + 1.5) * 1e6 else (c_custkey % 900) * 1e3 end as value from customer where c_custkey % 5 <> 0 and c_custkey % 7 not in (0, 1, 3)),
         n as (select doc_id, name, value from r where name is not null union all select doc_id, 'Anchor Customers', 3e6 from r where name is null)

@@ -87,15 +87,21 @@ def chart_carried(spark, sf_dir):
     return contracts.chart_only(truth).select("target_id", "metric", "value")
 
 
+def _book(spark, sf_dir):
+    """An invented past acquisition for each customer."""
+    rows = _customers(spark, sf_dir).select(key().alias("i"))
+    return fixtures.records(rows, rows.count())
+
+
 def carrier_counts(spark, sf_dir):
     """Facts of invented targets by carrier."""
-    facts = fixtures.profiles(fixtures.dealbook(spark, 40), {"grr_pct": "chart", "top1_customer_pct": "table"})
-    return facts.groupBy("carrier").agg(F.count("*").alias("n"), F.round(F.sum("value"), 1).alias("total"))
+    facts = fixtures.profiles(_book(spark, sf_dir), {"grr_pct": "chart", "top1_customer_pct": "table"})
+    return facts.groupBy("carrier").agg(F.count("*").alias("n"), F.round(F.sum(F.col("value").cast("decimal(20,2)")), 1).cast("double").alias("total"))
 
 
 def dealbook(spark, sf_dir):
     """Invented past acquisitions."""
-    return fixtures.dealbook(spark, 120)
+    return _book(spark, sf_dir)
 
 
 def series_ends(spark, sf_dir):
@@ -448,12 +454,12 @@ QUERIES = {
 }
 
 _UNIFORM = lambda name: f"(cast('0x' || substr(md5('book-1:' || i || ':{name}'), 1, 8) as bigint) / 4294967296.0::double)"
-_BOOK = lambda n: f"""raw as (select i, ['healthcare', 'logistics', 'education', 'construction', 'finance'][1 + cast(floor({_UNIFORM("vertical")} * 5) as int)] as vertical,
+_BOOK = f"""raw as (select i, ['healthcare', 'logistics', 'education', 'construction', 'finance'][1 + cast(floor({_UNIFORM("vertical")} * 5) as int)] as vertical,
   round(1.5::double + 26.5::double * {_UNIFORM("arr")}, 2) as arr_m, round(76 + 24 * {_UNIFORM("grr")}, 1) as grr, round(65 + 34 * {_UNIFORM("recurring")}, 1) as recurring,
-  round(2 + 40 * {_UNIFORM("top1")}, 1) as top1, round(24 * {_UNIFORM("growth")} - 3, 1) as growth, {_UNIFORM("luck")} as luck, {_UNIFORM("hope")} as hope from range({n}) r(i)),
+  round(2 + 40 * {_UNIFORM("top1")}, 1) as top1, round(24 * {_UNIFORM("growth")} - 3, 1) as growth, {_UNIFORM("luck")} as luck, {_UNIFORM("hope")} as hope from (select c_custkey as i from customer)),
 came as (select *, round(0.4::double * (grr - 88) + 0.2::double * (recurring - 85) - 0.1::double * greatest(0.0, top1 - 15) + 0.1::double * growth + 8 * (luck - 0.5::double) + 4, 2) as outcome from raw),
-book as (select 'D' || lpad(cast(i + 1 as varchar), 3, '0') as deal_id, 2016 + i * 10 // {n} as acquired, vertical, arr_m * 1e6::double as arr, grr, recurring, top1, growth,
-  round(outcome + 6 * hope - 0.5::double + 0.1::double * greatest(0.0, growth), 2) as underwritten, outcome from came)"""
+book as (select 'D' || format('{{:03d}}', cast(i + 1 as bigint)) as deal_id, 2016 + i * 10 // (select count(*) from customer) as acquired, vertical, arr_m * 1e6::double as arr, grr, recurring, top1, growth,
+  round(outcome + 6 * hope - 0.5::double + 0.1::double * greatest(0.0, growth), 2) as underwritten, outcome from came)"""
 _N = "cast(split_part(target_id, '-', 1) as int)"
 _METRIC_OF = ", ".join(f"('{r}', '{m}')" for r, m in rules.METRIC_OF.items())
 _CITES = f"""cites as (select target_id, {_N} % 7 + 1 as page, m.metric, m.read, case when {_N} % 2 = 0 and m.metric <> 'arr_usd' then 'vision' else 'textlayer' end as method
@@ -512,9 +518,9 @@ SQL = {
     "vision_page_union": """with p as (select c_custkey as doc_id, c_custkey % 4 as page from customer where c_custkey % 3 <> 0 union select c_custkey, 7 from customer where c_custkey % 3 <> 0
           union select c_custkey, c_custkey % 5 from customer where c_custkey % 2 = 0) select doc_id, string_agg(cast(page as varchar), ',' order by page) as pages from p group by 1""",
     "chart_carried": "select c_mktsegment as target_id, 'm' || c_custkey as metric, c_acctbal as value from customer where c_custkey % 3 = 0",
-    "dealbook": f"with {_BOOK(120)} select * from book",
-    "carrier_counts": f"""with {_BOOK(40)}, f as (select 'prose' as carrier, arr as v from book union all select 'chart', grr from book union all select 'prose', recurring from book
-        union all select 'table', top1 from book union all select 'prose', growth from book) select carrier, count(*) as n, round(sum(v), 1) as total from f group by 1""",
+    "dealbook": f"with {_BOOK} select * from book",
+    "carrier_counts": f"""with {_BOOK}, f as (select 'prose' as carrier, arr as v from book union all select 'chart', grr from book union all select 'prose', recurring from book
+        union all select 'table', top1 from book union all select 'prose', growth from book) select carrier, count(*) as n, round(cast(sum(cast(v as decimal(20,2))) as double), 1) as total from f group by 1""",
     "series_ends": """with t as (select p_partkey % 3 as img, p_partkey % 5 as series, p_partkey // 15 as x, p_partkey * 7 % 100 as y from part), m as (select img, series, max(x) as "right" from t group by 1, 2)
         select img, series, max("right") as x, (min(y) + max(y)) / 2.0::double as y from t join m using (img, series) where x >= "right" - 3 group by 1, 2""",
     "cache_left": "select event_type, count(*) as n, min(event_id) as first from events where event_id % 5 = 0 or event_id % 3 = 0 or event_id % 7 = 0 group by 1",

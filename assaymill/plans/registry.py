@@ -7,9 +7,9 @@ from functools import wraps
 
 from pyspark.sql import functions as F
 
-from assaymill.plans import analytics, evidence, handover, ledger, reports, routing, screening, star
+from assaymill.plans import analytics, evidence, handover, ledger, loop, reports, routing, screening, star
 
-MODULES = (screening, evidence, analytics, handover, ledger, star, routing, reports)
+MODULES = (screening, evidence, analytics, handover, ledger, star, routing, reports, loop)
 
 #: Columns of small integers, which both sides give as 64-bit ones.
 INTEGERS = {

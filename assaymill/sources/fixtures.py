@@ -15,9 +15,13 @@ def uniform(seed: str, key: Column, name: str) -> Column:
 
 
 def dealbook(spark: SparkSession, n: int, seed: str = "book-1") -> DataFrame:
-    """``n`` past acquisitions: what holds revenue lifts the outcome, concentration lowers it, and expectations at the
-    time lay above it, the more the faster the target grew."""
-    rows = spark.range(n).withColumnRenamed("id", "i")
+    """``n`` past acquisitions, numbered from 1. See :func:`records`."""
+    return records(spark.range(n).withColumnRenamed("id", "i"), n, seed)
+
+
+def records(rows: DataFrame, n: int, seed: str = "book-1") -> DataFrame:
+    """A past acquisition for each of ``rows`` (i, below ``n``): what holds revenue lifts the outcome, concentration
+    lowers it, and expectations at the time lay above it, the more the faster the target grew."""
     u = lambda name: uniform(seed, F.col("i"), name)
     rows = rows.select(
         "i", F.get(F.array(*map(F.lit, VERTICALS)), F.floor(u("vertical") * len(VERTICALS)).cast("int")).alias("vertical"),
@@ -32,7 +36,7 @@ def dealbook(spark: SparkSession, n: int, seed: str = "book-1") -> DataFrame:
     rows = rows.withColumn("outcome", F.round(outcome, 2))
     expected = F.round(F.col("outcome") + 6 * F.col("hope") - 0.5 + 0.1 * F.greatest(F.lit(0.0), F.col("growth")), 2)
     return rows.select(
-        F.concat(F.lit("D"), F.lpad((F.col("i") + 1).cast("string"), 3, "0")).alias("deal_id"), (2016 + F.floor(F.col("i") * 10 / n)).cast("long").alias("acquired"),
+        F.format_string("D%03d", F.col("i") + 1).alias("deal_id"), (2016 + F.floor(F.col("i") * 10 / n)).cast("long").alias("acquired"),
         "vertical", (F.col("arr_m") * 1e6).alias("arr"), "grr", "recurring", "top1", "growth", expected.alias("underwritten"), "outcome",
     )
 
