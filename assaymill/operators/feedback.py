@@ -5,6 +5,7 @@ from __future__ import annotations
 import difflib
 import itertools
 from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import pandas as pd
 import pyarrow as pa
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 
 from assaymill.config import REQUIRED_METRICS
 from assaymill.functions.text import clean_line
+from assaymill.sources.shared import stored
 
 
 def callout_ids(rows: DataFrame) -> DataFrame:
@@ -278,10 +280,39 @@ def _cited_short(rows: DataFrame, items: list[tuple[str, str]]) -> DataFrame:
     return rows.mapInArrow(look, schema)
 
 
-def changed(stored: DataFrame, made: DataFrame, key: str, text: str) -> DataFrame:
-    """Keys whose stored text isn't what is made now, or that only one side has: should be empty."""
-    a = stored.select(key, F.sha2(F.col(text), 256).alias("stored"))
-    b = made.select(key, F.sha2(F.col(text), 256).alias("made"))
+#: Ranges of keys whose digests are compared before any row is; those that differ are broadcast.
+DIGEST_RANGES = 1 << 16
+
+
+def ranged(rows: DataFrame, key: str, text: str, name: str) -> DataFrame:
+    """key, name (digest of the text, null for null) and range, by a hash of the key; made once."""
+    digest = F.sha2(F.col(text), 256).alias(name)
+    return stored(rows.select(key, digest, F.pmod(F.xxhash64(key), F.lit(DIGEST_RANGES)).alias("range")), f"digests-{name}")
+
+
+def differing(a: DataFrame, b: DataFrame, key: str, names: tuple[str, str]) -> DataFrame:
+    """range: those in which the two sides aren't the same rows, by count and two digests of all of them."""
+
+    def summed(df: DataFrame, name: str) -> DataFrame:
+        row = F.struct(key, name)
+        return df.groupBy("range").agg(
+            F.count("*").alias(f"{name}_n"), F.bit_xor(F.xxhash64(F.lit(1), row)).alias(f"{name}_x"), F.sum(F.xxhash64(F.lit(2), row).cast("decimal(38,0)")).alias(f"{name}_s")
+        )
+
+    left, right = names
+    both = summed(a, left).join(summed(b, right), "range", "full_outer")
+    return both.where(~reduce(Column.__and__, [F.col(f"{left}_{m}").eqNullSafe(F.col(f"{right}_{m}")) for m in "nxs"])).select("range")
+
+
+def changed(stored_rows: DataFrame, made: DataFrame, key: str, text: str) -> DataFrame:
+    """Keys whose stored text isn't what is made now, or that only one side has: should be empty.
+
+    Both sides are summed up by ranges of keys; rows are joined only of ranges that differ, so what is compared row by
+    row grows with what has changed.
+    """
+    a, b = ranged(stored_rows, key, text, "stored"), ranged(made, key, text, "made")
+    odd = F.broadcast(differing(a, b, key, ("stored", "made")))  # at most DIGEST_RANGES rows
+    a, b = (df.join(odd, "range", "left_semi").drop("range") for df in (a, b))
     return a.join(b, key, "full_outer").where(~F.col("stored").eqNullSafe(F.col("made"))).select(key)
 
 
