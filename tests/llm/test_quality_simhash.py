@@ -219,3 +219,32 @@ def test_one_row_of_each_component_stays_under_shared_and_null_ids(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     kept = [(r.doc_id, r.text) for r in simhash.keep_one_of_each(docs, docs.columns, words=5, radius=7).collect()]
     assert sorted(kept, key=str) == sorted([(None, a), (None, b), (7, c), (7, d), (9, e)], key=str)
+
+
+def test_survivors_equal_brute_force_over_all_pairs(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    sets = {}
+    for r in docs.collect():
+        low = (r.text or "").translate({c: c + 32 for c in range(65, 91)})
+        found = re.findall("[^\x20\x09-\x0d]+", low)
+        sets[r.doc_id] = frozenset(tuple(found[i : i + 5]) for i in range(max(1, len(found) - 4))) if found else frozenset()
+    least = {i: i for i in sets}
+
+    def top(i):
+        while least[i] != i:
+            i = least[i]
+        return i
+
+    order = sorted(sets, key=lambda i: len(sets[i]))
+    for at, i in enumerate(order):
+        a = sets[i]
+        for j in order[at + 1 :]:
+            b = sets[j]
+            if len(a) < 0.8 * len(b):
+                break
+            if a == b or (a and len(a & b) >= 0.8 * len(a | b)):
+                low, high = sorted((top(i), top(j)))
+                least[high] = low
+    kept = sorted(r.doc_id for r in simhash.keep_one_of_each(docs, ["doc_id", "text"], words=5).collect())
+    assert kept == sorted({top(i) for i in sets})
+    assert len(kept) < len(sets)
