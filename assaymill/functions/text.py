@@ -21,6 +21,17 @@ def normalise(text: Column) -> Column:
     return F.regexp_replace(t, r"\s+", " ")
 
 
+def lower_each(text: Column) -> Column:
+    """Lower case, each character by itself: one for one, whatever stands beside it."""
+    return F.lower(F.translate(text, "\u0130\u03a3", "i\u03c3"))
+
+
+def upper_each(text: Column) -> Column:
+    """Upper case, each character by itself; one that would become several (``ß``) stays as it is."""
+    each = F.transform(F.split(text, ""), lambda c: F.when(F.length(F.upper(c)) == 1, F.upper(c)).otherwise(c))
+    return F.array_join(each, "")
+
+
 def _decimals(value: Column, places: int) -> Column:
     return F.round(value, places).cast(f"decimal(38,{places})").cast("string")
 

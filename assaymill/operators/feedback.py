@@ -14,7 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from assaymill.config import REQUIRED_METRICS
-from assaymill.functions.text import clean_line
+from assaymill.functions.text import clean_line, lower_each
 from assaymill.sources.shared import stored
 
 
@@ -186,17 +186,19 @@ def not_folded_back(records: DataFrame, examples: DataFrame, regressions: DataFr
 
 
 def regressions_held(regressions: DataFrame, callouts: DataFrame) -> DataFrame:
-    """regressions: id, target_id, kind, evidence_page, must_contain. held: a call-out of that target, kind and
-    page contains all the strings; a null page fits any."""
-    r, c = regressions.alias("r"), callouts.alias("c")
+    """regressions: id, target_id, kind, evidence_page, must_contain. held, for each row: a call-out of that target,
+    kind and page contains all the strings, whatever their case, character by character; a null page fits any."""
+    folded = F.transform("must_contain", lower_each).alias("must_contain")
+    r = regressions.select("id", "target_id", "kind", "evidence_page", folded).alias("r")
+    c = callouts.select("target_id", "kind", "evidence_page", lower_each(F.col("question")).alias("question")).alias("c")
     fits = (
         (F.col("r.target_id") == F.col("c.target_id"))
         & (F.col("r.kind") == F.col("c.kind"))
         & (F.col("r.evidence_page").isNull() | (F.col("r.evidence_page") == F.col("c.evidence_page")))
-        & F.forall("r.must_contain", lambda s: F.contains(F.lower("c.question"), F.lower(s)))
+        & F.forall("r.must_contain", lambda s: F.contains("c.question", s))
     )
-    held = r.join(c, fits, "left_semi").select("id", F.lit(True).alias("held"))
-    return regressions.select("id").join(held, "id", "left").select("id", F.coalesce("held", F.lit(False)).alias("held"))
+    held, lost = (r.join(c, fits, kind).select("id", F.lit(kind == "left_semi").alias("held")) for kind in ("left_semi", "left_anti"))
+    return held.unionByName(lost)
 
 
 def last_examples(examples: DataFrame, k: int = 3) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from assaymill.functions.text import upper_each
 from assaymill.operators import chart, feedback
 from assaymill.sources.tables import table
 
@@ -82,7 +83,7 @@ def regression_hold(spark, sf_dir):
     c, turn = F.col("conv_id"), F.col("turn")
     target = c.cast("string").alias("target_id")
     page = F.when(c % 4 != 0, turn).cast("int")
-    wanted = F.array(F.left("text", F.lit(12)), F.upper(F.left("text", F.lit(3))))
+    wanted = F.array(F.left("text", F.lit(12)), upper_each(F.left("text", F.lit(3))))
     regressions = t.where("role = 'user'").select(F.concat_ws(":", c.cast("string"), turn.cast("string")).alias("id"), target, F.col("role").alias("kind"), page.alias("evidence_page"), wanted.alias("must_contain"))
     callouts = t.select(target, F.col("role").alias("kind"), (turn + F.when(c % 3 == 0, 1).otherwise(0)).cast("int").alias("evidence_page"), F.col("text").alias("question"))
     return feedback.regressions_held(regressions, callouts)
