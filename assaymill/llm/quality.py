@@ -18,7 +18,8 @@ from assaymill.llm.common import SPACE, pick, table, text_or_empty
 
 BUCKETS = 1 << 14
 THRESHOLD = -0.15
-TRUSTED_DOCS = 20_000
+#: Identifiers of trusted documents that are broadcast at most; more are shuffled.
+BROADCAST_IDS = 2_000_000
 SMOOTHING = 1.0
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -87,38 +88,41 @@ def base_columns(text: Column, words: Column) -> dict[str, Column]:
     }
 
 
+def _bucket_counts(rows: DataFrame, buckets: int, order: int) -> list[int]:
+    """How many n-grams of the rows' texts each bucket has."""
+    words = rows.select(words_of(text_or_empty()).alias("w0"))
+    # Each word with those after it; a row for each.
+    shifted = [F.slice("w0", k + 1, F.size("w0")).alias(f"w{k}") for k in range(1, order)]
+    grams = words.select(F.explode(F.arrays_zip("w0", *shifted)).alias("g"))
+    if order > 1:
+        grams = grams.where(F.col(f"g.w{order - 1}").isNotNull())
+    bucket = _bucket(*[F.col(f"g.w{k}") for k in range(order)], buckets=buckets)
+    counts = [0] * buckets
+    for r in grams.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n")).collect():  # at most one row a bucket
+        counts[r["bucket"]] = r["n"]
+    return counts
+
+
 def log_ratios(
     docs: DataFrame,
     labels: DataFrame,
     buckets: int = BUCKETS,
     smoothing: float = SMOOTHING,
     order: int = 1,
-    trusted_docs: int = TRUSTED_DOCS,
+    broadcast_ids: int = BROADCAST_IDS,
 ) -> list[float]:
     """For each bucket the logarithm of its share of the trusted n-grams over its share of all.
 
-    The corpus side counts every n-gram of every document. Trusted are documents with a label of
-    quality 1; of more than ``trusted_docs`` of them, those whose identifiers hash lowest, so the side
-    that is broadcast has a fixed bound. All zero without a trusted document.
+    The corpus side counts every n-gram of every document, the trusted side every n-gram of every
+    document with a label of quality 1, however many those are: their identifiers are broadcast, or
+    shuffled with the documents beyond ``broadcast_ids``. All zero without a trusted document.
     """
     trusted = pick(labels, doc_id="long", quality="int").where("quality = 1 and doc_id is not null")
-    trusted = trusted.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(trusted_docs)
-    rows = pick(docs, doc_id="long", text="string").join(
-        F.broadcast(trusted.withColumn("trusted", F.lit(1))), "doc_id", "left"
-    )
-    words = rows.select("trusted", words_of(text_or_empty()).alias("w0"))
-    # Each word with those after it; a row for each.
-    shifted = [F.slice("w0", k + 1, F.size("w0")).alias(f"w{k}") for k in range(1, order)]
-    grams = words.select("trusted", F.explode(F.arrays_zip("w0", *shifted)).alias("g"))
-    if order > 1:
-        grams = grams.where(F.col(f"g.w{order - 1}").isNotNull())
-    bucket = _bucket(*[F.col(f"g.w{k}") for k in range(order)], buckets=buckets)
-    counts = grams.groupBy(bucket.alias("bucket")).agg(
-        F.count("*").alias("corpus"), F.count("trusted").alias("trusted")
-    )
-    corpus, target = [0] * buckets, [0] * buckets
-    for r in counts.collect():  # at most one row a bucket
-        corpus[r["bucket"]], target[r["bucket"]] = r["corpus"], r["trusted"]
+    trusted = trusted.select("doc_id").distinct()
+    few = trusted.count() <= broadcast_ids
+    rows = pick(docs, doc_id="long", text="string")
+    aimed = rows.where("doc_id is not null").join(F.broadcast(trusted) if few else trusted, "doc_id", "left_semi")
+    corpus, target = (_bucket_counts(r, buckets, order) for r in (rows, aimed))
     if not sum(target):
         return [0.0] * buckets
     share = lambda n, total: math.log((n + smoothing) / (total + smoothing * buckets))

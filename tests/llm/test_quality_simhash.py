@@ -4,6 +4,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pytest
 import xxhash
 
 from assaymill.llm import components, quality, simhash
@@ -77,6 +78,24 @@ def test_quality_equals_brute_force_on_documents(spark, sf_dir):
     assert rounded(quality.op2_quality_rules(spark, sf_dir).collect()) == rounded(expected(docs, labels))
 
 
+def test_every_trusted_document_counts_however_many(spark):
+    n = 25_000
+    docs = spark.range(n).selectExpr("id as doc_id", "concat('w', id % 5000, ' w', id) as text").unionByName(
+        spark.createDataFrame([(None, "w1 w2"), (n, "w3 w4")], "doc_id long, text string")
+    )
+    labels = spark.range(n).selectExpr("id as doc_id", "1 as quality").unionByName(spark.createDataFrame([(n, 0), (None, 1)], "doc_id long, quality int"))
+    corpus, target = [0] * quality.BUCKETS, [0] * quality.BUCKETS
+    for doc_id, text in [(i, f"w{i % 5000} w{i}") for i in range(n)] + [(None, "w1 w2"), (n, "w3 w4")]:
+        for word in text.split():
+            b = chained((word,)) % quality.BUCKETS
+            corpus[b] += 1
+            target[b] += doc_id is not None and doc_id < n
+    share = lambda n, of: math.log((n + 1) / (of + quality.BUCKETS))
+    want = [share(t, sum(target)) - share(c, sum(corpus)) for c, t in zip(corpus, target, strict=True)]
+    for most in (quality.BROADCAST_IDS, 100):
+        assert quality.log_ratios(docs, labels, broadcast_ids=most) == pytest.approx(want, abs=1e-6)
+
+
 def test_quality_separates_labelled_documents(spark):
     got = {r.doc_id: r for r in quality.op2_quality_rules(spark, "/root/testdata/sf0.01").collect()}
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").collect()
