@@ -148,6 +148,18 @@ def test_routes_equal_brute_force(spark, k):
     assert routed(textindex.route_text(asked, rows, k, textindex.build_index(rows))) == want
 
 
+def test_questions_meet_pages_without_a_join(spark):
+    rng = random.Random(8)
+    pages = invented_pages(rng, 300) + [(400 + i, "the rate w1") for i in range(40)] + [(None, "the rate w1"), (500, None)]
+    questions = [(i, pages[i][1]) for i in range(60)] + [(90, "the rate w1"), (91, None)]
+    asked = spark.createDataFrame(questions, "query_id long, text string")
+    rows = spark.createDataFrame(pages, "page_id long, text string").repartition(5)
+    for k in (1, 3):
+        assert routed(textindex.route_passes(asked, rows, k, pass_terms=200)) == naive_route(questions, pages, k)
+    plan = textindex.route_text(asked, rows)._jdf.queryExecution().toString()
+    assert "Join" not in plan
+
+
 def test_bounds_leave_pages_out(spark):
     rng = random.Random(5)
     pages = invented_pages(rng, 2000)
