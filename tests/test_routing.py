@@ -160,6 +160,13 @@ def test_questions_meet_pages_without_a_join(spark):
     assert "Join" not in plan
 
 
+def test_a_better_page_leaves_equal_ones_in_their_order(spark):
+    pages = [(1, "a b"), (2, "a b"), (3, "a b"), (4, "a"), (5, "c d")]
+    asked = spark.createDataFrame([(1, "a")], "query_id long, text string")
+    rows = spark.createDataFrame(pages, "page_id long, text string").coalesce(1)
+    assert [i for i, _ in routed(textindex.route_text(asked, rows, 3))[1]] == [4, 1, 2]
+
+
 def test_bounds_leave_pages_out(spark):
     rng = random.Random(5)
     pages = invented_pages(rng, 2000)
