@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -88,10 +90,24 @@ def surface_forms(metric: Column, value: Column) -> Column:
     )
 
 
+def _bound(value: Column, use) -> Column:
+    """use(value), with the value made once: in a lambda it would be made again for every element."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+def folded(text: Column) -> Column:
+    """The normalised text in lower case, in which forms and names are looked for."""
+    return F.lower(normalise(text))
+
+
 def value_present(text: Column, forms: Column) -> Column:
     """Whether any form is a part of the text, whatever its case. ``2%`` is a part of ``12%``."""
-    hay = F.lower(normalise(text))
-    return F.exists(forms, lambda f: F.contains(hay, F.lower(normalise(f))))
+    return present_in(folded(text), forms)
+
+
+def present_in(hay: Column, forms: Column) -> Column:
+    """As :func:`value_present`, for a text that is folded already."""
+    return _bound(hay, lambda h: F.exists(forms, lambda f: F.contains(h, folded(f))))
 
 
 def value_present_strict(text: Column, forms: Column) -> Column:
@@ -106,9 +122,19 @@ def value_present_strict(text: Column, forms: Column) -> Column:
 
 def attributed(text: Column, metric: Column) -> Column:
     """Whether the text names the metric."""
-    hay = F.lower(normalise(text))
+    return named_in(folded(text), metric)
+
+
+def named_in(hay: Column, metric: Column) -> Column:
+    """As :func:`attributed`, for a text that is folded already."""
     words = F.create_map(*[x for k, v in METRIC_WORDS.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
-    return F.coalesce(F.exists(F.element_at(words, metric), lambda w: F.contains(hay, w)), F.lit(False))
+    named = _bound(hay, lambda h: F.exists(F.element_at(words, metric), lambda w: F.contains(h, w)))
+    return F.coalesce(named, F.lit(False))
+
+
+def names(hay: Column, metric: str) -> Column:
+    """As :func:`named_in`, for one metric that is known beforehand: no list is walked for a row."""
+    return reduce(lambda a, b: a | b, [F.contains(hay, F.lit(w)) for w in METRIC_WORDS[metric]])
 
 
 def amount(digits: Column, unit: Column) -> Column:

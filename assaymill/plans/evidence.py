@@ -16,7 +16,7 @@ STOP = ["the", "and", "that", "with", "for", "this", "was", "are"]
 
 def surface_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether composed pages show the values that they state, and others that they don't."""
-    pages = composed_pages(spark, sf_dir)
+    pages = composed_pages(spark, sf_dir).select("page_id", T.folded(F.col("text")).alias("hay"))
     c = table(spark, sf_dir, "customer")
     stated = F.round(F.abs("c_acctbal"), 0)
     facts = F.array(
@@ -27,7 +27,7 @@ def surface_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     rows = c.select(F.col("c_custkey").alias("page_id"), F.inline(facts)).join(pages, "page_id")
     forms = T.surface_forms(F.col("metric"), F.col("value"))
-    return rows.select("page_id", "metric", "value", T.value_present(F.col("text"), forms).alias("present"))
+    return rows.select("page_id", "metric", "value", T.present_in(F.col("hay"), forms).alias("present"))
 
 
 def composed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,9 +67,10 @@ def money_tokens(spark, sf_dir):
 
 def keyword_attribution(spark, sf_dir):
     """How many pages name each metric."""
-    metrics = spark.createDataFrame([(m,) for m in METRIC_WORDS], "metric string")
-    pages = composed_pages(spark, sf_dir).join(F.broadcast(metrics))
-    return pages.groupBy("metric").agg(F.count_if(T.attributed(F.col("text"), F.col("metric"))).alias("pages"), F.count("*").alias("n"))
+    pages = composed_pages(spark, sf_dir).select(T.folded(F.col("text")).alias("hay"))
+    counts = pages.agg(F.count("*").alias("n"), *[F.count_if(T.names(F.col("hay"), m)).alias(m) for m in METRIC_WORDS])
+    rows = [F.struct(F.lit(m).alias("metric"), F.col(m).alias("pages"), F.col("n")) for m in METRIC_WORDS]
+    return counts.select(F.inline(F.array(*rows)))
 
 
 def layer_p(spark, sf_dir):
