@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from assaymill.config import METRIC_WORDS, NEAR_CHARS
-from assaymill.functions.text import MONEY, PERCENT, amount, attributed, normalise, surface_forms, value_present
+from assaymill.functions.text import MONEY, PERCENT, amount, attributed, folded, named_in, normalise, present_in, surface_forms, value_present
 
 
 def recoverability(truth: DataFrame, pages: DataFrame) -> DataFrame:
@@ -190,11 +190,19 @@ def citation_pages(values: DataFrame, pages: DataFrame) -> DataFrame:
     return pairs.groupBy("doc_id", "metric").agg(F.min("page_number").alias("page"))
 
 
-def first_recovered(missing: DataFrame, routes: DataFrame, pages: DataFrame) -> DataFrame:
+#: Rows of routes that one part of a join sorts, about: parts that are measured as compressed can be far larger.
+PART_ROWS = 500_000
+
+
+def first_recovered(missing: DataFrame, routes: DataFrame, pages: DataFrame, part_rows: int = PART_ROWS) -> DataFrame:
     """Of a missing metric's routed pages, in the order of rank, the first that names it and shows the value."""
+    parts = -(-routes.count() // part_rows)
+    if parts > 1:  # as many parts as rows ask for, which Spark leaves as they are
+        missing, routes = (df.repartition(parts, "doc_id", "metric") for df in (missing, routes))
+        pages = pages.repartition(parts, "doc_id", "page_number")
     pairs = missing.join(routes, ["doc_id", "metric"]).join(pages, ["doc_id", "page_number"])
-    text = F.coalesce("text", F.lit(""))
-    shown = attributed(text, F.col("metric")) & value_present(text, surface_forms(F.col("metric"), F.col("value")))
+    hay = folded(F.coalesce("text", F.lit("")))
+    shown = named_in(hay, F.col("metric")) & present_in(hay, surface_forms(F.col("metric"), F.col("value")))
     return pairs.where(shown).groupBy("doc_id", "metric", "value").agg(F.min_by("page_number", "rank").alias("page"))
 
 
